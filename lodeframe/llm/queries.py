@@ -1,6 +1,9 @@
 """The queries of the operators, and their SQL where there is one."""
 
-from lodeframe.llm import token_files
+from lodeframe.llm import language_id, token_files
 
-QUERIES = {"op1_token_files": token_files.token_files_query}
+QUERIES = {
+    "op1_token_files": token_files.token_files_query,
+    "op5_language_id": language_id.language_id_query,
+}
 ORACLES: dict[str, str] = {}
