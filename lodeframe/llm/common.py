@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,42 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def crc(data: bytes | memoryview) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+class PieceCache:
+    """Runs of ids of byte pieces, behind a direct-mapped table of 64-bit piece hashes that points into a bounded pool."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slot_bits: int = 21, pool: int = 1 << 23):
+        self.encode_new, self.slot_bits, self.least = encode, slot_bits, pool
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << self.slot_bits, np.uint64)
+        self.places = np.zeros(1 << self.slot_bits, np.int32)
+        self.sizes = np.zeros(1 << self.slot_bits, np.int32)
+        self.pool = np.empty(self.least, np.int32)
+        self.used = 0
+
+    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in a row, and how many each piece has. ``encode_new`` gets each unknown piece once."""
+        if self.used > self.least - (self.least >> 2):
+            self._clear()
+        hashes = word_hashes(data, starts, ends) | np.uint64(1)
+        slots = (hashes >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        places, sizes = self.places[slots].astype(np.int64), self.sizes[slots].astype(np.int64)
+        missing = np.flatnonzero(self.keys[slots] != hashes)
+        if len(missing):
+            _, one, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            new = missing[one]
+            raw = data.tobytes()
+            ids, counts = self.encode_new([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new], ends[new], strict=True)])
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.empty(len(ids) + self.least, np.int32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            at = self.used + np.cumsum(counts) - counts
+            self.used += len(ids)
+            places[missing], sizes[missing] = at[back], counts[back]
+            to = slots[new]
+            self.keys[to], self.places[to], self.sizes[to] = hashes[new], at, counts
+        bounds = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(places - bounds, sizes) + np.arange(int(sizes.sum()))], sizes

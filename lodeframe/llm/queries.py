@@ -1,10 +1,11 @@
 """The queries of the operators, and their SQL where there is one."""
 
-from lodeframe.llm import language_id, pii, token_files
+from lodeframe.llm import language_id, pii, sentencepiece_fst, token_files
 
 QUERIES = {
     "op1_token_files": token_files.token_files_query,
     "op5_language_id": language_id.language_id_query,
+    "op9_sentencepiece": sentencepiece_fst.sentencepiece_query,
     "op10_pseudonyms": pii.pii_query,
 }
 ORACLES: dict[str, str] = {}
