@@ -11,6 +11,7 @@ the input, whatever their names, are left out.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -20,23 +21,151 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.llm.common import crc, shared_path, written
+from lodeframe.llm.common import crc, shared_path, text_buffers, word_hashes, written
 
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>"
 
-_loaded: dict[int, object] = {}
+_SLOT_BITS = 21
+_POOL = 1 << 23
 
 
-def _tokenizer(shared):
-    """The tokenizer of a broadcast definition, loaded once in a worker."""
+def _flags(values: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+_WHITE = _flags(b"\t\n\x0b\x0c\r ")
+_LETTER = _flags(bytes(range(65, 91)) + bytes(range(97, 123)))
+_MARK = _flags(b".,!?;:")
+#: First bytes of characters outside ASCII that may be white space: U+0085, U+00A0, U+1680, U+2000 and on, U+3000.
+_WIDE = _flags(b"\xc2\xe1\xe2\xe3")
+
+
+class Encoder:
+    """The tokenizer behind a cache of pieces.
+
+    Where no two white-space characters meet, a byte-level pre-tokenizer never joins what stands on two sides of the start of a
+    space, of either side of a line end, or of the start of a stop after a letter. Texts are cut there, each different piece is
+    encoded by the library, and a text's ids are those of its pieces in a row. Texts with other white space, and all texts of
+    other kinds of tokenizers, are encoded whole. Pieces are known by 64-bit hashes in a direct-mapped table that points into a
+    pool of ids; a piece that isn't there is encoded again, so neither can grow."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        parts = json.loads(tokenizer.to_str())
+        kind = parts["pre_tokenizer"] or {}
+        self.by_piece = bool(kind.get("type") == "ByteLevel" and kind.get("use_regex", True)) and not kind.get("add_prefix_space") and parts["normalizer"] is None
+        line_end = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_piece &= len(line_end) == 1
+        self.line_end = line_end[0] if line_end else -1
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
+        self.places = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.sizes = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.pool = np.empty(_POOL, np.int32)
+        self.used = 0
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, np.int32) for x in found]
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and how many each has. The library gets them as lines: a line end between pieces is a token of its own."""
+        sizes = ends - starts + 1
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        lines = data[np.minimum(np.repeat(starts - at[:-1], sizes) + np.arange(at[-1]), len(data) - 1)]
+        lines[at[1:] - 1] = 10
+        cuts = [*at[:-1:5000], at[-1]]
+        ids = np.concatenate(self._whole([lines[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+        line_ends = np.flatnonzero(ids == self.line_end)
+        return np.delete(ids, line_ends), np.diff(line_ends, prepend=-1) - 1
+
+    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of new runs of ids in the pool."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(ids) + _POOL, np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids) + np.cumsum(sizes) - sizes
+
+    def encode(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts at[i]:at[i+1] of the bytes, each text's followed by the end id, and the n + 1 bounds of the texts among them."""
+        n = len(at) - 1
+        if self.used > _POOL - (_POOL >> 2):
+            self._clear()
+        white = _WHITE[data]
+        odd = np.zeros(n, bool)
+        if not self.by_piece:
+            odd[:] = True
+        elif len(data):
+            hard = _WIDE[data]
+            hard[1:] |= white[1:] & white[:-1]
+            odd[np.searchsorted(at, np.flatnonzero(hard), "right") - 1] = True
+        cut = data == 32
+        line = data == 10
+        cut |= line
+        cut[1:] |= line[:-1]
+        cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        cut[at[:-1][at[:-1] < len(data)]] = True
+        for i in np.flatnonzero(odd):
+            cut[at[i] + 1 : at[i + 1]] = False
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        first = np.searchsorted(starts, at)
+        if odd.any():
+            own = first[:-1][odd & (at[1:] > at[:-1])]
+            plain = np.ones(len(starts), bool)
+            plain[own] = False
+        else:
+            own, plain = np.zeros(0, np.int64), np.ones(len(starts), bool)
+        places, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        if len(own):
+            whole = self._whole([data[starts[i] : ends[i]].tobytes() for i in own])
+            sizes[own] = list(map(len, whole))
+            places[own] = self._put(np.concatenate(whole), sizes[own])
+        lines = plain & (data[starts] == 10) if len(data) else plain
+        if lines.any():
+            places[lines], sizes[lines] = self._put(np.array([self.line_end], np.int32), np.ones(1, np.int64)), 1
+        where = np.flatnonzero(plain & ~lines)
+        hashes = word_hashes(data, starts[where], ends[where]) | np.uint64(1)
+        slots = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        hit = self.keys[slots] == hashes
+        places[where[hit]], sizes[where[hit]] = self.places[slots[hit]], self.sizes[slots[hit]]
+        missing = where[~hit]
+        if len(missing):
+            _, one, back = np.unique(hashes[~hit], return_index=True, return_inverse=True)
+            new = missing[one]
+            new_ids, new_sizes = self._pieces(data, starts[new], ends[new])
+            new_places = self._put(new_ids, new_sizes)
+            places[missing], sizes[missing] = new_places[back], new_sizes[back]
+            to = slots[~hit][one]
+            self.keys[to], self.places[to], self.sizes[to] = hashes[~hit][one], new_places, new_sizes
+            # Where two new pieces share a slot, numpy keeps the last of each assignment, which is the same one.
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        total = int(bounds[-1])
+        flat = self.pool[np.repeat(places - bounds[:-1], sizes) + np.arange(total)]
+        text_at = bounds[first]
+        out = np.insert(flat, text_at[1:], end_id)
+        return out, text_at + np.arange(n + 1)
+
+
+_loaded: dict[int, tuple[object, Encoder]] = {}
+
+
+def _encoder(shared) -> Encoder:
+    """The encoder of a broadcast definition, made once in a worker."""
     key = id(shared)
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        tokenizer = Tokenizer.from_str(shared.value)
+        tokenizer.encode_special_tokens = True
         _loaded.clear()
-        _loaded[key] = (shared, Tokenizer.from_str(shared.value))
-        _loaded[key][1].encode_special_tokens = True
+        _loaded[key] = (shared, Encoder(tokenizer))
     return _loaded[key][1]
 
 
@@ -48,17 +177,12 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared)
+        encoder = _encoder(shared)
         for batch in source:
             for lo in range(0, batch.num_rows, 256):  # bounds what a batch of long texts holds
                 part = batch.slice(lo, 256)
-                found = tokenizer.encode_batch_fast([x or "" for x in part.column("text").to_pylist()], add_special_tokens=False)
-                ids = [x.ids for x in found]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.full(at[-1], end_id, np.int32)
-                for x, start in zip(ids, at, strict=False):
-                    flat[start : start + len(x)] = x
+                flat, at = encoder.encode(*text_buffers(part.column("text")), end_id)
+                sizes = np.diff(at)
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), tokens], ["doc_id", "n_tokens", "tokens"])
 
