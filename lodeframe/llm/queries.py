@@ -1,10 +1,11 @@
 """The queries of the operators, and their SQL where there is one."""
 
-from lodeframe.llm import language_id, pii, reply_trees, sentencepiece_fst, token_files, url_filter
+from lodeframe.llm import language_id, pii, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.token_files_query,
     "op3_url_filter": url_filter.url_filter_query,
+    "op4_substring_dedup": substring_dedup.substring_dedup_query,
     "op5_language_id": language_id.language_id_query,
     "op6_reply_trees": reply_trees.reply_trees_query,
     "op9_sentencepiece": sentencepiece_fst.sentencepiece_query,
