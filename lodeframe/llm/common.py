@@ -89,9 +89,9 @@ _SEPARATES = np.zeros(256, bool)
 _SEPARATES[list(SEPARATORS)] = True
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, at: np.ndarray, separates: np.ndarray = _SEPARATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of all words of the texts at[i]:at[i+1], and the number of the first word of each text."""
-    inside = ~_SEPARATES[data]
+    inside = ~separates[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -104,6 +104,20 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: All ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 capitals made small."""
+    out = _FOLD[data]
+    second = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    out[1:][second] += 32
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial of its bytes, scrambled with its length."""
     sizes = ends - starts
