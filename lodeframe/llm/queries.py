@@ -1,6 +1,6 @@
 """The queries of the operators, and their SQL where there is one."""
 
-from lodeframe.llm import decontaminate, language_id, pii, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
+from lodeframe.llm import decontaminate, language_id, near_dedup, pii, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.token_files_query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.substring_dedup_query,
     "op5_language_id": language_id.language_id_query,
     "op6_reply_trees": reply_trees.reply_trees_query,
+    "op7_near_dedup": near_dedup.near_dedup_query,
     "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_sentencepiece": sentencepiece_fst.sentencepiece_query,
     "op10_pseudonyms": pii.pii_query,
