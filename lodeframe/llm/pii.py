@@ -280,7 +280,7 @@ def apply(df: DataFrame, key: bytes = DEMO_KEY, text: str = "text", count: str |
                 yield pa.RecordBatch.from_arrays([*columns, *counts], [*part.schema.names, *[count] * len(counts)])
 
     fields = [StructField(x.name, StringType()) if x.name == text else x for x in kept.schema.fields]
-    return kept.mapInArrow(batches, StructType([*fields, *[StructField(count, LongType())] * bool(count)]))
+    return kept.mapInArrow(batches, StructType([*fields, StructField(count, LongType())] if count else fields))
 
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
