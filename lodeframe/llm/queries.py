@@ -1,9 +1,10 @@
 """The queries of the operators, and their SQL where there is one."""
 
-from lodeframe.llm import decontaminate, language_id, near_dedup, pii, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
+from lodeframe.llm import decontaminate, language_id, near_dedup, neighbours, pii, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.token_files_query,
+    "op2_neighbours": neighbours.neighbours_query,
     "op3_url_filter": url_filter.url_filter_query,
     "op4_substring_dedup": substring_dedup.substring_dedup_query,
     "op5_language_id": language_id.language_id_query,
