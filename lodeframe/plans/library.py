@@ -1,8 +1,8 @@
 """All registered library queries."""
 
-from lodeframe.plans import events
+from lodeframe.plans import bit_queries, events
 from lodeframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "events"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "bit_queries", "events"]
 
 FLAGSHIP = "t01_sliding_max"
