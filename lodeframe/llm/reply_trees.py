@@ -70,27 +70,22 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", "score")
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
-    # hops[k]: the message 2**k steps up. seen: score and number of the messages from here up to there, that one excluded.
-    seen = written(links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size")), "reply-hops")
-    hops = [seen]
-    while seen.where("up IS NOT NULL").limit(1).count():
-        ahead = seen.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
-        seen = written(
-            seen.join(ahead, ["tree", "up"], "left").select(
-                "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size")
-            ),
-            "reply-hops",
-        )
-        hops.append(seen)
-        if len(hops) > 62:  # only a cycle goes on that long
-            seen = seen.where("up IS NULL")
-            break
-    leaves = seen.where("up IS NULL").join(links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    # A message's state: the one that it sees, none if it sees past its root; score and number of messages on the way, that
+    # one excluded. hops[k]: the messages with another 2**k steps up. Only these go on to the next round.
+    state = written(links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size")), "reply-hops")
+    seen, going = state.where("up IS NULL"), state.where("up IS NOT NULL")
+    hops = []
+    while going.limit(1).count() and len(hops) < 62:  # only a cycle goes on that long
+        hops.append(going)
+        ahead = going.unionByName(seen).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
+        state = written(going.join(ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size")), "reply-hops")
+        seen, going = seen.unionByName(state.where("up IS NULL")), state.where("up IS NOT NULL")
+    leaves = seen.join(links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     walk = written(chosen.select("tree", F.col("node").alias("leaf"), F.col("branch").cast("long").alias("branch"), F.col("score").alias("branch_score"), (F.col("size") - 1).alias("depth"), "node"), "reply-walk")
-    for k in reversed(range(len(hops) - 1)):
-        hop = hops[k].where("up IS NOT NULL").select("tree", "node", F.col("up").alias("_up"))
+    for k in reversed(range(len(hops))):
+        hop = hops[k].select("tree", "node", F.col("up").alias("_up"))
         higher = walk.join(hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - (1 << k)).alias("depth"), F.col("_up").alias("node"))
         walk = written(walk.unionByName(higher), "reply-walk")
     return walk
