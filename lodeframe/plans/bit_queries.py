@@ -13,16 +13,15 @@ from lodeframe.plans.registry import query, table
   bit_count(o_orderkey)::BIGINT AS ones,
   (((o_orderkey << 5) | (o_orderkey >> 27)) & 4294967295)::BIGINT AS rotated_left,
   (((o_orderkey >> 5) | (o_orderkey << 27)) & 4294967295)::BIGINT AS rotated_right,
-  (o_orderkey & (o_orderkey - 1))::BIGINT AS cleared,
+  (CASE WHEN o_orderkey = 0 THEN 0 ELSE o_orderkey & (o_orderkey - 1) END)::BIGINT AS cleared,
   ((o_orderkey >> 3) & 63)::BIGINT AS bits_3_6,
   CASE WHEN o_orderkey <= 1 THEN 1 ELSE (1::BIGINT << length(bin(o_orderkey - 1))) END::BIGINT AS ceil2,
-  (1::BIGINT << (length(bin(o_orderkey)) - 1))::BIGINT AS floor2 FROM orders WHERE o_orderkey > 0""",
+  CASE WHEN o_orderkey = 0 THEN 0 ELSE (1::BIGINT << (length(bin(o_orderkey)) - 1)) END::BIGINT AS floor2 FROM orders""",
 )
 def bit_profile(spark, sf_dir):
     k = F.col("o_orderkey")
     return (
         table(spark, sf_dir, "orders")
-        .where("o_orderkey > 0")
         .select(
             "o_orderkey",
             B.reverse_bits(k, 32).alias("reversed32"),
