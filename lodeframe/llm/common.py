@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -188,3 +189,31 @@ class PieceCache:
             self.keys[to], self.places[to], self.sizes[to] = hashes[new], at, counts
         bounds = np.cumsum(sizes) - sizes
         return self.pool[np.repeat(places - bounds, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+#: Bits of the filter of ``likely_in``: 8 MB whatever the number of keys. A fuller filter lets more rows pass, never fewer.
+FILTER_BITS = 26
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` aren't in ``keys``, so that a join moves less: a filter of fixed size goes to all executors."""
+    from pyspark.sql import functions as F
+
+    spot = F.shiftrightunsigned(F.xxhash64(*columns), 64 - FILTER_BITS)
+    parts = keys.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("bits"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    size = 4096
+    for bucket, found in parts.toLocalIterator():
+        # Buckets count from 1 and hold positions 32768 (bucket - 1) + 1 and on; position 0 has bucket 0.
+        bits_at = (bucket - 1) * size if bucket > 0 else None
+        if bits_at is not None and bits_at < len(bits):
+            bits[bits_at : bits_at + size] = np.frombuffer(found, np.uint8)[: len(bits) - bits_at]
+    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def passes(spots: pd.Series) -> pd.Series:
+        table = np.frombuffer(shared.value, np.uint8)
+        at = spots.to_numpy() - 1
+        return pd.Series(np.where(at < 0, True, (table[np.maximum(at, 0) >> 3] >> (np.maximum(at, 0) & 7)) & 1).astype(bool))
+
+    return rows.where(passes(spot))

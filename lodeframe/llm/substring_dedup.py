@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words of one document; a word goes if some window that covers it also starts in a document
 with a smaller ``doc_id``. Windows are judged on the input.
 
-Sharding is by content, so that every occurrence of a window meets in one shard and none is compared elsewhere. The anchor of a
+Of documents with equal words the first stands for all, and the later ones lose every word to it. Sharding is by content, so that every occurrence of a window meets in one shard and none is compared elsewhere. The anchor of a
 window is the least of the hashes of its runs of ``gram`` words (the leftmost, of equal ones); equal windows have equal anchors.
 Successive windows with one anchor form a run, and only anchors of two or more documents matter, which an aggregation with
 map-side partial sums finds. Runs of such anchors are cut out of their documents as slices; equal slices become one, with the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import gram_hashes, text_buffers, word_hashes, words_of, written
+from lodeframe.llm.common import gram_hashes, likely_in, text_buffers, word_hashes, words_of, written
 from lodeframe.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -83,11 +83,11 @@ def _profile(window: int, gram: int):
                 data, at = text_buffers(part.column("text"))
                 _, _, first, text, _, _, anchors = _runs(data, at, window, gram)
                 raw = data.tobytes()
-                digests = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                digests = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
                 own = [np.unique(anchors[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(np.diff(first)), pa.array(digests), lists], ["doc_id", "row_key", "n_words", "sha256", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(np.diff(first)), pa.array(digests, pa.binary()), lists], ["doc_id", "row_key", "n_words", "sha256", "anchors"])
 
     return batches
 
@@ -227,12 +227,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words:
         raise ValueError("an anchor's words must fit in the window")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("text"))
-    profile = written(rows.mapInArrow(_profile(window, gram), "doc_id long, row_key long, n_words long, sha256 string, anchors array<long>"), "substring-profile")
-    anchors = profile.where("doc_id IS NOT NULL").select("doc_id", "row_key", F.explode("anchors").alias("anchor"))
+    profile = written(rows.mapInArrow(_profile(window, gram), "doc_id long, row_key long, n_words long, sha256 binary, anchors array<long>"), "substring-profile")
+    # Texts of equal words: the first document stands for all; every later one loses all of its words to it.
+    long_enough = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
+    classes = profile.where(long_enough).groupBy("sha256").agg(F.min(F.struct("doc_id", "row_key")).alias("head"))
+    classes = written(classes.select("sha256", F.col("head.doc_id").alias("head_id"), F.col("head.row_key").alias("head_key")), "substring-classes")
+    heads = profile.join(classes.select(F.col("head_id").alias("doc_id"), F.col("head_key").alias("row_key"), "sha256"), ["doc_id", "row_key", "sha256"])
+    anchors = written(heads.select("doc_id", "row_key", F.explode("anchors").alias("anchor")), "substring-anchors")
     repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("anchor")
-    wanted = anchors.join(repeated, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = written(anchors.join(repeated, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set("anchor").alias("anchors")), "substring-wanted")
     # Documents with such anchors, once each; the others are done.
-    affected = written(rows.join(wanted, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]), "substring-affected")
+    affected = likely_in(rows, wanted, "doc_id", "row_key").join(wanted, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"])
+    affected = written(affected, "substring-affected")
     slices = written(affected.mapInArrow(_slices(window, gram), "doc_id long, row_key long, first long, anchor long, slice_key binary, slice string"), "substring-slices")
     different = slices.groupBy("anchor", "slice_key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.first("slice").alias("slice"))
     different = written(different, "substring-different")
@@ -243,12 +249,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words:
     results = affected.join(spans, ["doc_id", "row_key"]).mapInArrow(_remove(window), "doc_id long, row_key long, n_removed long, kept_sha256 string, kept string")
     if not texts:
         results = results.drop("kept")
-    out = profile.select("doc_id", "row_key", "n_words", "sha256").join(results, ["doc_id", "row_key"], "left")
-    columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")]
+    results = results.withColumnsRenamed({"doc_id": "head_id", "row_key": "head_key"})
+    out = profile.drop("anchors").join(classes, "sha256", "left").join(results, ["head_id", "head_key"], "left")
+    headed = F.col("head_id").isNotNull() & F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
+    copied = headed & (F.col("doc_id") > F.col("head_id"))
+    removed = F.when(copied, F.col("n_words")).when(headed, F.coalesce("n_removed", F.lit(0))).otherwise(F.lit(0)).alias("n_removed")
+    own = F.lower(F.hex("sha256"))
+    kept_sha = F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).when(headed, F.coalesce("kept_sha256", own)).otherwise(own).alias("kept_sha256")
+    columns = ["doc_id", "n_words", removed, kept_sha]
     if texts:
-        whole = rows.select("doc_id", "row_key", "text").dropDuplicates(["doc_id", "row_key"])
+        whole = rows.dropDuplicates(["doc_id", "row_key"])
         out = out.join(whole, out.doc_id.eqNullSafe(whole.doc_id) & (out.row_key == whole.row_key)).drop(whole.doc_id, whole.row_key)
-        columns.append(F.coalesce("kept", F.array_join(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "), " ")).alias("kept"))
+        plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+        columns.append(F.when(copied, F.lit("")).when(headed, F.coalesce("kept", plain)).otherwise(plain).alias("kept"))
     return out.select(*columns)
 
 
