@@ -93,7 +93,7 @@ def _profile(window: int, gram: int):
 
 
 def _slices(window: int, gram: int):
-    """The slices of a row's runs whose anchors are wanted."""
+    """Places and digests of the slices of a row's runs whose anchors are wanted."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -115,13 +115,29 @@ def _slices(window: int, gram: int):
                 found = [b" ".join(raw[starts[b] : ends[b + c + window - 2]].split()) for b, c in zip(begin[hit], count[hit], strict=True)]
                 rows = pa.array(text[hit])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(rows), part.column("row_key").take(rows), pa.array(begin[hit] - first[text[hit]]), pa.array(anchors[hit].view(np.int64)), pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array(found, pa.binary()).cast(pa.string())],
-                    ["doc_id", "row_key", "first", "anchor", "slice_key", "slice"],
+                    [part.column("doc_id").take(rows), part.column("row_key").take(rows), pa.array(begin[hit] - first[text[hit]]), pa.array(count[hit]), pa.array(anchors[hit].view(np.int64)), pa.array([hashlib.md5(x).digest() for x in found], pa.binary())],
+                    ["doc_id", "row_key", "first", "count", "anchor", "slice_key"],
                 )
 
     return batches
 
 
+def _cut(window: int):
+    """The texts of the slices that a row is to give."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for part in _parts(batch):
+                given = part.column("given").flatten()
+                owner = np.repeat(np.arange(part.num_rows), np.diff(part.column("given").offsets.to_numpy()))
+                words = [(x or "").encode().split() for x in part.column("text").to_pylist()]
+                first, count = given.field("first").to_numpy(), given.field("count").to_numpy()
+                texts = [b" ".join(words[o][f : f + c + window - 1]) for o, f, c in zip(owner.tolist(), first.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(given.field(x) for x in ("anchor", "slice_key", "least", "greatest")), pa.array(texts, pa.binary()).cast(pa.string())], ["anchor", "slice_key", "least", "greatest", "slice"])
+
+    return batches
+
+
 def _windows(window: int):
     """All windows of slices, each as a slice of its own."""
 
@@ -239,9 +255,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words:
     # Documents with such anchors, once each; the others are done.
     affected = likely_in(rows, wanted, "doc_id", "row_key").join(wanted, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"])
     affected = written(affected, "substring-affected")
-    slices = written(affected.mapInArrow(_slices(window, gram), "doc_id long, row_key long, first long, anchor long, slice_key binary, slice string"), "substring-slices")
-    different = slices.groupBy("anchor", "slice_key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.first("slice").alias("slice"))
-    different = written(different, "substring-different")
+    slices = affected.mapInArrow(_slices(window, gram), "doc_id long, row_key long, first long, count long, anchor long, slice_key binary")
+    slices = written(slices, "substring-slices")
+    # Of equal slices one is cut out as text, from the first document that has it.
+    holder = F.min(F.struct("doc_id", "row_key", "first", "count")).alias("holder")
+    different = slices.groupBy("anchor", "slice_key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), holder)
+    given = F.collect_list(F.struct("holder.first", "holder.count", "anchor", "slice_key", "least", "greatest")).alias("given")
+    givers = different.groupBy("holder.doc_id", "holder.row_key").agg(given)
+    cut = affected.select("doc_id", "row_key", "text").join(givers, ["doc_id", "row_key"])
+    different = written(cut.mapInArrow(_cut(window), "anchor long, slice_key binary, least long, greatest long, slice string"), "substring-different")
     found = earlier_windows(different, window, shard_words, hot_slices)
     places = slices.select("slice_key", "doc_id", "row_key", "first").join(found, "slice_key").where("earliest < doc_id")
     start = F.col("first") + F.col("offset")
