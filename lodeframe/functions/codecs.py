@@ -287,7 +287,7 @@ def from_hex(text) -> Column:
 def find_bytes(data, part, start: int = 0) -> Column:
     """The first position from ``start`` at which ``part`` begins, from 0; NULL where it doesn't occur."""
     latin = lambda x: F.decode(F.col(x) if isinstance(x, str) else x, "ISO-8859-1")
-    at = F.locate_column(latin(part), latin(data), start + 1) if hasattr(F, "locate_column") else F.call_function("locate", latin(part), latin(data), F.lit(start + 1))
+    at = F.call_function("locate", latin(part), latin(data), F.lit(start + 1))
     return F.nullif(at, F.lit(0)) - 1
 
 

@@ -76,5 +76,5 @@ def choose(n, k) -> Column:
     n, k = (F.col(x) if isinstance(x, str) else x for x in (n, k))
     steps = F.sequence(F.lit(1), F.greatest(F.least(k, n - k), F.lit(1)))
     one = F.lit(1).cast("decimal(38,0)")
-    value = F.aggregate(steps, one, lambda a, i: F.div_(a, n, i) if hasattr(F, "div_") else F.floor((a * (n - i + 1).cast("decimal(5,0)")).cast("decimal(38,0)") / i.cast("decimal(5,0)")).cast("decimal(38,0)"))
+    value = F.aggregate(steps, one, lambda a, i: F.floor((a * (n - i + 1).cast("decimal(5,0)")).cast("decimal(38,0)") / i.cast("decimal(5,0)")).cast("decimal(38,0)"))
     return F.when((k < 0) | (k > n), F.lit(0).cast("decimal(38,0)")).when((k == 0) | (k == n), one).otherwise(value)
