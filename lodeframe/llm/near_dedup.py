@@ -7,10 +7,11 @@ same order, as texts at a small edit distance do. Candidates agree in one of the
 k-mer sequences: the longest chain of equal k-mers in the order of both texts, within the band that the threshold leaves, is
 m long, and m / (n1 + n2 - m) must reach the similarity. Classes are the connected components of verified links.
 
-Texts with equal words are one node from the start. A bucket of a sketch compares its members with its least document alone, so
-a group of copies makes one link a member. Where the members of a bucket don't all end in its least document's class, those
-that don't are compared with the rest of the bucket after all: not pair by pair but by an exact prefix-filter join on k-mers,
-rarest first, which finds every pair at the threshold. So no link between candidates is lost.
+Texts with equal words are one node from the start. A bucket of a sketch compares its members with a few leaders, its least
+document and some picked by hash, in rounds in which only members go on that aren't in a leader's class yet; so a group of
+copies makes a few links a member. Members that even then aren't in the class of their bucket's least document are compared
+with the rest of the bucket after all: not pair by pair but by an exact prefix-filter join on k-mers, rarest first, which finds
+every pair at the threshold. So no link between candidates is lost.
 
 Defined results: a text without words, or null, is a class of its own, and so are others like it; one of fewer than five words is
 one k-mer; rows that repeat a ``doc_id`` are each put in the class of their own text; a class's id is its least ``doc_id`` (nulls
@@ -29,13 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.llm.common import PUNCTUATION, folded, gram_hashes, mix, text_buffers, word_hashes, words_of, written
+from lodeframe.llm.common import PUNCTUATION, folded, gram_hashes, likely_in, mix, text_buffers, word_hashes, words_of, written
 from lodeframe.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 KEPT = 3
+#: Rounds in which the members of a bucket are compared with leaders, and leaders a round.
+ROUNDS = 1
+LEADERS = 3
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:
@@ -184,27 +188,35 @@ def prefix_pairs(texts: DataFrame, probes: DataFrame, classes: DataFrame, k: int
     """All ``(a, b)`` of a node of ``probes`` and another of ``texts``, of different classes, that may reach the similarity, exactly.
 
     k-mers are ranked rarest first. A pair's larger text has one of its first n - ceil(s n) + 1 among the first
-    n - ceil(2 s / (1 + s) n) + 1 of the smaller one's."""
+    n - ceil(2 s / (1 + s) n) + 1 of the smaller one's, and behind the first k-mer that both have, each must have enough others
+    left for the two to share what the similarity asks for."""
     rows = written(texts.select("node", "text").mapInArrow(_explode(k), "node long, size long, gram long"), "prefix-kmers")
     often = rows.groupBy("gram").agg(F.count("*").alias("n"))
     # A document's own k-mers, as many as it is long.
     ranked = rows.join(often, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "gram")))
     probe = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
     index = F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-9) + 1
-    head = ranked.where((F.col("rank") <= probe) & (F.col("n") > 1)).join(classes, "node", "left").select("node", "size", "gram", F.coalesce("label", "node").alias("label"), (F.col("rank") <= index).alias("first"))
+    head = ranked.where((F.col("rank") <= probe) & (F.col("n") > 1)).join(classes, "node", "left").select("node", "size", "gram", F.coalesce("label", "node").alias("label"), "rank", (F.col("rank") <= index).alias("first"))
     head = written(head, "prefix-heads")
     asked = head.join(probes, "node", "left_semi")
 
     def side(df, s):
-        return df.select("gram", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "size", "label", "first")))
+        return df.select("gram", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "size", "label", "rank", "first")))
 
-    other = "label_a <> label_b AND size_a * {s} <= size_b AND size_b * {s} <= size_a".format(s=similarity - 1e-9)
+    least = similarity / (1 + similarity)
+    other = f"label_a <> label_b AND 1 + least(size_a - rank_a, size_b - rank_b) >= {least} * (size_a + size_b) - 1e-6"
     larger = side(asked, "a").join(side(head.where("first"), "b"), "gram").where(f"{other} AND size_a >= size_b")
     smaller = side(asked.where("first"), "a").join(side(head, "b"), "gram").where(f"{other} AND size_a < size_b")
     pairs = larger.unionByName(smaller)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that aren't in one class."""
+    both = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b", "left")
+    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+
+
 def classify(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, n_sketches: int = SKETCHES, kept: int = KEPT) -> DataFrame:
     """Per row of ``(doc_id, text)``: ``doc_id, row_key, node, class_id, n_class``, where ``row_key`` is the hash of the text that tells
     rows of one ``doc_id`` apart."""
@@ -213,21 +225,30 @@ def classify(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY,
     profile = written(rows.mapInArrow(_profile(k, n_sketches, kept), "doc_id long, row_key long, node long, size long, sketches array<long>"), "omh-profile")
     nodes = written(profile.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("rep"), F.first("size").alias("size"), F.first("sketches").alias("sketches")), "omh-nodes")
     members = nodes.select("node", "size", F.col("rep.doc_id").alias("rep"), F.posexplode("sketches").alias("t", "sketch")).select("node", "size", "rep", F.xxhash64("t", "sketch").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("node"), F.col("size"))).alias("lead")).where("n > 1")
-    buckets = buckets.select("bucket", "n", F.col("lead.node").alias("leader"), F.col("lead.size").alias("leader_size"))
-    met = written(members.join(buckets, "bucket").select("bucket", "n", "node", "size", "leader", "leader_size"), "omh-buckets")
-    close = f"size * {similarity - 1e-9} <= leader_size AND leader_size * {similarity - 1e-9} <= size"
-    pairs = met.where(f"node <> leader AND {close}").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    heads = [F.min(F.struct(F.col("rep").isNull(), "rep", "node", "size")).alias("h0"), *(F.min(F.struct(F.xxhash64(F.lit(j), "node"), "node", "size")).alias(f"h{j}") for j in range(1, ROUNDS * LEADERS))]
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), *heads).where("n > 1")
+    leaders = F.array(*(F.struct(F.col(f"h{j}.node").alias("node"), F.col(f"h{j}.size").alias("size")) for j in range(ROUNDS * LEADERS)))
+    met = written(members.drop("rep").join(buckets.select("bucket", "n", leaders.alias("leaders")), "bucket"), "omh-buckets")
     # The texts of all nodes that share a bucket, once each.
-    wanted = met.select("node").distinct().join(nodes.select("node", "rep.doc_id", "rep.row_key"), "node")
-    texts = rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.row_key == wanted.row_key)).select("node", "text").dropDuplicates(["node"])
+    wanted = written(met.select("node").distinct().join(nodes.select("node", "rep.doc_id", "rep.row_key"), "node"), "omh-wanted")
+    texts = likely_in(rows, wanted, "doc_id", "row_key").join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.row_key == wanted.row_key)).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "omh-texts")
-    links = _verified(pairs, texts, k, similarity, "omh-links")
-    labels = components(links)
-    # Members of larger buckets that aren't in their leader's class yet.
-    named = met.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label")), "leader", "left").withColumn("leader_label", F.coalesce("leader_label", "leader"))
-    open_members = written(named.where("label <> leader_label").select("bucket", "node").distinct(), "omh-open")
+    close = f"node <> a AND size * {similarity - 1e-9} <= leader_size AND leader_size * {similarity - 1e-9} <= size"
+    links, labels = None, None
+    for r in range(ROUNDS):
+        led = met if r == 0 else met.where("n > 2")
+        led = led.select("bucket", "node", "size", F.explode(F.slice("leaders", r * LEADERS + 1, LEADERS)).alias("l")).select("node", "size", F.col("l.node").alias("a"), F.col("l.size").alias("leader_size")).where(close)
+        pairs = led.select("a", F.col("node").alias("b")).distinct()
+        if labels is not None:
+            pairs = written(_apart(pairs, labels), "omh-pairs")
+            if not pairs.limit(1).count():
+                break
+        found = _verified(pairs, texts, k, similarity, "omh-links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    # Members of larger buckets that aren't in their first leader's class yet.
+    ends = met.where("n > 2").select("bucket", F.col("node").alias("b"), F.col("leaders")[0]["node"].alias("a"))
+    open_members = written(_apart(ends, labels).select("bucket", F.col("b").alias("node")).distinct(), "omh-open")
     if open_members.limit(1).count():
         company = met.join(open_members.select("bucket").distinct(), "bucket", "left_semi").select("node").distinct()
         more = prefix_pairs(texts.join(company, "node", "left_semi"), open_members.select("node").distinct(), labels, k, similarity)
