@@ -137,6 +137,8 @@ def lbfgs(f, x, clamp, steps: int = 300, memory: int = 8) -> np.ndarray:
             q *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1])
         for (s, y), a in zip(pairs, reversed(alphas), strict=True):
             q += s * (a - y @ q / (s @ y))
+        if g @ q <= 0:
+            q, pairs = g.copy(), []
         step, value = 1.0, f(x)
         while step > 1e-12:
             new = clamp(x - step * q)
@@ -145,8 +147,11 @@ def lbfgs(f, x, clamp, steps: int = 300, memory: int = 8) -> np.ndarray:
             step /= 2
         else:
             break
+        while step >= 1.0 and step < 1e6 and f(clamp(x - 2 * step * q)) < min(f(new), value - 2e-4 * step * (g @ q)):
+            step *= 2  # a longer step shows more of the curvature
+            new = clamp(x - step * q)
         new_g = gradient(f, new)
-        if abs((new - x) @ (new_g - g)) > 1e-12:
+        if (new - x) @ (new_g - g) > 1e-12:  # only curvature that is positive
             pairs = [*pairs, (new - x, new_g - g)][-memory:]
         x, g = new, new_g
     return x

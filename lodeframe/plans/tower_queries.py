@@ -8,10 +8,10 @@ from lodeframe.plans.registry import query, table
 
 @query(
     "n01_n08_tower_arithmetic",
-    """SELECT p_partkey, round(p_retailprice + p_size, 6) AS added, round(p_retailprice * p_size, 6) AS multiplied, round(p_retailprice / p_size, 6) AS divided, round(pow(p_size, 3), 6) AS cubed, round(sqrt(p_retailprice), 6) AS root, round(log10(p_retailprice), 6) AS log, round(gamma((p_size % 20 + 1)::DOUBLE), 3) AS gamma, round(p_retailprice - p_size, 6) AS parsed FROM part""",
+    """SELECT p_partkey, round(p_retailprice + p_size, 6) AS added, round(p_retailprice * p_size, 6) AS multiplied, round(p_retailprice / p_size, 6) AS divided, round(pow(p_size, 3), 6) AS cubed, round(sqrt(p_retailprice), 6) AS root, round(log10(p_retailprice), 6) AS log, round(gamma((p_size % 9 + 1)::DOUBLE), 3) AS gamma, round(p_retailprice - p_size, 6) AS parsed FROM part""",
 )
 def arithmetic(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", N.towers("p_retailprice").alias("a"), N.towers("p_size").alias("b"), N.towers(F.lit(3.0)).alias("c"), N.towers(F.col("p_size") % 20 + 1).alias("g"), N.parsed(F.col("p_retailprice").cast("string")).alias("t"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", N.towers("p_retailprice").alias("a"), N.towers("p_size").alias("b"), N.towers(F.lit(3.0)).alias("c"), N.towers(F.col("p_size") % 9 + 1).alias("g"), N.parsed(F.col("p_retailprice").cast("string")).alias("t"))
     out = {"added": N.binary("add", "a", "b"), "multiplied": N.binary("multiply", "a", "b"), "divided": N.binary("divide", "a", "b"), "cubed": N.binary("power", "b", "c"), "root": N.unary("sqrt", "a"), "log": N.unary("log10", "a"), "gamma": N.unary("gamma", "g"), "parsed": N.binary("subtract", "t", "b")}
     rows = rows.select("p_partkey", *(v.alias(k) for k, v in out.items()))
     return rows.select("p_partkey", *(F.round(N.numbers(k), 3 if k == "gamma" else 6).alias(k) for k in out))
@@ -27,7 +27,7 @@ def order(spark, sf_dir):
 
 @query(
     "n15_series",
-    """SELECT p_partkey, round(p_retailprice * (1 - pow(1.15, p_size)) / (1 - 1.15), 4) AS geometric, round(p_size / 2.0 * (2 * p_retailprice + (p_size - 1) * 7), 4) AS arithmetic, floor((-(p_retailprice - 3.5) + sqrt(pow(p_retailprice - 3.5, 2) + 14 * 100000)) / 7)::BIGINT AS affordable FROM part""",
+    """SELECT p_partkey, round(p_retailprice * (1 - pow(1.15::DOUBLE, p_size)) / (1 - 1.15::DOUBLE), 6) AS geometric, round(p_size / 2.0::DOUBLE * (2 * p_retailprice + (p_size - 1) * 7), 6) AS arithmetic, floor((-(p_retailprice - 3.5) + sqrt(pow(p_retailprice - 3.5, 2) + 14 * 100000)) / 7)::BIGINT AS affordable FROM part""",
 )
 def series(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(N.geometric_sum("p_size", "p_retailprice", 1.15), 4).alias("geometric"), F.round(N.arithmetic_sum("p_size", "p_retailprice", 7.0), 4).alias("arithmetic"), N.arithmetic_afford(100000.0, "p_retailprice", 7.0).alias("affordable"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(N.geometric_sum("p_size", "p_retailprice", 1.15), 6).alias("geometric"), F.round(N.arithmetic_sum("p_size", "p_retailprice", 7.0), 6).alias("arithmetic"), N.arithmetic_afford(100000.0, "p_retailprice", 7.0).alias("affordable"))
