@@ -33,9 +33,9 @@ from lodeframe.llm.fm_index import FMIndex
 
 WINDOW = 50
 GRAM = 8
-#: Words of slices in a shard, and the number of different slices of an anchor beyond which they are dealt out by window.
+#: Words of slices in a shard as a rule, and the number of different slices of an anchor beyond which they are dealt out by window.
 SHARD_WORDS = 1_000_000
-HOT_SLICES = 5_000
+HOT_SLICES = 20_000
 _POSITION = 28
 
 
