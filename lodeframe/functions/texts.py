@@ -166,6 +166,46 @@ def decode_symbols(bits: str, codes: dict[str, str]) -> str:
     return "".join(out)
 
 
+def tree_text(codes: dict[str, str]) -> str:
+    """A code's tree in preorder: I before two subtrees, L before a leaf's symbol. Frequencies aren't kept."""
+    back = {v: k for k, v in codes.items()}
+
+    def walk(prefix: str) -> str:
+        return f"L{back[prefix]}" if prefix in back else "I" + walk(prefix + "0") + (walk(prefix + "1") if any(c.startswith(prefix + "1") for c in back) else "")
+
+    return walk("")
+
+
+def tree_codes(text: str) -> dict[str, str]:
+    """The codes of a tree in preorder; a lone leaf below one branch has code 0."""
+    at, out = 0, {}
+
+    def walk(prefix: str) -> None:
+        nonlocal at
+        if at >= len(text):
+            if prefix == "1":  # the missing half of a one-symbol tree
+                return
+            raise ValueError("the tree ends too early")
+        mark, at = text[at], at + 1
+        if mark == "L":
+            out[text[at]] = prefix
+            at += 1
+        elif mark == "I":
+            walk(prefix + "0")
+            walk(prefix + "1")
+        else:
+            raise ValueError(f"{mark!r} marks no node")
+
+    walk("")
+    return out
+
+
+def sibling_property(table: dict[str, tuple[int, int]]) -> bool:
+    """Whether ``symbol: (freq, depth)`` can be a Huffman code: no symbol lies deeper than a rarer one."""
+    rows = sorted(table.values())
+    return all(a[1] >= b[1] for a, b in zip(rows[:-1], rows[1:], strict=True) if a[0] < b[0])
+
+
 # LZ77 with a window of 32768 bytes and matches of 3 to 258.
 
 LEAST, MOST, SPAN = 3, 258, 32_768

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import codecs as C
 from lodeframe.functions import goals as P
+from lodeframe.functions import schemas as S
 from lodeframe.functions import texts as X
 from lodeframe.plans.registry import query, table
 
@@ -80,3 +81,12 @@ def lz77(spark, sf_dir):
     """The bytes that a text's tokens stand for."""
     tokens = X.lz77(table(spark, sf_dir, "benchmark").select("item_id", C.utf8("text").alias("d")), "item_id", "d", lazy=True)
     return tokens.groupBy("item_id").agg(F.sum(F.when(F.col("length") > 0, F.col("length")).otherwise(1)).cast("long").alias("size"))
+
+
+_REGIONS = {0: "AFRICA", 1: "AMERICA", 2: "ASIA", 3: "EUROPE", 4: "MIDDLE EAST"}
+
+
+@query("i04_enum_names", "SELECT n_name, r_name AS name, n_regionkey::BIGINT AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+def enum_names(spark, sf_dir):
+    names = S.enum_name("n_regionkey", _REGIONS)
+    return table(spark, sf_dir, "nation").select("n_name", names.alias("name"), S.enum_value(names, _REGIONS).alias("value"))

@@ -61,6 +61,8 @@ def test_huffman_and_lz77():
         X.limited_depths([1] * 5, 2)
     codes = X.canonical_codes(dict(zip(freqs, depths, strict=True)))
     assert X.decode_symbols(X.encode_symbols("fadedcab", codes), codes) == "fadedcab"
+    assert X.tree_codes(X.tree_text(codes)) == codes and X.tree_codes(X.tree_text({"a": "0"})) == {"a": "0"}
+    assert X.sibling_property({k: (f, d) for (k, f), d in zip(freqs.items(), depths, strict=True)})
     data = b"abracadabra abracadabra " * 20 + bytes(range(50))
     for lazy in (False, True):
         tokens = X.lz77_tokens(data, 64, lazy)
