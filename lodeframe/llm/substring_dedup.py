@@ -3,15 +3,17 @@
 A window is ``window`` consecutive words of one document; a word goes if some window that covers it also starts in a document
 with a smaller ``doc_id``. Windows are judged on the input.
 
-Of documents with equal words the first stands for all, and the later ones lose every word to it. Sharding is by content, so that every occurrence of a window meets in one shard and none is compared elsewhere. The anchor of a
-window is the least of the hashes of its runs of ``gram`` words (the leftmost, of equal ones); equal windows have equal anchors.
-Successive windows with one anchor form a run, and only anchors of two or more documents matter, which an aggregation with
-map-side partial sums finds. Runs of such anchors are cut out of their documents as slices; equal slices become one, with the
-least and the greatest ``doc_id`` that have it; and slices go to shards by anchor. A shard builds a compressed FM-index of its
-slices and streams them through it: backward search yields the matching statistics, and every interval of windows that
-reaches the threshold is reported with the least ``doc_id`` that has it. An anchor with very many different slices, as the edge
-of a passage has that a large share of all documents quote, would fill one shard; its slices are dealt out window by
-window instead, after windows of a single slice have been set aside, with the same result.
+Of documents with equal words the first stands for all, and the later ones lose every word to it. Sharding is by content, so
+that every occurrence of a window meets in one shard and none is compared elsewhere. The anchor of a window is the least of the
+hashes of its runs of ``gram`` words (the leftmost, of equal ones); equal windows have equal anchors. Successive windows with one
+anchor form a run, and only anchors of two or more documents matter, which an aggregation with map-side partial sums finds.
+Runs of such anchors are slices; equal slices become one, with the least and the greatest ``doc_id`` that have it, and go to
+shards by anchor. A shard builds a compressed FM-index of its slices and streams them through it: backward search yields the
+matching statistics, and every interval of windows that reaches the threshold is reported with the least ``doc_id`` that has it.
+
+An anchor with very many different slices, as the edge of a passage has that a large share of all documents quote, would fill
+one shard; its slices are dealt out window by window instead, after windows of one document alone have been set aside, with the
+same result.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` neither removes nor loses words; rows that repeat a
 ``doc_id`` don't remove words from each other, whatever their texts; a text shorter than the window stays whole; an empty table
