@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Separators of words, as a fixed value of the data contracts.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -199,16 +199,22 @@ def likely_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """``rows`` without most of those whose ``columns`` aren't in ``keys``, so that a join moves less: a filter of fixed size goes to all executors."""
     from pyspark.sql import functions as F
 
+    return rows.where(likely_in_column(keys, *columns)(F.xxhash64(*columns)))
+
+
+def likely_in_column(keys: DataFrame, *columns: str) -> Callable[[Column], Column]:
+    """A test of xxhash64 values: true for those of all ``columns`` in ``keys``, and seldom for others."""
+    from pyspark.sql import functions as F
+
     spot = F.shiftrightunsigned(F.xxhash64(*columns), 64 - FILTER_BITS)
     parts = keys.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("bits"))
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     size = 4096
+    bits = np.zeros((1 << FILTER_BITS) // 8 + size, np.uint8)
     for bucket, found in parts.toLocalIterator():
-        # Buckets count from 1 and hold positions 32768 (bucket - 1) + 1 and on; position 0 has bucket 0.
-        bits_at = (bucket - 1) * size if bucket > 0 else None
-        if bits_at is not None and bits_at < len(bits):
-            bits[bits_at : bits_at + size] = np.frombuffer(found, np.uint8)[: len(bits) - bits_at]
-    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+        # Buckets count from 1 and hold positions 32768 (bucket - 1) + 1 and on; position 0, without a bucket, always passes.
+        if bucket > 0:
+            bits[(bucket - 1) * size : bucket * size] = np.frombuffer(found, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     @F.pandas_udf("boolean")
     def passes(spots: pd.Series) -> pd.Series:
@@ -216,4 +222,4 @@ def likely_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
         at = spots.to_numpy() - 1
         return pd.Series(np.where(at < 0, True, (table[np.maximum(at, 0) >> 3] >> (np.maximum(at, 0) & 7)) & 1).astype(bool))
 
-    return rows.where(passes(spot))
+    return lambda hashes: passes(F.shiftrightunsigned(hashes, 64 - FILTER_BITS))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.llm.common import PUNCTUATION, folded, gram_hashes, likely_in, mix, text_buffers, word_hashes, words_of, written
+from lodeframe.llm.common import PUNCTUATION, folded, gram_hashes, likely_in, likely_in_column, mix, text_buffers, word_hashes, words_of, written
 from lodeframe.llm.components import components
 
 SHINGLE = 5
@@ -207,7 +207,10 @@ def prefix_pairs(texts: DataFrame, probes: DataFrame, classes: DataFrame, k: int
     other = f"label_a <> label_b AND 1 + least(size_a - rank_a, size_b - rank_b) >= {least} * (size_a + size_b) - 1e-6"
     larger = side(asked, "a").join(side(head.where("first"), "b"), "gram").where(f"{other} AND size_a >= size_b")
     smaller = side(asked.where("first"), "a").join(side(head, "b"), "gram").where(f"{other} AND size_a < size_b")
-    pairs = larger.unionByName(smaller)
+    met = larger.unionByName(smaller).select("node_a", "node_b", "label_a", "label_b", "size_a", "size_b", "rank_a", "rank_b")
+    # Of all that both have in their heads, the last leaves each so many k-mers; no more than these can be common besides.
+    pairs = met.groupBy("node_a", "node_b", "label_a", "label_b", "size_a", "size_b").agg(F.count("*").alias("common"), F.max("rank_a").alias("rank_a"), F.max("rank_b").alias("rank_b"))
+    pairs = pairs.where(f"common + least(size_a - rank_a, size_b - rank_b) >= {least} * (size_a + size_b) - 1e-6")
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -269,9 +272,16 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     # The choice is made among ids; copies of the chosen row itself are told apart where the rows are.
     heads = classes.where("node IS NOT NULL").select("class", "doc_id", "row_key").distinct().withColumn("_first", first)
     gone = written(heads.where("_first > 1").select("doc_id", "row_key"), "omh-gone")
-    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(gone, rows.doc_id.cast("long").eqNullSafe(gone.doc_id) & (rows._key == gone.row_key), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key") if _repeats(classes) else kept.drop("_key")
+    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).withColumn("_id", F.col("doc_id").cast("long"))
+    # Only rows that the filter can't clear are moved for the join.
+    likely = likely_in_column(gone, "doc_id", "row_key")(F.xxhash64("_id", "_key"))
+    marked = rows.withColumn("_likely", likely)
+    suspects = marked.where("_likely").join(gone, F.col("_id").eqNullSafe(gone.doc_id) & (F.col("_key") == gone.row_key), "left_anti")
+    kept = marked.where("NOT _likely").unionByName(suspects)
+    if _repeats(classes):
+        worded = F.coalesce(F.col("text").cast("string").rlike(r"[0-9A-Za-z\u0080-\x{10FFFF}]"), F.lit(False))
+        kept = kept.where(~worded).unionByName(kept.where(worded).dropDuplicates(["_id", "_key"]))
+    return kept.drop("_key", "_id", "_likely")
 
 
 def _repeats(classes: DataFrame) -> bool:
