@@ -3,13 +3,17 @@
 Equal vectors are one node, with the least few of their ids as its members. The graph starts from blocks: under each of some
 random projections, nodes with equal signs are compared with each other. NN-descent then improves it round by round, on the
 principle that a neighbour of a neighbour is probably a neighbour: links are taken both ways, the vectors at the ends of each
-node's links meet at that node, and each of them keeps those of the others that are nearer than its farthest neighbour.
+node's links meet at that node, and each of them keeps those of the others that are nearer than its farthest neighbour. The
+rounds go on until few links change.
 Vectors travel as half-precision numbers there; what is returned is measured on the originals in double precision.
 
 A search keeps a beam of the nearest nodes found so far. Each round expands the nearest few that aren't expanded yet: their
 neighbours, both ways, are joined in and measured, until no query has anything left to expand. It starts from the query's own
 neighbours in the graph, and, for vectors that aren't in it, from the nodes of the query's blocks.
 
+How wide a beam must be depends on the table. So some nodes are probes: their true neighbours come from one pass over all nodes,
+and the beam is doubled until the search finds enough of them, or reaches all that it can; a shortfall then gives a warning.
+
 Sizes: a block of more than ``block`` nodes is cut by hash into parts, each whole in one task; a node with more than ``hub`` incoming
 links has its meeting dealt out in parts as well, each with all of the node's own links. Nothing is left out of the graph's
 candidates otherwise.
@@ -21,6 +25,7 @@ id; a query with fewer candidates than asked for gets all; empty tables give emp
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +39,10 @@ from lodeframe.llm.common import written
 NEIGHBOURS = 16
 TREES = 16
 BLOCK = 64
-ROUNDS = 3
+CHANGED = 0.01
 BEAM = 400
+PROBES = 200
+RECALL = 0.93
 EXPAND = 96
 HUB = 400
 
@@ -163,8 +170,10 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS, hub: int = HUB, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """The graph ``(node, near, distance)`` of nodes ``(node, vector)``, and the nodes with ``half`` and ``blocks``. Distances there are squares."""
+def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int = BLOCK, rounds: int | None = None, hub: int = HUB, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The graph ``(node, near, distance)`` of nodes ``(node, vector)``, and the nodes with ``half`` and ``blocks``. Distances there are squares.
+
+    It ends when a round changes at most ``CHANGED`` of the links, or after ``rounds`` if given."""
     spark = nodes.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
@@ -179,7 +188,9 @@ def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int
     found = dealt.repartition(shuffles, "part").sortWithinPartitions("part").mapInArrow(_within_blocks(k), _EDGES)
     graph = written(_nearest(found.withColumn("age", F.lit(0)), k), "nn-graph")
     halves = coded.select("node", "half")
-    for age in range(1, rounds + 1):
+    age = 0
+    while rounds is None or age < rounds:
+        age += 1
         # An end's farthest neighbour so far; one with fewer than k takes any.
         farthest = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf")).cast("float")).alias("farthest"))
         ends = halves.join(farthest, "node", "left").select(F.col("node").alias("end"), "half", F.coalesce("farthest", F.lit(float("inf")).cast("float")).alias("farthest"))
@@ -193,6 +204,9 @@ def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int
         met = links.join(ends, "end").select(F.xxhash64("meeting", "part").alias("meeting"), "end", "new", "half", "farthest")
         found = met.repartition(shuffles, "meeting").sortWithinPartitions("meeting").mapInArrow(_meetings(k), _EDGES)
         graph = written(_nearest(graph.unionByName(found.withColumn("age", F.lit(age))), k), "nn-graph")
+        links_now, changed = graph.agg(F.count("*"), F.count_if(F.col("age") == age)).first()
+        if changed <= CHANGED * links_now:
+            break
     return graph.select("node", "near", "distance"), coded
 
 
@@ -211,41 +225,94 @@ def _kept(source: DataFrame, beam: int) -> DataFrame:
     return once.withColumn("_rank", rank).where(F.col("_rank") <= beam).drop("_rank")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, coded: DataFrame, k: int = 10, beam: int = BEAM, expand: int = EXPAND, seed: int = 7) -> DataFrame:
+def _nearest_probed(probes: dict[int, np.ndarray], k: int):
+    """The k nearest nodes of each probe in each batch, without its own, by brute force."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            vectors, nodes = batch.column("vector"), batch.column("node").to_numpy()
+            sizes = vectors.value_lengths().to_numpy()
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                x = _matrix(vectors.take(pa.array(own)))
+                for probe, vector in probes.items():
+                    if len(vector) == size:
+                        far = np.sqrt(((x - vector) ** 2).sum(1))
+                        far[nodes[own] == probe] = np.inf
+                        top = np.argsort(far)[:k]
+                        top = top[np.isfinite(far[top])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), probe)), pa.array(nodes[own][top]), pa.array(far[top])], ["query_id", "node", "score"])
+
+    return batches
+
+
+def _wide_enough(reached, vectors: DataFrame, k: int) -> int:
+    """The first beam, from ``BEAM`` on by doubling, with which probes find ``RECALL`` of their true ``k`` nearest nodes."""
+    probes = {r.node: np.array(r.vector) for r in vectors.orderBy(F.xxhash64("node"), "node").limit(PROBES).collect()}
+    beam = BEAM
+    if not probes:
+        return beam
+    asked = vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in probes.items()], "query_id long, query array<double>")
+    near = vectors.mapInArrow(_nearest_probed(probes, k), "query_id long, node long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "node"))
+    true = written(near.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy("query_id").agg(F.max("score").alias("last"), F.count("*").alias("all")), "nn-true")
+    while True:
+        state = reached(asked, beam)
+        # Nodes as near as the k-th count, so that ties do; a probe's own node doesn't.
+        hit = (F.col("node") != F.col("query_id")) & (F.col("score") <= F.col("last") * (1 + 1e-12))
+        found = state.join(true, "query_id").groupBy("query_id", "all").agg(F.least(F.count_if(hit), "all").alias("hits"), F.count("*").alias("held"))
+        hits, every, held = true.join(found.drop("all"), "query_id", "left").agg(F.coalesce(F.sum("hits"), F.lit(0)), F.sum("all"), F.coalesce(F.max("held"), F.lit(0))).first()
+        if hits >= RECALL * (every or 0):
+            return beam
+        if held < beam:
+            warnings.warn(f"probes find {hits} of {every} neighbours, and no wider beam reaches more", stacklevel=3)
+            return beam
+        beam *= 2
+
+
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, coded: DataFrame, k: int = 10, beam: int | None = None, expand: int = EXPAND, seed: int = 7) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: of each query ``(query_id, query)`` the ``k`` nearest found; a query's own id isn't a candidate.
 
-    ``nodes`` are those of ``nodes_of``, ``graph`` and ``coded`` what ``build`` returned."""
+    ``nodes`` are those of ``nodes_of``, ``graph`` and ``coded`` what ``build`` returned. Without ``beam`` it is found with probes."""
     links = written(graph.select("node", "near").unionByName(graph.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), "nn-links")
     vectors = written(nodes.select("node", "vector"), "nn-vectors")
-    asked = written(queries.select(F.col("query_id"), "query"), "nn-queries")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(vectors, "node").join(asked, "query_id").where(F.size("query") == F.size("vector"))
-        return full.select("query_id", "query", "node", "vector").mapInArrow(_measure, "query_id long, node long, score double").withColumn("expanded", F.lit(False))
-
-    # A query that is in the graph starts at its own node, any other at the nodes of its blocks.
-    at_node = asked.join(vectors, asked["query"] == vectors["vector"]).select("query_id", "node")
-    start = at_node
-    absent = asked.join(at_node.select("query_id"), "query_id", "left_anti")
-    if absent.limit(1).count():
-        trees = coded.select(F.size("blocks")).first()
-        if trees is not None:
-            n = nodes.count()
-            bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
-            codes = absent.select(F.col("query_id").alias("node"), F.col("query").alias("vector")).mapInArrow(_signs(seed, trees[0], bits), "node long, half binary, blocks array<long>")
-            codes = codes.select(F.col("node").alias("query_id"), F.posexplode("blocks").alias("tree", "code"))
-            spots = coded.select("node", F.posexplode("blocks").alias("tree", "code"))
-            start = start.unionByName(codes.join(spots, ["tree", "code"]).select("query_id", "node").distinct())
-    state = written(_kept(measured(start), beam), "nn-beam")
-    while True:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "node"))
-        front = state.where("NOT expanded").withColumn("_rank", rank).where(F.col("_rank") <= expand).select("query_id", "node")
-        front = written(front, "nn-front")
-        if not front.limit(1).count():
-            break
-        ahead = front.join(links, "node").select("query_id", F.col("near").alias("node")).distinct().join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        done = state.join(front.withColumn("_now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("expanded") | F.coalesce("_now", F.lit(False))).alias("expanded"))
-        state = written(_kept(done.unionByName(measured(ahead)), beam), "nn-beam")
+
+    def reached(queries: DataFrame, beam: int) -> DataFrame:
+        """``(query_id, node, score, expanded)``: the beams where nothing is left to expand."""
+        asked = written(queries.select(F.col("query_id"), "query"), "nn-queries")
+
+        def measured(pairs: DataFrame) -> DataFrame:
+            full = pairs.join(vectors, "node").join(asked, "query_id").where(F.size("query") == F.size("vector"))
+            return full.select("query_id", "query", "node", "vector").mapInArrow(_measure, "query_id long, node long, score double").withColumn("expanded", F.lit(False))
+
+        # A query that is in the graph starts at its own node, any other at the nodes of its blocks.
+        at_node = asked.join(vectors, asked["query"] == vectors["vector"]).select("query_id", "node")
+        start = at_node
+        absent = asked.join(at_node.select("query_id"), "query_id", "left_anti")
+        if absent.limit(1).count():
+            trees = coded.select(F.size("blocks")).first()
+            if trees is not None:
+                n = nodes.count()
+                bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
+                codes = absent.select(F.col("query_id").alias("node"), F.col("query").alias("vector")).mapInArrow(_signs(seed, trees[0], bits), "node long, half binary, blocks array<long>")
+                codes = codes.select(F.col("node").alias("query_id"), F.posexplode("blocks").alias("tree", "code"))
+                spots = coded.select("node", F.posexplode("blocks").alias("tree", "code"))
+                start = start.unionByName(codes.join(spots, ["tree", "code"]).select("query_id", "node").distinct())
+        state = written(_kept(measured(start), beam), "nn-beam")
+        while True:
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "node"))
+            front = state.where("NOT expanded").withColumn("_rank", rank).where(F.col("_rank") <= max(expand, beam // 4)).select("query_id", "node")
+            front = written(front, "nn-front")
+            if not front.limit(1).count():
+                break
+            ahead = front.join(links, "node").select("query_id", F.col("near").alias("node")).distinct().join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
+            done = state.join(front.withColumn("_now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("expanded") | F.coalesce("_now", F.lit(False))).alias("expanded"))
+            state = written(_kept(done.unionByName(measured(ahead)), beam), "nn-beam")
+        return state
+
+    if beam is None:
+        beam = _wide_enough(reached, vectors, k)
+    state = reached(queries, beam)
     members = state.join(nodes.select("node", "members"), "node").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return members.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

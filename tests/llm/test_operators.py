@@ -90,6 +90,21 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.search(queries, none, graph, coded).count() == 0
 
 
+def test_neighbours_graph_converges_and_beam_follows_recall(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(3000, 8))
+    nodes = neighbours.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 10)
+    graph, coded = neighbours.build(nodes, k=8, trees=2, block=8)  # blocks this few leave much to the rounds
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, 1:]
+    links = {(r.node, r.near) for r in graph.collect()}
+    share = len(links & {(i, int(j)) for i in range(3000) for j in near[i, :8]}) / (8 * 3000)
+    assert share >= 0.9
+    monkeypatch.setattr(neighbours, "BEAM", 10)
+    asked = range(0, 3000, 60)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in asked], "query_id long, query array<double>")
+    found = {(r.query_id, r.vec_id) for r in neighbours.search(queries, nodes, graph, coded, expand=4).collect()}
+    assert len(found & {(i, int(j)) for i in asked for j in near[i, :10]}) >= 0.9 * 10 * len(asked)
+
+
 # 3: URL filter
 
 
