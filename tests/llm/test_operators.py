@@ -207,6 +207,18 @@ def test_language_id(spark, docs):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def test_language_id_keeps_all_grams(spark, docs):
+    few = docs.select("text", "lang").limit(60).unionByName(spark.createDataFrame([("xyzzy plugh", "rare")], "text string, lang string"))
+    whole, tables = language_id.fit(few), language_id.fit(few, max_grams=100)
+    texts = rows_of(spark, [*ODD, "xyzzy plugh", "qxzj vwkq zzxq jjqw xkcd qqqq" * 20, *[r.text for r in few.limit(5).collect()]])
+    a, b = (language_id.predict(texts, m).orderBy("doc_id").collect() for m in (whole, tables))
+    assert "rare" in {r.lang_pred for r in b}
+    assert [(r.text, r.lang_pred, r.rejected) for r in a] == [(r.text, r.lang_pred, r.rejected) for r in b]
+    assert all(x.score == pytest.approx(y.score, abs=1e-4) and x.cross_entropy == pytest.approx(y.cross_entropy, rel=1e-4) for x, y in zip(a, b, strict=True) if x.cross_entropy is not None)
+    limits = tables.limits
+    assert np.allclose(whole.entropy, limits.entropy, rtol=1e-4) and np.allclose(whole.spread, limits.spread, rtol=1e-3) and np.allclose(whole.random, limits.random, rtol=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     keys, counts = np.unique(language_id.grams(["the then there that abba baab cab"])[0], return_counts=True)
     model = language_id.fit_counts(["x"], {"x": (keys, counts)})
