@@ -223,6 +223,29 @@ _DIGIT = re.compile(r"[0-9]")
 _BY_KIND = {"date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+_RUN = re.compile(r"[0-9](?:[ -]?[0-9])*")
+_GROUP = re.compile(r"[0-9]+")
+_AFTER = re.compile(r"[A-Za-z_@]|[.][0-9]")
+
+
+def _shorter(text: str, start: int) -> tuple[int, list[tuple[int, int]]]:
+    """The end of the run of digit groups from ``start`` on, and the spans of its groups that may be a card."""
+    end = _RUN.match(text, start).end()
+    groups = [x.span() for x in _GROUP.finditer(text, start, end)]
+    if _AFTER.match(text, end):
+        groups.pop()
+    found = []
+    for i in range(len(groups)):
+        digits = 0
+        for a, b in groups[i:]:
+            digits += b - a
+            if digits > 19:
+                break
+            if digits >= 13:
+                found.append((groups[i][0], b))
+    return end, found
+
+
 def _rewrite(text: str, move: Move) -> tuple[str, int]:
     count = 0
 
@@ -239,7 +262,13 @@ def _rewrite(text: str, move: Move) -> tuple[str, int]:
     if "@" in text:
         spans += [(*x.span(), _email) for x in _EMAIL.finditer(text)]
     spans += [(*x.span(), _iban) for x in _IBAN.finditer(text)]
-    spans += [(*x.span(), _BY_KIND[x.lastgroup]) for x in _NUMBER.finditer(text)]
+    run = 0
+    for x in _NUMBER.finditer(text):
+        spans.append((*x.span(), _BY_KIND[x.lastgroup]))
+        if x.lastgroup == "card" and x.start() >= run and _card(x[0], move) is None:
+            # A short number beside a card: the card may be some of the groups.
+            run, shorter = _shorter(text, x.start())
+            spans += [(*span, _card) for span in shorter]
     spans.sort(key=lambda x: (x[0], -x[1]))
     out, at = [], 0
     for start, end, by in spans:

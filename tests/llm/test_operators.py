@@ -207,6 +207,14 @@ def test_language_id(spark, docs):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("text", ["n 12 4111 1111 1111 1111", "4111 1111 1111 1111 123", "4111-1111-1111-1111-123", "12 35 4111 1111 1111 1111.", "1 2 4111111111111111 5"])
+def test_card_beside_short_number(text):
+    new, count = pii.pseudonymise(text, b"k" * 32)
+    assert count == 1 and len(new) == len(text)
+    card = re.search("4111[ -]?1111[ -]?1111[ -]?1111", text).span()
+    assert new[: card[0]] == text[: card[0]] and new[card[1] :] == text[card[1] :] and new != text
+
+
 def test_language_id_keeps_all_grams(spark, docs):
     few = docs.select("text", "lang").limit(60).unionByName(spark.createDataFrame([("xyzzy plugh", "rare")], "text string, lang string"))
     whole, tables = language_id.fit(few), language_id.fit(few, max_grams=100)
