@@ -11,16 +11,31 @@ from lodeframe.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``(a, b)``: the least node of its component.
 
-    Each round takes the least label of a node and its neighbours and then the label of that label, so paths shrink by half
-    or better. Sums go before the shuffles; what a hot node is joined with is one row."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "component-links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "component-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), "label")
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = written(lower.join(jump, "low").select("node", F.least("low", "jump").alias("label"), F.col("label").alias("before")), "component-labels")
-        done = not new.where("label < before").limit(1).count()
-        labels = new.select("node", "label")
-        if done:
-            return labels
+    Each round points every node to the least of itself and its neighbours, follows the pointers to their ends by doubling, and
+    puts the ends in place of the nodes; links within an end are done and leave, so each round has half the nodes at most. Sums
+    go before the shuffles; what a hot node is joined with is one row."""
+    order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = written(links.where("a <> b").select(*order).distinct(), "component-links")
+    rounds: list[DataFrame] = []
+    while not rounds or edges.limit(1).count():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        labels = written(labels, "component-labels")
+        while True:
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
+            ahead = labels.join(jump, "label").select("node", F.col("end").alias("label"), (F.col("end") < F.col("label")).alias("moved"))
+            ahead = written(ahead, "component-labels")
+            labels = ahead.drop("moved")
+            if not ahead.where("moved").limit(1).count():
+                break
+        rounds.append(labels)
+        left = labels.select(F.col("node").alias("a"), F.col("label").alias("low"))
+        right = labels.select(F.col("node").alias("b"), F.col("label").alias("high"))
+        edges = edges.join(left, "a").join(right, "b").where("low <> high")
+        edges = edges.select(F.col("low").alias("a"), F.col("high").alias("b"))
+        edges = written(edges.select(*order).distinct(), "component-links")
+    found = rounds[0]
+    for higher in rounds[1:]:
+        higher = higher.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        found = found.join(higher, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+    return written(found, "component-labels")

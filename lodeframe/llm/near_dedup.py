@@ -3,19 +3,23 @@
 Texts are folded to lower case and split at everything but letters and digits; their k-mers are runs of five words, labelled by
 occurrence so that the third of three equal ones differs from the first. A sketch takes the few k-mers that are least under
 one hash function and keeps them in the order of the text, so two texts agree in it where they share those k-mers in the
-same order, as texts at a small edit distance do. Candidates agree in one of the sketches. They are verified by alignment of their
-k-mer sequences: the longest chain of equal k-mers in the order of both texts, within the band that the threshold leaves, is
-m long, and m / (n1 + n2 - m) must reach the similarity. Classes are the connected components of verified links.
+same order, as texts at a small edit distance do. Candidates agree in one of the sketches.
 
-Texts with equal words are one node from the start. A bucket of a sketch compares its members with a few leaders, its least
-document and some picked by hash, in rounds in which only members go on that aren't in a leader's class yet; so a group of
-copies makes a few links a member. Members that even then aren't in the class of their bucket's least document are compared
-with the rest of the bucket after all: not pair by pair but by an exact prefix-filter join on k-mers, rarest first, which finds
-every pair at the threshold. So no link between candidates is lost.
+Candidates are verified by banded alignment of their words: the longest chain of equal k-mers in the order of both texts, within
+the band that the threshold leaves, fixes what is equal; between neighbours of the chain, stretches of up to ``STRETCH`` words
+are aligned word by word, and longer ones count as different. With ``e`` words inserted, deleted or replaced, the similarity is
+1 - e / max(n1, n2); it is never above that of the best alignment of all, and equal to it unless edits crowd. Classes are the
+connected components of verified links.
+
+Texts with equal words are one node from the start. A bucket of a sketch compares its members with its leader, the least
+document, so a group of copies makes a few links a member and is one class then. Buckets whose members
+are of several classes even so, as those of a passage that many texts quote, go on: their members meet in blocks of bounded
+size, each pair in the first bucket that it shares, and pairs of different classes are verified if so many of their words are
+common that the threshold can be reached. So no link between candidates is lost, and pairs leave a block as links alone.
 
 Defined results: a text without words, or null, is a class of its own, and so are others like it; one of fewer than five words is
 one k-mer; rows that repeat a ``doc_id`` are each put in the class of their own text; a class's id is its least ``doc_id`` (nulls
-come last); an empty table gives an empty result; other columns are left out.
+come last, and a class of nulls alone has a null id); an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,16 +34,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.llm.common import PUNCTUATION, folded, gram_hashes, likely_in, likely_in_column, mix, text_buffers, word_hashes, words_of, written
+from lodeframe.llm.common import (
+    PUNCTUATION,
+    folded,
+    gram_hashes,
+    likely_in,
+    likely_in_column,
+    mix,
+    text_buffers,
+    word_hashes,
+    words_of,
+    written,
+)
 from lodeframe.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 16
+SKETCHES = 24
 KEPT = 3
-#: Rounds in which the members of a bucket are compared with leaders, and leaders a round.
-ROUNDS = 1
-LEADERS = 3
+#: Words between neighbours of a chain that are aligned word by word.
+STRETCH = 64
+#: Words in a block of members of one bucket, as a rule.
+BLOCK_WORDS = 100_000
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:
@@ -82,29 +98,87 @@ def sketches(grams: np.ndarray, n: int = SKETCHES, kept: int = KEPT) -> np.ndarr
     return mix(out)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
-    """The similarity of two labelled k-mer sequences by alignment; 0 where it is below the threshold."""
+def _distance(a: list[int], b: list[int]) -> int:
+    """The edit distance of two sequences, by bit vectors over the first."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0
+    for x in b:
+        equal = places.get(x, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right, left = down | (~(diagonal | up) & every), up & diagonal
+        score += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | (~(equal | down | right) & every), right & (equal | down)
+    return score
+
+
+def _chain(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest chain that rises in both of the pairs ``(i, j)``, which are sorted by ``i``."""
+    if len(j) < 2 or (j[1:] > j[:-1]).all():
+        return i, j
+    tails: list[int] = []
+    at_tail: list[int] = []
+    before: list[int] = []
+    for t, x in enumerate(j.tolist()):
+        at = bisect_left(tails, x)
+        tails[at : at + 1], at_tail[at : at + 1] = [x], [t]
+        before.append(at_tail[at - 1] if at else -1)
+    t, kept = at_tail[-1], []
+    while t >= 0:
+        kept.append(t)
+        t = before[t]
+    return i[kept[::-1]], j[kept[::-1]]
+
+
+class Parsed:
+    """A text's word hashes and its labelled k-mers, sorted, with their places."""
+
+    def __init__(self, words: np.ndarray, k: int):
+        self.words, self.k = words, min(k, len(words))
+        grams = kmers(words, k)
+        self.places = np.argsort(grams)
+        self.grams = grams[self.places]
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+
+def aligned(a: Parsed, b: Parsed, similarity: float = SIMILARITY) -> float:
+    """The similarity of two texts by alignment; 0 where it is below the threshold."""
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < similarity * max(n, m):
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    least = similarity * (n + m) / (1 + similarity) - 1e-9
-    if len(i) < least:
+    longer = max(n, m)
+    spare = int((1 - similarity) * longer + 1e-9)
+    if not n or not m or longer - min(n, m) > spare or a.k != b.k:
         return 0.0
-    # A chain of the least length leaves so many k-mers of the longer text unmatched, and no pair of it is farther off.
-    near = np.abs(i - j) <= max(n, m) - least + 1
+    at = np.minimum(np.searchsorted(b.grams, a.grams), len(b.grams) - 1)
+    equal = b.grams[at] == a.grams
+    i, j = a.places[equal], b.places[at[equal]]
+    near = np.abs(i - j) <= spare
     order = np.argsort(i[near])
-    chain = j[near][order]
-    if len(chain) > 1 and not (chain[1:] > chain[:-1]).all():
-        tails: list[int] = []
-        for x in chain.tolist():
-            at = bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        length = len(tails)
-    else:
-        length = len(chain)
-    score = length / (n + m - length)
-    return score if score >= similarity - 1e-12 else 0.0
+    i, j = _chain(i[near][order], j[near][order])
+    if not len(i):
+        return 0.0
+    # The stretches before, between and behind the chain's k-mers; where two overlap, none, or what one text has more.
+    from_a, from_b = np.concatenate([[0], i + a.k]), np.concatenate([[0], j + b.k])
+    in_a, in_b = np.append(i, n) - from_a, np.append(j, m) - from_b
+    overlap = np.minimum(np.minimum(in_a, in_b), 0)
+    in_a, in_b = in_a - overlap, in_b - overlap
+    high, low = np.maximum(in_a, in_b), np.minimum(in_a, in_b)
+    open_ones = (low > 0) & (high > 1) & (high <= STRETCH)
+    # A stretch that is left out of the chain has an edit at least, and one for each word that one text has more.
+    edits = int(high[~open_ones].sum())
+    least = edits + int(np.maximum(high - low, 1)[open_ones].sum())
+    if least > spare:
+        return 0.0
+    for t in np.flatnonzero(open_ones).tolist():
+        x, y = int(from_a[t]), int(from_b[t])
+        edits += _distance(a.words[x : x + int(in_a[t])].tolist(), b.words[y : y + int(in_b[t])].tolist())
+        if edits > spare:
+            return 0.0
+    return 1 - edits / longer
 
 
 def _hashed(column: pa.Array):
@@ -115,7 +189,7 @@ def _hashed(column: pa.Array):
 
 
 def _profile(k: int, n: int, kept: int):
-    """Per row: the node of its words, its number of k-mers and its sketches; nulls for a text without words."""
+    """Per row: the node of its words, their number and its sketches; nulls for a text without words."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -131,7 +205,7 @@ def _profile(k: int, n: int, kept: int):
                         continue
                     grams = kmers(hashes[a:b], k)
                     nodes.append(int.from_bytes(hashlib.md5(hashes[a:b].tobytes()).digest()[:8], "little", signed=True))
-                    sizes.append(len(grams))
+                    sizes.append(int(b - a))
                     found.append(sketches(grams, n, kept))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
@@ -140,23 +214,24 @@ def _profile(k: int, n: int, kept: int):
     return batches
 
 
+def _parsed(column: pa.Array, k: int) -> list[Parsed]:
+    _, _, _, hashes, first = _hashed(column)
+    return [Parsed(hashes[x:y], k) for x, y in zip(first[:-1], first[1:], strict=True)]
+
+
 def _verify(k: int, similarity: float):
     """The pairs ``(a, b, text_a, text_b)`` that pass."""
 
-    def grams(column: pa.Array):
-        _, _, _, hashes, first = _hashed(column)
-        return [kmers(hashes[x:y], k) for x, y in zip(first[:-1], first[1:], strict=True)]
-
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 own = part.column("a").to_numpy()
                 # Rows of one leader come together: its text is parsed once.
-                new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                left = grams(part.column("text_a").take(pa.array(new)))
-                which = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]))
-                right = grams(part.column("text_b"))
+                new = np.concatenate([[True], own[1:] != own[:-1]])
+                left = _parsed(part.column("text_a").take(pa.array(np.flatnonzero(new))), k)
+                right = _parsed(part.column("text_b"), k)
+                which = np.cumsum(new) - 1
                 good = [aligned(left[w], r, similarity) > 0 for w, r in zip(which, right, strict=True)]
                 rows = pa.array(np.flatnonzero(good))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(rows), part.column("b").take(rows)], ["a", "b"])
@@ -167,102 +242,119 @@ def _verify(k: int, similarity: float):
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, name: str) -> DataFrame:
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, similarity), "a long, b long"), name)
-
-
-def _explode(k: int):
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                _, _, _, hashes, first = _hashed(part.column("text"))
-                found = [kmers(hashes[a:b], k) for a, b in zip(first[:-1], first[1:], strict=True)]
-                sizes = np.array([len(x) for x in found])
-                rows = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(rows), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["node", "size", "gram"])
-
-    return batches
-
-
-def prefix_pairs(texts: DataFrame, probes: DataFrame, classes: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """All ``(a, b)`` of a node of ``probes`` and another of ``texts``, of different classes, that may reach the similarity, exactly.
-
-    k-mers are ranked rarest first. A pair's larger text has one of its first n - ceil(s n) + 1 among the first
-    n - ceil(2 s / (1 + s) n) + 1 of the smaller one's, and behind the first k-mer that both have, each must have enough others
-    left for the two to share what the similarity asks for."""
-    rows = written(texts.select("node", "text").mapInArrow(_explode(k), "node long, size long, gram long"), "prefix-kmers")
-    often = rows.groupBy("gram").agg(F.count("*").alias("n"))
-    # A document's own k-mers, as many as it is long.
-    ranked = rows.join(often, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "gram")))
-    probe = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
-    index = F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-9) + 1
-    head = ranked.where((F.col("rank") <= probe) & (F.col("n") > 1)).join(classes, "node", "left").select("node", "size", "gram", F.coalesce("label", "node").alias("label"), "rank", (F.col("rank") <= index).alias("first"))
-    head = written(head, "prefix-heads")
-    asked = head.join(probes, "node", "left_semi")
-
-    def side(df, s):
-        return df.select("gram", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "size", "label", "rank", "first")))
-
-    least = similarity / (1 + similarity)
-    other = f"label_a <> label_b AND 1 + least(size_a - rank_a, size_b - rank_b) >= {least} * (size_a + size_b) - 1e-6"
-    larger = side(asked, "a").join(side(head.where("first"), "b"), "gram").where(f"{other} AND size_a >= size_b")
-    smaller = side(asked.where("first"), "a").join(side(head, "b"), "gram").where(f"{other} AND size_a < size_b")
-    met = larger.unionByName(smaller).select("node_a", "node_b", "label_a", "label_b", "size_a", "size_b", "rank_a", "rank_b")
-    # Of all that both have in their heads, the last leaves each so many k-mers; no more than these can be common besides.
-    pairs = met.groupBy("node_a", "node_b", "label_a", "label_b", "size_a", "size_b").agg(F.count("*").alias("common"), F.max("rank_a").alias("rank_a"), F.max("rank_b").alias("rank_b"))
-    pairs = pairs.where(f"common + least(size_a - rank_a, size_b - rank_b) >= {least} * (size_a + size_b) - 1e-6")
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that aren't in one class."""
-    both = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b", "left")
-    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
-
-
-def classify(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, n_sketches: int = SKETCHES, kept: int = KEPT) -> DataFrame:
-    """Per row of ``(doc_id, text)``: ``doc_id, row_key, node, class_id, n_class``, where ``row_key`` is the hash of the text that tells
+    both = both.select("a", "b", "text_a", "text_b")
+    return written(both.mapInArrow(_verify(k, similarity), "a long, b long"), name)
+
+
+def _block(k: int, similarity: float):
+    """One block of members of a bucket: the links ``(a, b)`` of classes that its pairs add."""
+
+    def links(table: pa.Table) -> pa.Table:
+        texts = pa.concat_arrays(table.column("text").chunks)
+        labels = table.column("label").to_pylist()
+        parts = table.column("part").to_numpy()
+        tree = table.column("t")[0].as_py()
+        all_sketches = np.array(table.column("sketches").to_pylist(), np.int64)
+        rows = _parsed(texts, k)
+        sizes = np.array([len(x) for x in rows])
+        # Postings of words, the second of equal ones of a text being another word.
+        words = [labelled(x.words) for x in rows]
+        flat, owner = np.concatenate(words), np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        # Two parts meet across alone; a part that has come by itself meets within.
+        across = table.column("across")[0].as_py()
+        parent = {x: x for x in labels}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for r in range(len(rows) - 1):
+            lo, hi = np.searchsorted(flat, words[r], "left"), np.searchsorted(flat, words[r], "right")
+            runs = hi - lo
+            at = np.repeat(lo - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+            common = np.bincount(owner[at], minlength=len(rows))
+            longer = np.maximum(sizes, sizes[r])
+            able = common >= similarity * longer - 1e-9
+            able[: r + 1] = False
+            if across:
+                able &= parts != parts[r]
+            others = np.flatnonzero(able)
+            # The first bucket that both are in judges them.
+            others = others[(all_sketches[others] == all_sketches[r]).argmax(axis=1) == tree]
+            for o in others.tolist():
+                x, y = root(labels[r]), root(labels[o])
+                if x != y and aligned(rows[r], rows[o], similarity):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((labels[r], labels[o]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return links
+
+
+def _class_links(met: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, similarity: float, block_words: int) -> DataFrame:
+    """Links ``(a, b)`` between classes, by the pairs of members of buckets that hold several classes.
+
+    A bucket of many words is dealt out by hash in parts, and any two parts meet in a block, so a member is moved once a part."""
+    named = met.where("n > 2").select("bucket", "t", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = written(named, "omh-named")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("words"))
+    mixed = mixed.where("low <> high").select("bucket", (F.floor(F.col("words") / block_words) + 1).alias("parts"))
+    members = named.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    members = members.withColumn("other", other).withColumn("across", F.col("part") != F.col("other"))
+    block = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+    dealt = members.select("node", "t", "label", "part", "across", block)
+    full = dealt.join(nodes.select("node", "sketches"), "node").join(texts, "node")
+    return full.groupBy("block").applyInArrow(_block(k, similarity), "a long, b long").distinct()
+
+
+def classify(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    n_sketches: int = SKETCHES,
+    kept: int = KEPT,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Per row of ``(doc_id, text)``: ``doc_id, row_key, node, class, class_id``, where ``row_key`` is the hash of the text that tells
     rows of one ``doc_id`` apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("text"))
-    profile = written(rows.mapInArrow(_profile(k, n_sketches, kept), "doc_id long, row_key long, node long, size long, sketches array<long>"), "omh-profile")
-    nodes = written(profile.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("rep"), F.first("size").alias("size"), F.first("sketches").alias("sketches")), "omh-nodes")
-    members = nodes.select("node", "size", F.col("rep.doc_id").alias("rep"), F.posexplode("sketches").alias("t", "sketch")).select("node", "size", "rep", F.xxhash64("t", "sketch").alias("bucket"))
-    heads = [F.min(F.struct(F.col("rep").isNull(), "rep", "node", "size")).alias("h0"), *(F.min(F.struct(F.xxhash64(F.lit(j), "node"), "node", "size")).alias(f"h{j}") for j in range(1, ROUNDS * LEADERS))]
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), *heads).where("n > 1")
-    leaders = F.array(*(F.struct(F.col(f"h{j}.node").alias("node"), F.col(f"h{j}.size").alias("size")) for j in range(ROUNDS * LEADERS)))
-    met = written(members.drop("rep").join(buckets.select("bucket", "n", leaders.alias("leaders")), "bucket"), "omh-buckets")
+    schema = "doc_id long, row_key long, node long, size long, sketches array<long>"
+    profile = written(rows.mapInArrow(_profile(k, n_sketches, kept), schema), "omh-profile")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("rep")
+    nodes = profile.where("node IS NOT NULL").groupBy("node")
+    nodes = written(nodes.agg(first, F.first("size").alias("size"), F.first("sketches").alias("sketches")), "omh-nodes")
+    members = nodes.select("node", "size", F.col("rep.doc_id").alias("rep"), F.posexplode("sketches").alias("t", "sketch"))
+    members = members.select("node", "size", "rep", "t", F.xxhash64("t", "sketch").alias("bucket"))
+    leader = F.min(F.struct(F.col("rep").isNull(), "rep", "node", "size")).alias("leader")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), leader).where("n > 1")
+    buckets = buckets.select("bucket", "n", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"))
+    met = written(members.drop("rep").join(buckets, "bucket"), "omh-buckets")
     # The texts of all nodes that share a bucket, once each.
     wanted = written(met.select("node").distinct().join(nodes.select("node", "rep.doc_id", "rep.row_key"), "node"), "omh-wanted")
-    texts = likely_in(rows, wanted, "doc_id", "row_key").join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.row_key == wanted.row_key)).select("node", "text").dropDuplicates(["node"])
+    same = rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.row_key == wanted.row_key)
+    texts = likely_in(rows, wanted, "doc_id", "row_key").join(wanted, same).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "omh-texts")
-    close = f"node <> a AND size * {similarity - 1e-9} <= leader_size AND leader_size * {similarity - 1e-9} <= size"
-    links, labels = None, None
-    for r in range(ROUNDS):
-        led = met if r == 0 else met.where("n > 2")
-        led = led.select("bucket", "node", "size", F.explode(F.slice("leaders", r * LEADERS + 1, LEADERS)).alias("l")).select("node", "size", F.col("l.node").alias("a"), F.col("l.size").alias("leader_size")).where(close)
-        pairs = led.select("a", F.col("node").alias("b")).distinct()
-        if labels is not None:
-            pairs = written(_apart(pairs, labels), "omh-pairs")
-            if not pairs.limit(1).count():
-                break
-        found = _verified(pairs, texts, k, similarity, "omh-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    # Members of larger buckets that aren't in their first leader's class yet.
-    ends = met.where("n > 2").select("bucket", F.col("node").alias("b"), F.col("leaders")[0]["node"].alias("a"))
-    open_members = written(_apart(ends, labels).select("bucket", F.col("b").alias("node")).distinct(), "omh-open")
-    if open_members.limit(1).count():
-        company = met.join(open_members.select("bucket").distinct(), "bucket", "left_semi").select("node").distinct()
-        more = prefix_pairs(texts.join(company, "node", "left_semi"), open_members.select("node").distinct(), labels, k, similarity)
-        links = links.unionByName(_verified(more, texts, k, similarity, "omh-more-links"))
-        labels = components(links)
+    close = f"node <> leader AND size >= {similarity} * leader_size - 1e-6 AND leader_size >= {similarity} * size - 1e-6"
+    pairs = met.where(close).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    labels = components(_verified(pairs, texts, k, similarity, "omh-links"))
+    more = written(_class_links(met, labels, nodes, texts, k, similarity, block_words), "omh-class-links")
     named = nodes.select("node", F.col("rep.doc_id").alias("rep")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if more.limit(1).count():
+        higher = components(more).select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        named = named.join(higher, "label", "left").select("node", "rep", F.coalesce("higher", "label").alias("label"))
     named = written(named, "omh-classes")
     ids = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = named.join(ids, "label").select("node", "label", "class_id")
     out = profile.select("doc_id", "row_key", "node").join(classes, "node", "left")
-    return out.select("doc_id", "row_key", "node", F.col("label").alias("class"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return out.select("doc_id", "row_key", "node", F.col("label").alias("class"), class_id)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

@@ -261,11 +261,26 @@ def test_long_chain(spark):
 # 7: near-duplicates
 
 
+def folded_words(text):
+    return [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower()) if w]
+
+
+def edit_distance(a, b):
+    """The plain table, row by row."""
+    row = np.arange(len(b) + 1)
+    for i, x in enumerate(a):
+        step = np.minimum(row[1:] + 1, row[:-1] + np.array([y != x for y in b], int)) if len(b) else row[1:]
+        row = np.minimum.accumulate(np.concatenate([[i + 1], step]) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+    return int(row[-1])
+
+
 def brute_classes(rows, similarity=0.8):
-    grams = []
-    for _, t in rows:
-        _, _, _, hashes, _ = near_dedup._hashed(pa.array([t], pa.string()))
-        grams.append((near_dedup.kmers(hashes), hashes.tobytes()))
+    """Classes by all pairs of texts that share a sketch and whose words are at the similarity by edit distance."""
+    words = [folded_words(t) for _, t in rows]
+    found = []
+    for w in words:
+        hashes = near_dedup._hashed(pa.array([" ".join(w)], pa.string()))[3]
+        found.append(near_dedup.sketches(near_dedup.kmers(hashes)) if len(w) else None)
     parent = list(range(len(rows)))
 
     def find(x):
@@ -275,12 +290,35 @@ def brute_classes(rows, similarity=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if len(grams[i][0]) and (grams[i][1] == grams[j][1] or near_dedup.aligned(grams[i][0], grams[j][0], similarity)):
+            if not words[i] or not words[j]:
+                continue
+            longer = max(len(words[i]), len(words[j]))
+            if words[i] == words[j] or ((found[i] == found[j]).any() and edit_distance(words[i], words[j]) <= (1 - similarity) * longer + 1e-9):
                 parent[find(i)] = find(j)
     classes: dict = {}
     for i, (d, _) in enumerate(rows):
         classes.setdefault(find(i), []).append(d)
-    return {d: min(v) for v in classes.values() for d in v}
+    return {d: min((x for x in v if x is not None), default=None) for v in classes.values() for d in v}
+
+
+@pytest.mark.parametrize("edits", [0, 1, 3, 8, 14, 30])
+def test_alignment_against_plain_table(edits):
+    random.seed(edits)
+    for _ in range(30):
+        a = [random.randrange(500) for _ in range(random.randrange(5, 90))]
+        b = list(a)
+        for _ in range(edits):
+            at = random.randrange(len(b) + 1)
+            b[at : at + random.choice([0, 1, 1])] = random.choice([[], [random.randrange(500)]])
+        if not b:
+            continue
+        x, y = (near_dedup.Parsed(np.array(w, np.uint64), 5) for w in (a, b))
+        true = edit_distance(a, b)
+        assert near_dedup._distance(a, b) == true
+        score, longer = near_dedup.aligned(x, y, 0.8), max(len(a), len(b))
+        assert score <= 1 - true / longer + 1e-12 and (score == 0 or score >= 0.8 - 1e-9)
+        if edits == 1 and len(a) > 20:
+            assert score == pytest.approx(1 - true / longer)
 
 
 def test_near_duplicates(spark, docs):
@@ -288,18 +326,24 @@ def test_near_duplicates(spark, docs):
     random.seed(7)
     words = [f"w{i}" for i in range(400)]
     base = [random.choice(words) for _ in range(120)]
-    for k in range(60):  # a large group of near copies, not all near each other
+    for k in range(60):  # a large group of near copies
         copy = list(base)
         for _ in range(random.randrange(5)):
             copy[random.randrange(len(copy))] = random.choice(words)
         rows.append((10_000 + k, " ".join(copy)))
     passage = [random.choice(words) for _ in range(50)]
-    rows += [(20_000 + k, " ".join(passage + [random.choice(words) for _ in range(14)])) for k in range(40)]
-    rows += [(30_000, None), (30_001, ""), (30_002, "one two"), (30_003, "One, two!"), (30_004, "one two three")]
-    got = near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit(1))).collect()
-    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+    # A passage that takes up from three to nine tenths of its texts: some are near each other and some aren't.
+    rows += [(20_000 + k, " ".join(passage + [random.choice(words) for _ in range(random.randrange(5, 20))])) for k in range(60)]
+    rows += [(30_000, None), (30_001, ""), (30_002, "one two"), (30_003, "One, two!"), (30_004, "one two three"), (None, rows[0][1]), (None, "null id " * 9)]
+    true = brute_classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit(1))
+    for block_words in (100_000, 300):
+        got = near_dedup.classify(df, block_words=block_words).collect()
+        assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {d: c for d, c in true.items() if d is not None}
+    assert sorted(str(r.class_id) for r in got if r.doc_id is None) == sorted(["None", str(true[rows[0][0]])])
+    assert len({true[10_000 + k] for k in range(60)}) == 1
     kept = near_dedup.deduplicated(spark.createDataFrame([*rows, rows[0], (30_001, "")], "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted([*{c for d, c in brute_classes(rows).items()}, 30_001])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [*{c for d, c in true.items() if d is not None}, 30_001, None]))
     assert near_dedup.classify(empty(spark)).count() == 0
 
 
