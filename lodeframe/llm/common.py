@@ -19,17 +19,30 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 _own_dirs: dict[str, str] = {}
+_app_dirs: set[tuple[str, str]] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or an own one where that is unset."""
+    """This application's folder in the one that all executors share, ``spark.checkpoint.dir`` of the session; it goes when the
+    driver's JVM ends.
+
+    Where that is unset, a local session gets a temporary folder, and a cluster, whose executors wouldn't see it, an error."""
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
-        found = _own_dirs[app]
-    return found.rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
+        found = _own_dirs[context.applicationId]
+    path = f"{found.rstrip('/')}/lodeframe-{context.applicationId}"
+    if (context.applicationId, path) not in _app_dirs:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _app_dirs.add((context.applicationId, path))
+    return path
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -40,14 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there, and executors may be lost."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Remove a written table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import written
+from lodeframe.llm.common import drop_written, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,17 +25,22 @@ def components(links: DataFrame) -> DataFrame:
             jump = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
             ahead = labels.join(jump, "label").select("node", F.col("end").alias("label"), (F.col("end") < F.col("label")).alias("moved"))
             ahead = written(ahead, "component-labels")
-            labels = ahead.drop("moved")
+            drop_written(labels)
+            labels = ahead
             if not ahead.where("moved").limit(1).count():
                 break
         rounds.append(labels)
         left = labels.select(F.col("node").alias("a"), F.col("label").alias("low"))
         right = labels.select(F.col("node").alias("b"), F.col("label").alias("high"))
-        edges = edges.join(left, "a").join(right, "b").where("low <> high")
-        edges = edges.select(F.col("low").alias("a"), F.col("high").alias("b"))
-        edges = written(edges.select(*order).distinct(), "component-links")
-    found = rounds[0]
+        between = edges.join(left, "a").join(right, "b").where("low <> high")
+        between = between.select(F.col("low").alias("a"), F.col("high").alias("b"))
+        between = written(between.select(*order).distinct(), "component-links")
+        drop_written(edges)
+        edges = between
+    found = rounds[0].select("node", "label")
     for higher in rounds[1:]:
         higher = higher.select(F.col("node").alias("label"), F.col("label").alias("end"))
         found = found.join(higher, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
-    return written(found, "component-labels")
+    found = written(found, "component-labels")
+    drop_written(edges, *rounds)
+    return found

@@ -8,11 +8,16 @@ it. What the index finds is verified by the exact weighted Jaccard similarity of
 
 Only windows that hold one of the item's shingles can have any similarity with it, so windows without one are left out
 before hashing, which loses nothing. At the default radius, 23 of 64 bits, a pair at similarity 0.8, with an expected distance
-under 10 bits and a standard deviation under 3, is past reach with a chance under one in a million.
+under 10 bits and a standard deviation under 3, is past reach with a chance under one in a million. The price of so sure a radius
+is that a block's near values are many: of unrelated items about a third pass the index (5 of 16 bits in one of 4 blocks), and
+one in sixty the fingerprints' own distance, which leaves few to the exact comparison.
+
+A text's windows are hashed in slices of at most ``SLICE`` windows, cut where they lie apart, and compared with as many items at
+a time as keep the table of pairs bounded, so the memory for a text of any length is that of a slice.
 
 The items go to all executors in blocks of at most ``block_bytes`` of text, one pass over the documents a block.
 
-Defined results: a null or empty text has no hits; items without words are void; an item of fewer than five words is one
+Defined results: a null or empty text has no hits; items without words are void; an item without an id hits with a null id; an item of fewer than five words is one
 shingle of all its words; repeated items each hit, repeated documents are each judged; a document's hits on an item are one,
 the best window, the first of equal ones; empty tables give empty results.
 """
@@ -32,9 +37,11 @@ from lodeframe.llm.common import PUNCTUATION, folded, gram_hashes, text_buffers,
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
-BLOCKS = 8
+BLOCKS = 4
+SLICE = 4096
 BLOCK_BYTES = 8 << 20
 _GATE_BITS = 22
+_PAIRS = 1 << 22
 _BIT = np.arange(64, dtype=np.uint64)
 
 
@@ -60,6 +67,13 @@ def _fingerprints(grams: np.ndarray, weights: np.ndarray, begin: np.ndarray, end
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _slices(n: int, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """range(n) in slices of at most ``SLICE``, none of which runs over a cut."""
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+        for lo in range(a, b, SLICE):
+            yield lo, min(b, lo + SLICE)
+
+
 class Index:
     """The items of a block: their shingles, and a multi-index of their fingerprints for each size."""
 
@@ -83,14 +97,11 @@ class Index:
             group["sets"].append(dict(zip(grams.tolist(), weights.tolist(), strict=True)))
             group["prints"].append(_fingerprints(grams, weights, np.zeros(1, int), np.array([len(grams)]))[0])
             found += [(g, int(n)) for g in grams.tolist()]
-        values = np.arange(1 << self.bits, dtype=np.uint32)
-        close = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // blocks if self.bits <= 8 else None
+        # By how many bits two values of a block differ.
+        self.apart = np.bitwise_count(np.arange(1 << self.bits, dtype=np.uint32))
         for group in self.by_size.values():
-            prints = group["prints"] = np.array(group["prints"], np.uint64)
-            # near[b][v]: the items whose block b is within reach of the value v.
-            group["near"] = [
-                (close[:, self._block(prints, b)] if close is not None else np.bitwise_count(values[:, None] ^ self._block(prints, b)[None, :].astype(np.uint32)) <= radius // blocks) for b in range(blocks)
-            ]
+            group["prints"] = np.array(group["prints"], np.uint64)
+            group["blocks"] = [self._block(group["prints"], b) for b in range(blocks)]
         # Gates by shingle length: sorted shingles, each with the sizes of the items that have it.
         self.gates = {}
         for k in sorted({g["k"] for g in self.by_size.values()}):
@@ -103,6 +114,19 @@ class Index:
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
+    def _near(self, prints: np.ndarray, group: dict) -> Iterator[tuple[int, int]]:
+        """The pairs of a print and an item that the index finds within the radius, by print and item."""
+        reach = self.radius // len(group["blocks"])
+        step = max(1, _PAIRS // len(group["prints"]))
+        for lo in range(0, len(prints), step):
+            part = prints[lo : lo + step]
+            near = np.zeros((len(part), len(group["prints"])), bool)
+            for b, values in enumerate(group["blocks"]):
+                near |= self.apart[self._block(part, b)[:, None] ^ values[None, :]] <= reach
+            w, j = np.nonzero(near)
+            within = np.bitwise_count(part[w] ^ group["prints"][j]) <= self.radius
+            yield from zip((w[within] + lo).tolist(), j[within].tolist(), strict=True)
+
     def hits(self, data: np.ndarray, at: np.ndarray, similarity: float) -> dict[int, list[tuple[int, int, int, float]]]:
         """By text: ``(item_id, first word, words, similarity)`` of each item's best window."""
         words, sizes, first = _hashed(data, at)
@@ -140,20 +164,19 @@ class Index:
                     wanted[max(0, p - span + 1) : min(p, len(wanted) - 1) + 1] = True
             begin = np.flatnonzero(wanted)
             end = np.minimum(begin + span, last)
-            low, high = int(begin[0]), int(end[-1])
-            prints = _fingerprints(grams[low:high], weights[low:high], begin - low, end - low)
-            near = group["near"][0][self._block(prints, 0)].copy()
-            for b in range(1, len(group["near"])):
-                near |= group["near"][b][self._block(prints, b)]
-            near &= np.bitwise_count(prints[:, None] ^ group["prints"][None, :]) <= self.radius
             best: dict[int, tuple[float, int]] = {}
-            for w, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                own = dict(zip(grams[begin[w] : end[w]].tolist(), weights[begin[w] : end[w]].tolist(), strict=True))
-                item = group["sets"][j]
-                common = sum(v for g, v in own.items() if g in item)
-                score = common / (sum(own.values()) + sum(item.values()) - common)
-                if score >= similarity and score > best.get(j, (0.0, 0))[0]:
-                    best[j] = (score, w)
+            apart = np.flatnonzero(begin[1:] > begin[:-1] + span) + 1
+            for lo, hi in _slices(len(begin), apart):
+                low, high = int(begin[lo]), int(end[hi - 1])
+                prints = _fingerprints(grams[low:high], weights[low:high], begin[lo:hi] - low, end[lo:hi] - low)
+                for w, j in self._near(prints, group):
+                    w += lo
+                    own = dict(zip(grams[begin[w] : end[w]].tolist(), weights[begin[w] : end[w]].tolist(), strict=True))
+                    item = group["sets"][j]
+                    common = sum(v for g, v in own.items() if g in item)
+                    score = common / (sum(own.values()) + sum(item.values()) - common)
+                    if score >= similarity and score > best.get(j, (0.0, 0))[0]:
+                        best[j] = (score, w)
             rows += [(group["ids"][j], int(begin[w]), int(end[w] - begin[w]) + k - 1, score) for j, (score, w) in sorted(best.items())]
         return rows
 
@@ -165,7 +188,7 @@ _ARROW_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()),
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """``docs`` with ``hits``, an array of ``(item_id, start, n_words, similarity)``, after their own columns."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     out = docs.drop("hits")

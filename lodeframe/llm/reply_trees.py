@@ -11,8 +11,9 @@ back. The loss mask is an array of ``[start, end)`` intervals of code points of
 
 Defined results: a null role or text is empty; a null score counts 0; a message whose parent isn't in its tree is a root; rows
 that repeat a ``(tree, node)`` keep the one smallest by role and text; equal branch scores rank by their leaf; messages on a
-cycle have no root and so no path; an empty table gives an empty result; other columns are left out. In ``from_turns``
-the rows of a conversation follow one another by turn, ties by role and text, and none is lost.
+cycle have no root and so no path; a null ``tree`` is a tree like others; a message whose node is null is left out; an empty
+table gives an empty result; other columns are left out. In ``from_turns`` the rows of a conversation follow one another by
+turn, ties by role and text, and none is lost.
 """
 
 from __future__ import annotations
@@ -59,7 +60,9 @@ def from_turns(turns: DataFrame) -> DataFrame:
 
 
 def _unique(messages: DataFrame) -> DataFrame:
-    rows = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    role, text = (F.coalesce(x, F.lit("")).alias(x) for x in ("role", "text"))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    rows = messages.where("node IS NOT NULL").select("tree", "node", "parent", role, text, score)
     first = F.row_number().over(Window.partitionBy("tree", "node").orderBy("role", "text", "parent", "score"))
     return rows.withColumn("_first", first).where("_first = 1").drop("_first")
 
@@ -67,7 +70,8 @@ def _unique(messages: DataFrame) -> DataFrame:
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The ``branches`` best root-to-leaf paths of each tree: ``(tree, leaf, branch, branch_score, depth, node)``, where ``depth``
     counts from 0 at the root."""
-    nodes = messages.select("tree", "node", "parent", "score")
+    # Within a struct, a null tree equals itself.
+    nodes = messages.select(F.struct("tree").alias("tree"), "node", "parent", "score")
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
     # A message's state: the one that it sees, none if it sees past its root; score and number of messages on the way, that
@@ -88,12 +92,13 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         hop = hops[k].select("tree", "node", F.col("up").alias("_up"))
         higher = walk.join(hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - (1 << k)).alias("depth"), F.col("_up").alias("node"))
         walk = written(walk.unionByName(higher), "reply-walk")
-    return walk
+    return walk.withColumn("tree", F.col("tree.tree"))
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row a path: ``(tree, leaf, branch, formatted, loss_mask)``."""
-    turns = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    said = messages.select(F.struct("tree").alias("tree"), "node", "role", "text")
+    turns = chosen.withColumn("tree", F.struct("tree")).join(said, ["tree", "node"]).withColumn("tree", F.col("tree.tree"))
     turns = turns.withColumn("_head", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"))).withColumn("_body", escape(F.col("text")))
     # A path is one row of the result, so its turns meet in one group; trees without end have no formatted form.
     rows = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct("depth", "_head", "_body", (F.col("role") == "assistant").alias("_loss")))).alias("_turns"))

@@ -47,8 +47,8 @@ class Encoder:
 
     Where no two white-space characters meet, a byte-level pre-tokenizer never joins what stands on two sides of the start of a
     space, of either side of a line end, or of the start of a stop after a letter. Texts are cut there, each different piece is
-    encoded by the library, and a text's ids are those of its pieces in a row. Texts with other white space, and all texts of
-    other kinds of tokenizers, are encoded whole. Pieces are known by 64-bit hashes in a direct-mapped table that points into a
+    encoded by the library, and a text's ids are those of its pieces in a row. Texts with other white space or with the string of
+    an added token, and all texts of other kinds of tokenizers, are encoded whole. Pieces are known by 64-bit hashes in a direct-mapped table that points into a
     pool of ids; a piece that isn't there is encoded again, so neither can grow."""
 
     def __init__(self, tokenizer):
@@ -59,6 +59,7 @@ class Encoder:
         line_end = tokenizer.encode("\n", add_special_tokens=False).ids
         self.by_piece &= len(line_end) == 1
         self.line_end = line_end[0] if line_end else -1
+        self.added = [x["content"].encode() for x in parts.get("added_tokens") or () if x["content"]]
         self._clear()
 
     def _clear(self) -> None:
@@ -104,6 +105,13 @@ class Encoder:
             hard = _WIDE[data]
             hard[1:] |= white[1:] & white[:-1]
             odd[np.searchsorted(at, np.flatnonzero(hard), "right") - 1] = True
+            raw = data.tobytes()
+            for token in self.added:
+                place = raw.find(token)
+                while place >= 0:
+                    i = int(np.searchsorted(at, place, "right")) - 1
+                    odd[i] = True
+                    place = raw.find(token, int(at[i + 1]))
         cut = data == 32
         line = data == 10
         cut |= line
@@ -152,32 +160,35 @@ class Encoder:
         return out, text_at + np.arange(n + 1)
 
 
-_loaded: dict[int, tuple[object, Encoder]] = {}
+_loaded: dict[tuple, tuple[object, Encoder]] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, specials_as_text: bool) -> Encoder:
     """The encoder of a broadcast definition, made once in a worker."""
-    key = id(shared)
+    key = (id(shared), specials_as_text)
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = specials_as_text
         _loaded.clear()
         _loaded[key] = (shared, Encoder(tokenizer))
     return _loaded[key][1]
 
 
-def encode(df: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, end_id: int = 2, specials_as_text: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, tokens)`` of ``(doc_id, text)``, in the order of the rows; the end id follows each document.
 
+    The string of a special token in a text becomes that token's id, as the library has it unless told otherwise; with
+    ``specials_as_text`` it is encoded as ordinary text, which is what texts from strangers want.
+
     The definition of the tokenizer, a few megabytes whatever the corpus, is read on the driver and broadcast."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, specials_as_text)
         for batch in source:
             for lo in range(0, batch.num_rows, 256):  # bounds what a batch of long texts holds
                 part = batch.slice(lo, 256)

@@ -18,7 +18,7 @@ from lodeframe.llm.fm_index import FMIndex
 
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = ["", None, "  ", "a  b\n\nc", "x " * 3000, "Ünï 日本 \x1c \x00", "<|endoftext|> ok", "one"]
+ODD = ["", None, "  ", "a  b\n\nc", "x " * 3000, "Ünï 日本 \x1c \x00", "<|endoftext|> ok", "one", "a<|endoftext|>.<|endoftext|>", "<|endof text|>"]
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +43,6 @@ def test_token_files(spark, docs, tmp_path):
 
     name = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(name)
-    own.encode_special_tokens = True
     source = docs.select("doc_id", "text").unionByName(rows_of(spark, ODD).select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     path = f"file://{tmp_path}/tokens"
     token_files.write(source, path, name)
@@ -56,6 +55,9 @@ def test_token_files(spark, docs, tmp_path):
         start += len(ids)
     assert [r.doc_id for r in token_files.lookup(spark, path, [3, 10_001]).orderBy("doc_id").collect()] == [3, 10_001]
     assert "doc_id" in str(token_files.lookup(spark, path, [3])._jdf.queryExecution().executedPlan())
+    own.encode_special_tokens = True
+    plain = {r.doc_id: r.tokens for r in token_files.encode(rows_of(spark, ODD), name, specials_as_text=True).collect()}
+    assert plain == {i: own.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(ODD)}
     token_files.write(empty(spark), path + "-none", name)
     assert token_files.layout(spark, path + "-none").count() == 0
 
@@ -250,6 +252,22 @@ def test_reply_trees(spark):
     ]
     assert [r.loss_text for r in out] == ["<\\|", "x", ""]
     assert reply_trees.format_conversations(table.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, 1, None, "user", "a", 0.0), (None, 2, 1, "assistant", "b", 0.0), ("w", None, None, "user", "c", 0.0)], "tree string, node long, parent long, role string, text string, score double")
+    assert [(r.tree, r.loss_text, [t.text for t in r.turns]) for r in reply_trees.read_back(reply_trees.format_conversations(nulls)).collect()] == [(None, "b", ["a", "b"])]
+
+
+def test_conversations_with_null_ids_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, 0, "user", "x<|"), (None, 1, "assistant", None), (None, None, "assistant", "\\ <s>"), (4, 0, None, "y"), (4, 1, "assistant", "z" * 5000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = reply_trees.reply_trees_query(spark, f"file://{tmp_path}").toPandas().to_dict("records")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    names = [x[0] for x in con.execute(reply_trees.ORACLE.replace("ORDER BY turn,", "ORDER BY turn NULLS FIRST,")).description]
+    true = [dict(zip(names, row, strict=True)) for row in con.fetchall()]
+    key = lambda r: (r["n_turns"], r["turns_sha256"])
+    assert sorted(({k: None if k == "conv_id" and v != v else v for k, v in r.items()} for r in got), key=key) == sorted(true, key=key)
 
 
 def test_long_chain(spark):
@@ -384,15 +402,17 @@ def brute_hits(rows, items, similarity=0.8):
 
 
 def test_decontamination(spark, docs):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()] + [(900, "one two three"), (901, "solo"), (902, ""), (903, None)]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()] + [(900, "one two three"), (901, "solo"), (902, ""), (903, None), (None, "an item without an id")]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()][:60]
     random.seed(2)
     for k in range(150):
-        w = random.choice(items[:-4])[1].split()
+        w = random.choice(items[:-5])[1].split()
         for _ in range(random.randrange(3)):
             w[random.randrange(len(w))] = "qq"
         rows.append((10_000 + k, " ".join(["a b c"][: random.randrange(2)] + w)))
-    rows += [(20_000, "and one two three"), (20_001, "Solo!"), (20_002, ""), (20_003, None)]
+    rows += [(20_000, "and one two three"), (20_001, "Solo!"), (20_002, ""), (20_003, None), (20_004, "yes, an item without an id")]
+    far = " ".join(f"q{i}" for i in range(9000))
+    rows += [(20_005, f"{items[0][1]} {far} {items[0][1]} {far} {items[1][1]}"), (20_006, " ".join([items[2][1]] * 200))]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("hits", F.lit(0))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hits", F.lit("clash"))
     for block_bytes in (8 << 20, 2000):
