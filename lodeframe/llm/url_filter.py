@@ -4,8 +4,10 @@ A list is a history: dated entries put a key (a whole URL, a host, or a domain w
 ``validity`` turns the entries of each key into the intervals in which they hold. ``apply`` joins every capture, as of its
 fetch time, with the intervals of its own keys: its URL, its host and each parent domain of the host.
 
-The as-of join is an equi-join. An interval is dealt out to the periods of time that it touches, a capture falls into one
-period, and both meet on ``(key, period)`` with the exact times as a residual condition. Of one key's intervals at most one holds
+The as-of join is an equi-join. Time is cut into periods of several levels, each four times as long as those of the level below.
+An interval belongs to the least level at which it touches five periods at most, and is dealt out to those; a capture falls into one
+period of each level that the list has. Both meet on ``(key, level, period)`` with the exact times as a residual condition, so
+neither an interval without end nor a stray fetch time makes many rows. Of one key's intervals at most one holds
 at a time, so a capture gets one row a key at most. Periods also spread the captures of a hot host, and adaptive
 execution splits what remains of one; captures whose keys are nowhere on the list leave with the join.
 
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PERIOD_DAYS = 30
+#: Levels of periods; one of the highest is longer than all times that Spark can hold.
+LEVELS = 14
 OPEN_END = "9999-12-31 00:00:00"
 
 
@@ -51,8 +55,18 @@ def validity(entries: DataFrame) -> DataFrame:
     return changes.withColumn("valid_to", F.coalesce(F.lead("at").over(order), F.to_timestamp(F.lit(OPEN_END)))).where("listed").select("key", F.col("at").alias("valid_from"), "valid_to")
 
 
-def _period(time: Column) -> Column:
-    return F.floor(F.unix_seconds(time) / (86_400 * PERIOD_DAYS))
+def _period(time: Column, level: Column | int = 0) -> Column:
+    """The period that a time falls into: the one of the lowest level, with two bits less for each level above."""
+    lowest = F.floor(F.unix_seconds(time) / (86_400 * PERIOD_DAYS))
+    return F.floor(lowest / F.pow(F.lit(4.0), F.lit(level) if isinstance(level, int) else level)).cast("long")
+
+
+def _dealt(intervals: DataFrame) -> DataFrame:
+    """``intervals`` with ``_level`` and ``_period``, a row for each of at most five periods."""
+    spans = F.array(*(_period(F.col("valid_to"), n) - _period(F.col("valid_from"), n) for n in range(LEVELS)))
+    rows = intervals.withColumn("_level", F.array_position(F.transform(spans, lambda x: x < 5), F.lit(True)).cast("int") - 1)
+    first, last = (_period(F.col(x), F.col("_level")) for x in ("valid_from", "valid_to"))
+    return rows.withColumn("_period", F.explode(F.sequence(first, last)))
 
 
 def apply(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched: str = "fetch_ts", capture_id: str = "page_id") -> DataFrame:
@@ -60,18 +74,19 @@ def apply(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched:
     fetch time, and since when. ``capture_id`` names the rows; those that repeat it are judged alike if their URL and time are."""
     names = ["host", "blocked", "listed_key", "listed_from"]
     rows = captures.drop(*names).withColumn("host", host_of(F.col(url)))
-    # One number ends the periods of intervals that are still open.
-    last = rows.agg(F.max(_period(F.col(fetched)))).first()[0]
-    end = F.lit(-1 if last is None else last).cast("long")
-    dealt = intervals.where(_period(F.col("valid_from")) <= end).withColumn("_period", F.explode(F.sequence(_period(F.col("valid_from")), F.least(_period(F.col("valid_to")), end))))
+    dealt = _dealt(intervals)
+    # Of the few levels, those that the list has.
+    levels = sorted(x[0] for x in dealt.select("_level").distinct().collect()) or [0]
+    times = F.array(*(F.struct(F.lit(n).alias("_level"), _period(F.col("_at"), n).alias("_period")) for n in levels))
     probes = (
         rows.where(F.col(fetched).isNotNull())
         .select(F.col(capture_id).alias("_id"), F.col(url).alias("_url"), F.col(fetched).alias("_at"), "host")
         .distinct()
         .withColumn("key", F.explode(keys_of(F.col("_url"), F.col("host"))))
-        .withColumn("_period", _period(F.col("_at")))
+        .withColumn("_time", F.explode(times))
+        .select("*", "_time.*")
     )
-    hits = probes.join(dealt, ["key", "_period"]).where("valid_from <= _at AND _at < valid_to")
+    hits = probes.join(dealt, ["key", "_level", "_period"]).where("valid_from <= _at AND _at < valid_to")
     # A capture has few keys: a URL, a host and its parents.
     rank = F.struct((-F.when(F.col("key").startswith("url:"), 1 << 20).when(F.col("key").startswith("host:"), 1 << 19).otherwise(F.length("key"))).alias("order"), F.col("key").alias("key"), F.col("valid_from").alias("valid_from"))
     best = hits.groupBy("_id", "_url", "_at").agg(F.min(rank).alias("_best"))
