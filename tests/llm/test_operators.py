@@ -135,6 +135,15 @@ def test_url_filter_against_plain_version(spark):
     assert url_filter.apply(c.limit(0), url_filter.validity(e.limit(0))).count() == 0
 
 
+def test_url_filter_with_far_times(spark):
+    times = ["0001-01-01", "1969-12-31", "1970-01-01", "2024-02-29", "9999-12-30"]
+    e = spark.createDataFrame([("host:a.b", "1969-12-31", True), ("host:a.b", "2024-02-29", False), ("host:c.d", "0001-01-01", True)], "key string, at string, listed boolean")
+    c = spark.createDataFrame([(i, f"http://{h}/" + "x" * 100_000, t) for i, (h, t) in enumerate((h, t) for h in ("a.b", "c.d") for t in times)], "page_id long, url string, fetch_ts string").withColumn("fetch_ts", F.col("fetch_ts").cast("timestamp"))
+    dealt = url_filter._dealt(url_filter.validity(e))
+    assert dealt.count() <= 10
+    assert [r.blocked for r in url_filter.apply(c, url_filter.validity(e)).orderBy("page_id").select("blocked").collect()] == [False, True, True, False, False] + [True] * 5
+
+
 # 4: substring removal
 
 
@@ -462,11 +471,49 @@ def test_pseudonyms(spark, docs):
     assert pii.luhn_digit(card[:-1]) == int(card[-1]) and "5755695738806562" in got[1].text
     linked = pii.apply(rows_of(spark, ["a 97.51.17.173 b", "97.51.17.173"]), key).orderBy("doc_id").collect()
     assert linked[0].text == f"a {linked[1].text} b"
+    for dates in (["31/12/1999", "12/31/1999", "1999-12-31"], ["05/04/2001", "2001.04.05"]):
+        fields = [sorted(re.split(r"\D", pii.pseudonymise(d, key)[0])) for d in dates]
+        assert fields == [fields[0]] * len(dates)
+    phones = [re.sub(r"\D", "", pii.pseudonymise(p, key)[0])[-10:] for p in ("(443) 555-5793", "443.555.5793", "+1 443 555 5793")]
+    assert phones == [phones[0]] * 3 and phones[0][0] > "1" and phones[0][3] > "1" and phones[0] != "4435555793"
+    long = "x " * 200_000 + "078-05-1120"
+    twice = pii.apply(rows_of(spark, [long, long]), key).collect()
+    assert twice[0].text == twice[1].text != long and pii.restore(twice[0].text, key) == long
+    assert pii.pseudonymise("_@x.com", key) == ("_@x.com", 1)
     for row in pii.apply(docs.select("doc_id", "text"), key).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").collect():
         assert pii.restore(row.text, key) == row.was and (row.n_replaced > 0) == (row.text != row.was)
     assert pii.apply(empty(spark), key).count() == 0
 
 
+def test_pseudonym_key_is_never_a_known_one(spark):
+    text = rows_of(spark, ["97.51.17.173"])
+    own = pii.apply(text).first().text
+    assert own == pii.apply(text).first().text and pii.session_key(spark) == pii.session_key(spark)
+    spark.conf.set(pii.KEY, "secret")
+    try:
+        assert pii.apply(text).first().text == pii.pseudonymise("97.51.17.173", b"secret")[0]
+    finally:
+        spark.conf.unset(pii.KEY)
+
+
+@pytest.mark.parametrize("kind", ["date", "phone", "ssn", "card", "ip"])
+def test_pseudonyms_are_one_to_one(kind):
+    """Against a plain version: all values of a small range get different pseudonyms, valid ones of their own format."""
+    random.seed(kind)
+    make = {
+        "date": lambda: f"{random.randrange(1, 29):02d}/{random.randrange(1, 13):02d}/{random.randrange(1900, 2100)}",
+        "phone": lambda: f"{random.randrange(1000):03d}-{random.randrange(1000):03d}-{random.randrange(10_000):04d}",
+        "ssn": lambda: f"{random.randrange(1, 666):03d}-{random.randrange(1, 100):02d}-{random.randrange(1, 10_000):04d}",
+        "card": lambda: (lambda x: x + str(pii.luhn_digit(x)))(f"4{random.randrange(10**14):014d}"),
+        "ip": lambda: ".".join(str(random.randrange(256)) for _ in range(4)),
+    }[kind]
+    values = {make() for _ in range(3000)}
+    moved = {v: pii.pseudonymise(v, b"k")[0] for v in values}
+    assert len(set(moved.values())) == len(values)
+    assert all(len(v) == len(m) or kind == "ip" for v, m in moved.items()) and sum(v != m for v, m in moved.items()) > 0.99 * len(values)
+    assert all(pii.restore(m, b"k") == v and re.sub(r"\d+", "0", v) == re.sub(r"\d+", "0", m) for v, m in moved.items())
+
+
 # The pipeline and what the operators share
 
 
@@ -488,6 +535,16 @@ def test_pipeline_stages(spark, docs):
     assert c.run(spark, DIR).exceptAll(current).count() == 0
 
 
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace as Has
+
+    from lodeframe.llm.common import shared_dir
+
+    cluster = Has(sparkContext=Has(master="spark://far:7077", applicationId="a"), conf=Has(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+
+
 def test_likely_in_never_loses(spark):
     rows = spark.range(2000).selectExpr("id AS k", "id % 7 AS j")
     keys = rows.where("k % 10 = 0")
