@@ -9,7 +9,8 @@ Vectors travel as half-precision numbers there; what is returned is measured on
 
 A search keeps a beam of the nearest nodes found so far. Each round expands the nearest few that aren't expanded yet: their
 neighbours, both ways, are joined in and measured, until no query has anything left to expand. It starts from the query's own
-neighbours in the graph, and, for vectors that aren't in it, from the nodes of the query's blocks.
+neighbours in the graph, and, for vectors that aren't in it, from the nodes of the query's blocks, or of one part of a block that
+is cut.
 
 How wide a beam must be depends on the table. So some nodes are probes: their true neighbours come from one pass over all nodes,
 and the beam is doubled until the search finds enough of them, or reaches all that it can; a shortfall then gives a warning.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -170,6 +171,15 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _parts(dealt: DataFrame, block: int) -> DataFrame:
+    """``(tree, code, parts)``: a block of more nodes than four times the usual is cut by hash."""
+    return dealt.groupBy("tree", "code").agg((F.floor(F.count("*") / (4 * block)) + 1).alias("parts"))
+
+
+def _part(key: str) -> Column:
+    return F.xxhash64("tree", "code", F.pmod(F.xxhash64(key, "tree"), F.col("parts"))).alias("part")
+
+
 def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int = BLOCK, rounds: int | None = None, hub: int = HUB, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The graph ``(node, near, distance)`` of nodes ``(node, vector)``, and the nodes with ``half`` and ``blocks``. Distances there are squares.
 
@@ -180,11 +190,10 @@ def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int
     bits = max(0, int(np.ceil(np.log2(max(1, n / block)))))
     # Half precision ends at 65504, so components are taken relative to the largest of all.
     largest = nodes.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0
-    coded = written(nodes.select("node", "vector").mapInArrow(_signs(seed, trees, bits, largest), "node long, half binary, blocks array<long>"), "nn-nodes")
+    coded = nodes.select("node", "vector").mapInArrow(_signs(seed, trees, bits, largest), "node long, half binary, blocks array<long>")
+    coded = written(coded.withColumn("bits", F.lit(bits)).withColumn("block", F.lit(block)), "nn-nodes")
     dealt = coded.select("node", "half", F.posexplode("blocks").alias("tree", "code"))
-    # A block of more nodes than four times the usual is cut by hash.
-    counts = dealt.groupBy("tree", "code").agg((F.floor(F.count("*") / (4 * block)) + 1).alias("parts"))
-    dealt = dealt.join(counts, ["tree", "code"]).select("node", "half", F.xxhash64("tree", "code", F.pmod(F.xxhash64("node", "tree"), F.col("parts"))).alias("part"))
+    dealt = dealt.join(_parts(dealt, block), ["tree", "code"]).select("half", "node", _part("node"))
     found = dealt.repartition(shuffles, "part").sortWithinPartitions("part").mapInArrow(_within_blocks(k), _EDGES)
     graph = written(_nearest(found.withColumn("age", F.lit(0)), k), "nn-graph")
     halves = coded.select("node", "half")
@@ -290,14 +299,17 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, coded: DataFr
         start = at_node
         absent = asked.join(at_node.select("query_id"), "query_id", "left_anti")
         if absent.limit(1).count():
-            trees = coded.select(F.size("blocks")).first()
-            if trees is not None:
-                n = nodes.count()
-                bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
-                codes = absent.select(F.col("query_id").alias("node"), F.col("query").alias("vector")).mapInArrow(_signs(seed, trees[0], bits), "node long, half binary, blocks array<long>")
+            form = coded.select(F.size("blocks"), "bits", "block").first()
+            if form is not None:
+                trees, bits, block = form
+                codes = absent.select(F.col("query_id").alias("node"), F.col("query").alias("vector"))
+                codes = codes.mapInArrow(_signs(seed, trees, bits), "node long, half binary, blocks array<long>")
                 codes = codes.select(F.col("node").alias("query_id"), F.posexplode("blocks").alias("tree", "code"))
                 spots = coded.select("node", F.posexplode("blocks").alias("tree", "code"))
-                start = start.unionByName(codes.join(spots, ["tree", "code"]).select("query_id", "node").distinct())
+                parts = _parts(spots, block)
+                spots = spots.join(parts, ["tree", "code"]).select("node", _part("node"))
+                codes = codes.join(parts, ["tree", "code"]).select("query_id", _part("query_id"))
+                start = start.unionByName(codes.join(spots, "part").select("query_id", "node").distinct())
         state = written(_kept(measured(start), beam), "nn-beam")
         while True:
             rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "node"))

@@ -107,6 +107,25 @@ def test_neighbours_graph_converges_and_beam_follows_recall(spark, monkeypatch):
     assert len(found & {(i, int(j)) for i in asked for j in near[i, :10]}) >= 0.9 * 10 * len(asked)
 
 
+def test_neighbours_query_recall(spark):
+    """The registered query with its defaults, against brute force."""
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, np.array(r.embedding)) for r in neighbours.usable(spark.read.parquet(f"{folder}/embeddings.parquet")).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    found: dict = {}
+    for r in neighbours.neighbours_query(spark, folder).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {i for i in ids.tolist() if i % 100 == 0}
+    hits = 0
+    for q, got in found.items():
+        far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((ids, far)) if ids[i] != q][:10]
+        hits += len({int(ids[i]) for i in order} & {i for _, i, _ in got})
+        assert [r for r, _, _ in sorted(got)] == list(range(1, 11))
+        assert all(s == pytest.approx(far[ids == i][0], abs=1e-12) for _, i, s in got)
+    assert hits >= 0.9 * 10 * len(found)
+
+
 # 3: URL filter
 
 
