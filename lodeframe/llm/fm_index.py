@@ -57,7 +57,7 @@ class FMIndex:
         sizes = np.diff(bounds)
         # Each sequence is followed by a 0, which no pattern has.
         text = np.insert(symbols.astype(np.int64), bounds[1:], 0)
-        n = len(text)
+        n = self.size = len(text)
         owner = np.repeat(np.arange(len(sizes)), sizes + 1)
         ranks = [np.unique(text, return_inverse=True)[1]]
         depth = 1
@@ -66,8 +66,8 @@ class FMIndex:
             ahead[: max(0, n - depth)] = ranks[-1][depth:] + 1
             ranks.append(np.unique(ranks[-1].astype(np.int64) * (n + 1) + ahead, return_inverse=True)[1])
             depth *= 2
-        self.suffixes = np.argsort(ranks[-1], kind="stable")
-        a, b = self.suffixes[:-1], self.suffixes[1:]
+        suffixes = np.argsort(ranks[-1], kind="stable")
+        a, b = suffixes[:-1], suffixes[1:]
         common = np.zeros(max(0, n - 1), np.int64)
         for k in reversed(range(len(ranks))):
             i, j = a + common, b + common
@@ -79,10 +79,10 @@ class FMIndex:
         self.common = np.concatenate([[-1], np.minimum(common, DEPTH), [-1]])
         self.sigma = int(text.max(initial=0)) + 1
         self.starts = np.searchsorted(np.sort(text), np.arange(self.sigma + 1))
-        self.transform = WaveletMatrix(text[self.suffixes - 1], self.sigma)
+        self.transform = WaveletMatrix(text[suffixes - 1], self.sigma)
         self._cuts: dict[int, np.ndarray] = {}
         groups = self.cuts(cap)[:-1]
-        self.least = np.minimum.reduceat(values[owner][self.suffixes], groups) if n else values[:0]
+        self.least = np.minimum.reduceat(values[owner][suffixes], groups) if n else values[:0]
 
     def cuts(self, depth: int) -> np.ndarray:
         """Where suffixes differ from the one before within the first ``depth`` symbols."""
@@ -103,7 +103,7 @@ class FMIndex:
     def match(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the streams: the length, up to the cap, of the longest match that starts there, and the
         least value of all sequences that hold it where the length is the cap (else the largest integer)."""
-        n = len(self.suffixes)
+        n = self.size
         lengths = np.zeros(len(symbols), np.int64)
         least = np.full(len(symbols), np.iinfo(np.int64).max)
         if not n or not len(symbols):

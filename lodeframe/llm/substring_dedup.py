@@ -7,13 +7,14 @@ Of documents with equal words the first stands for all, and the later ones lose
 that every occurrence of a window meets in one shard and none is compared elsewhere. The anchor of a window is the least of the
 hashes of its runs of ``gram`` words (the leftmost, of equal ones); equal windows have equal anchors. Successive windows with one
 anchor form a run, and only anchors of two or more documents matter, which an aggregation with map-side partial sums finds.
-Runs of such anchors are slices; equal slices become one, with the least and the greatest ``doc_id`` that have it, and go to
-shards by anchor. A shard builds a compressed FM-index of its slices and streams them through it: backward search yields the
-matching statistics, and every interval of windows that reaches the threshold is reported with the least ``doc_id`` that has it.
+Runs of such anchors are slices; equal slices become one, with the least and the greatest ``doc_id`` that have it.
 
-An anchor with very many different slices, as the edge of a passage has that a large share of all documents quote, would fill
-one shard; its slices are dealt out window by window instead, after windows of one document alone have been set aside, with the
-same result.
+Slices are then trimmed to what can be shared: where a passage begins or ends, each document that quotes it has a slice with words
+of its own, and their windows, being in one document alone, can be left out of the search. Hashes of windows say which; a
+collision keeps a window too many. What is left of a slice, its pieces, goes to shards by anchor, equal ones once. A shard
+builds a compressed FM-index of its pieces and streams them through it: backward search yields the matching statistics, and every
+interval of windows that reaches the threshold is reported with the least ``doc_id`` that has it. An anchor with more words of
+pieces than a shard is dealt out in parts by hash; each part is indexed, and each is streamed through the indexes of all.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` neither removes nor loses words; rows that repeat a
 ``doc_id`` don't remove words from each other, whatever their texts; a text shorter than the window stays whole; an empty table
@@ -35,9 +36,8 @@ from lodeframe.llm.fm_index import FMIndex
 
 WINDOW = 50
 GRAM = 8
-#: Words of slices in a shard as a rule, and the number of different slices of an anchor beyond which they are dealt out by window.
+#: Words of pieces in a shard, as a rule.
 SHARD_WORDS = 1_000_000
-HOT_SLICES = 20_000
 _POSITION = 28
 
 
@@ -124,96 +124,119 @@ def _slices(window: int, gram: int):
     return batches
 
 
-def _cut(window: int):
-    """The texts of the slices that a row is to give."""
+def _given(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """The slices that the rows are to give, with their rows' numbers."""
+    lists = part.column("given")
+    return np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _window_keys(window: int):
+    """The hashes of the windows of the slices that a row is to give."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for part in _parts(batch):
-                given = part.column("given").flatten()
-                owner = np.repeat(np.arange(part.num_rows), np.diff(part.column("given").offsets.to_numpy()))
-                words = [(x or "").encode().split() for x in part.column("text").to_pylist()]
+                owner, given = _given(part)
+                data, at = text_buffers(part.column("text"))
+                starts, ends, bounds = words_of(data, at)
+                hashes = gram_hashes(word_hashes(data, starts, ends), window)
                 first, count = given.field("first").to_numpy(), given.field("count").to_numpy()
-                texts = [b" ".join(words[o][f : f + c + window - 1]) for o, f, c in zip(owner.tolist(), first.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(given.field(x) for x in ("anchor", "slice_key", "least", "greatest")), pa.array(texts, pa.binary()).cast(pa.string())], ["anchor", "slice_key", "least", "greatest", "slice"])
+                begin = bounds[owner] + first
+                cuts = np.concatenate([[0], np.cumsum(count)])
+                keys = hashes[np.repeat(begin - cuts[:-1], count) + np.arange(cuts[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys.view(np.int64)))
+                rows = pa.array(owner)
+                columns = [part.column("doc_id").take(rows), part.column("row_key").take(rows), pa.array(first)]
+                columns += [given.field("least"), given.field("greatest"), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "first", "least", "greatest", "keys"])
 
     return batches
 
 
-def _windows(window: int):
-    """All windows of slices, each as a slice of its own."""
+def _pieces(window: int):
+    """What is left of the slices that a row is to give: the intervals of their windows at ``places``, as texts."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for part in _parts(batch):
+                owner, given = _given(part)
+                places = [np.sort(np.array(x, np.int64)) for x in part.column("places").to_pylist()]
+                words = [(x or "").encode().split() for x in part.column("text").to_pylist()]
                 rows, offsets, texts = [], [], []
-                for i, text in enumerate(part.column("slice").to_pylist()):
-                    words = text.split(" ")
-                    for k in range(len(words) - window + 1):
-                        rows.append(i)
-                        offsets.append(k)
-                        texts.append(" ".join(words[k : k + window]))
-                take = pa.array(rows, pa.int64())
-                keys = [hashlib.md5(x.encode()).digest() for x in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x).take(take) for x in ("slice_key", "least", "greatest")), pa.array(offsets, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string())],
-                    ["slice_key", "least", "greatest", "offset", "window_key", "window"],
-                )
+                first, count = given.field("first").to_pylist(), given.field("count").to_pylist()
+                for t, (o, f, c) in enumerate(zip(owner.tolist(), first, count, strict=True)):
+                    own = places[o][np.searchsorted(places[o], f) : np.searchsorted(places[o], f + c)]
+                    for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1) if len(own) else ():
+                        rows.append(t)
+                        offsets.append(int(run[0]) - f)
+                        texts.append(b" ".join(words[o][run[0] : run[-1] + window]))
+                taken = given.take(pa.array(rows, pa.int64()))
+                columns = [taken.field(x) for x in ("anchor", "slice_key", "least", "greatest")]
+                columns += [pa.array(offsets, pa.int64()), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary())]
+                columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "slice_key", "least", "greatest", "at", "piece_key", "piece"])
 
     return batches
 
 
 def _search(window: int):
-    """One shard: index its slices, stream them through the index, report the intervals of windows that an earlier document has."""
+    """One shard: index its pieces, stream pieces through the index, report the intervals of windows that an earlier document has."""
 
     def shard(table: pa.Table) -> pa.Table:
-        slices = pa.concat_arrays([x.cast(pa.string()) for x in table.column("slice").chunks])
-        data, at = text_buffers(slices)
+        pieces = pa.concat_arrays([x.cast(pa.string()) for x in table.column("piece").chunks])
+        data, at = text_buffers(pieces)
         starts, ends, bounds = words_of(data, at)
         raw = data.tobytes()
         words = pa.array([raw[a:b] for a, b in zip(starts, ends, strict=True)], pa.binary()).dictionary_encode()
         symbols = words.indices.to_numpy().astype(np.int64) + 1
-        least = table.column("least").to_numpy().astype(np.int64)
-        greatest = table.column("greatest").to_numpy()
-        lengths, found = FMIndex(symbols, bounds, least, window).match(symbols, bounds)
-        owner = np.repeat(np.arange(len(slices)), np.diff(bounds))
-        report = (lengths == window) & (found < greatest[owner])
+
+        def side(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows = np.flatnonzero(table.column(name).to_numpy())
+            sizes = np.diff(bounds)[rows]
+            own = np.concatenate([[0], np.cumsum(sizes)])
+            return rows, symbols[np.repeat(bounds[rows] - own[:-1], sizes) + np.arange(own[-1])], own
+
+        indexed, text, text_bounds = side("indexed")
+        streamed, stream, stream_bounds = side("streamed")
+        least = table.column("least").to_numpy().astype(np.int64)[indexed]
+        lengths, found = FMIndex(text, text_bounds, least, window).match(stream, stream_bounds)
+        owner = np.repeat(np.arange(len(streamed)), np.diff(stream_bounds))
+        report = (lengths == window) & (found < table.column("greatest").to_numpy()[streamed][owner])
         new = report.copy()
         new[1:] &= ~report[:-1] | (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
         begin = np.flatnonzero(new)
         stop = report.copy()
         stop[:-1] &= ~report[1:] | (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
         end = np.flatnonzero(stop) + 1
-        rows = owner[begin]
-        return pa.table({"slice_key": table.column("slice_key").take(pa.array(rows)), "offset": pa.array(begin - bounds[rows]), "count": pa.array(end - begin), "earliest": pa.array(found[begin])})
+        keys = table.column("piece_key").take(pa.array(streamed[owner[begin]]))
+        offsets = pa.array(begin - stream_bounds[owner[begin]])
+        return pa.table({"piece_key": keys, "offset": offsets, "count": pa.array(end - begin), "earliest": pa.array(found[begin])})
 
     return shard
 
 
-def _searched(slices: DataFrame, key: str, shards: int, window: int) -> DataFrame:
-    return slices.select("slice_key", "slice", "least", "greatest", F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_search(window), "slice_key binary, offset long, count long, earliest long")
-
-
-def earlier_windows(slices: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, hot_slices: int = HOT_SLICES) -> DataFrame:
-    """``(slice_key, offset, count, earliest)``: intervals of windows of different slices ``(anchor, slice_key, slice, least, greatest)``
+def earlier_windows(pieces: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``(piece_key, offset, count, earliest)``: intervals of windows of different pieces ``(anchor, piece_key, piece, least, greatest)``
     which a document before ``greatest`` has."""
-    sizes = slices.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.size(F.split("slice", " "))).alias("words"))
-    sizes = written(sizes, "slice-anchors")
-    total, hot = sizes.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count(F.when(F.col("n") > hot_slices, 1))).first()
-    if not hot:
-        return _searched(slices, "anchor", total // shard_words + 1, window)
-    hot_anchors = sizes.where(F.col("n") > hot_slices).select("anchor")
-    plain = slices.join(hot_anchors, "anchor", "left_anti")
-    dealt = slices.join(hot_anchors, "anchor", "left_semi").select("slice_key", "slice", "least", "greatest")
-    schema = "slice_key binary, least long, greatest long, offset long, window_key binary, window string"
-    windows = written(dealt.mapInArrow(_windows(window), schema), "slice-windows")
-    shared = windows.groupBy("window_key").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.first("window").alias("slice")).withColumnRenamed("window_key", "slice_key")
-    # A window of one document alone can't be removed from any.
-    shared = shared.where("least < greatest")
-    n = shared.count()
-    found = _searched(shared, "slice_key", n * window // shard_words + 1, window).select(F.col("slice_key").alias("window_key"), "earliest")
-    by_window = windows.join(found, "window_key").where("earliest < greatest").select("slice_key", "offset", F.lit(1).cast("long").alias("count"), "earliest")
-    return _searched(plain, "anchor", total // shard_words + 1, window).unionByName(by_window)
+    sizes = pieces.groupBy("anchor").agg(F.sum(F.size(F.split("piece", " "))).alias("words"))
+    sizes = written(sizes.withColumn("parts", F.floor(F.col("words") / shard_words) + 1), "piece-anchors")
+    total = sizes.where("parts = 1").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64("piece_key"), F.col("parts"))
+    dealt = pieces.join(sizes.select("anchor", "parts"), "anchor").withColumn("part", part)
+    # A small anchor's pieces go to one shard, with other anchors. Of the parts of a large one, any two meet, and one of the two is indexed.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    meetings = F.when(F.col("part") == F.col("other"), F.array(_meeting("part", "part", True, True)))
+    meetings = meetings.otherwise(F.array(_meeting("part", "other", True, False), _meeting("other", "part", False, True)))
+    dealt = dealt.withColumn("meeting", F.explode(meetings))
+    small = F.pmod(F.xxhash64("anchor"), F.lit(total // shard_words + 1))
+    shard = F.when(F.col("parts") == 1, F.xxhash64(small)).otherwise(F.xxhash64("anchor", "meeting.index", "meeting.stream"))
+    columns = [shard.alias("shard"), "meeting.indexed", "meeting.streamed", "piece_key", "piece", "least", "greatest"]
+    return dealt.select(*columns).groupBy("shard").applyInArrow(_search(window), "piece_key binary, offset long, count long, earliest long")
+
+
+def _meeting(index: str, stream: str, indexed: bool, streamed: bool):
+    sides = (F.lit(indexed).alias("indexed"), F.lit(streamed).alias("streamed"))
+    return F.struct(F.col(index).alias("index"), F.col(stream).alias("stream"), *sides)
 
 
 def _remove(window: int):
@@ -239,7 +262,7 @@ def _remove(window: int):
     return batches
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot_slices: int = HOT_SLICES, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, texts: bool = False) -> DataFrame:
     """Per row of ``(doc_id, text)``: ``doc_id, n_words, n_removed, kept_sha256`` and, if ``texts``, the ``kept`` words joined by spaces."""
     if not 0 < gram <= window:
         raise ValueError("an anchor's words must fit in the window")
@@ -259,14 +282,27 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words:
     affected = written(affected, "substring-affected")
     slices = affected.mapInArrow(_slices(window, gram), "doc_id long, row_key long, first long, count long, anchor long, slice_key binary")
     slices = written(slices, "substring-slices")
-    # Of equal slices one is cut out as text, from the first document that has it.
+    # Of equal slices the first document that has it gives one.
     holder = F.min(F.struct("doc_id", "row_key", "first", "count")).alias("holder")
     different = slices.groupBy("anchor", "slice_key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), holder)
     given = F.collect_list(F.struct("holder.first", "holder.count", "anchor", "slice_key", "least", "greatest")).alias("given")
     givers = different.groupBy("holder.doc_id", "holder.row_key").agg(given)
-    cut = affected.select("doc_id", "row_key", "text").join(givers, ["doc_id", "row_key"])
-    different = written(cut.mapInArrow(_cut(window), "anchor long, slice_key binary, least long, greatest long, slice string"), "substring-different")
-    found = earlier_windows(different, window, shard_words, hot_slices)
+    givers = affected.select("doc_id", "row_key", "text").join(givers, ["doc_id", "row_key"])
+    givers = written(givers, "substring-givers")
+    schema = "doc_id long, row_key long, first long, least long, greatest long, keys array<long>"
+    windows = written(givers.mapInArrow(_window_keys(window), schema), "substring-windows")
+    bounds = windows.select(F.explode("keys").alias("key"), "least", "greatest").groupBy("key")
+    shared = bounds.agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")).where("least < greatest").select("key")
+    places = windows.select("doc_id", "row_key", "first", F.posexplode("keys").alias("at", "key")).join(shared, "key", "left_semi")
+    places = places.groupBy("doc_id", "row_key").agg(F.collect_list(F.col("first") + F.col("at")).alias("places"))
+    schema = "anchor long, slice_key binary, least long, greatest long, at long, piece_key binary, piece string"
+    trimmed = givers.join(places, ["doc_id", "row_key"]).mapInArrow(_pieces(window), schema)
+    trimmed = written(trimmed, "substring-pieces")
+    pieces = trimmed.groupBy("anchor", "piece_key")
+    pieces = pieces.agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.first("piece").alias("piece"))
+    found = earlier_windows(written(pieces, "substring-different"), window, shard_words)
+    found = trimmed.select("slice_key", "at", "piece_key").join(found, "piece_key")
+    found = found.select("slice_key", (F.col("at") + F.col("offset")).alias("offset"), "count", "earliest")
     places = slices.select("slice_key", "doc_id", "row_key", "first").join(found, "slice_key").where("earliest < doc_id")
     start = F.col("first") + F.col("offset")
     spans = places.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("count") + (window - 1)).alias("end"))).alias("spans"))

@@ -183,8 +183,8 @@ def brute_removal(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("window", "gram", "hot"), [(6, 3, 5000), (6, 2, 3), (5, 1, 0)])
-def test_substring_removal(spark, window, gram, hot):
+@pytest.mark.parametrize(("window", "gram", "shard_words"), [(6, 3, 200), (6, 2, 20), (5, 1, 1_000_000)])
+def test_substring_removal(spark, window, gram, shard_words):
     random.seed(5)
     base = [" ".join(random.choice("abcd") for _ in range(25)) for _ in range(4)]
     rows = [(None, base[0]), (5, base[0]), (5, base[0]), (3, base[0]), (9, None), (10, ""), (11, "a\x1cb " * 9)]
@@ -192,7 +192,7 @@ def test_substring_removal(spark, window, gram, hot):
         t = " ".join(random.choice([random.choice(base)[random.randrange(6) :], " ".join(random.choice("abcdxyz") for _ in range(random.randrange(15)))]) for _ in range(random.randrange(4)))
         rows.append((random.choice([i, i, i - 1]), random.choice([t, t + "\n"])))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
-    got = substring_dedup.dedup(df, window, gram, shard_words=200, hot_slices=hot).collect()
+    got = substring_dedup.dedup(df, window, gram, shard_words=shard_words).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_removal(rows, window)
 
 
