@@ -232,6 +232,10 @@ def test_language_id(spark, docs):
     odd = language_id.predict(rows_of(spark, [*ODD, "1234 !?", "qxzj vwkq zzxq jjqw xkcd qqqq wxyz zxcv" * 20], extra=True), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in odd if r.text in (None, "", "  ", "1234 !?")] == ["und"] * 4
     assert odd[-1].rejected and all(r.rejected and r.score == 0 for r in odd if r.lang_pred == "und")
+    rejected = language_id.predict(docs, model).where("rejected").count()
+    assert rejected <= 0.001 * docs.count() and (model.chance >= 1).all() and not (model.chance == language_id.CHANCE).any()
+    twice = language_id.predict(rows_of(spark, ["le chat", "le chat"]), model).collect()
+    assert twice[0].lang_pred == twice[1].lang_pred and twice[0].score == twice[1].score
     assert language_id.fit(docs.select("text", "lang").limit(0)) is None
     assert {r.lang_pred for r in language_id.predict(rows_of(spark, ["abc"]), None).collect()} == {"und"}
     assert language_id.predict(empty(spark), model).count() == 0
@@ -257,6 +261,48 @@ def test_language_id_keeps_all_grams(spark, docs):
     assert np.allclose(whole.entropy, limits.entropy, rtol=1e-4) and np.allclose(whole.spread, limits.spread, rtol=1e-3) and np.allclose(whole.random, limits.random, rtol=1e-4)
 
 
+def plain_kneser_ney(counts, letters, text):
+    """Log-probability of a text under interpolated Kneser-Ney of order 4, straight from the definition, by dictionaries."""
+    tables = [counts]
+    for _ in range(3):
+        shorter: dict = {}
+        for gram in tables[0]:
+            shorter[gram[1:]] = shorter.get(gram[1:], 0) + 1
+        tables.insert(0, shorter)
+
+    def discount(table):
+        n1, n2 = (sum(n == k for n in table.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    discounts = [discount(t) for t in tables]
+
+    def p(gram):
+        if not gram:
+            return 1 / letters
+        table, d = tables[len(gram) - 1], discounts[len(gram) - 1]
+        seen = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+        if not seen:
+            return p(gram[1:])
+        return max(table.get(gram, 0) - d, 0) / sum(seen) + d * len(seen) / sum(seen) * p(gram[1:])
+
+    grams = [tuple((int(g) >> s) & 0xFFFF for s in (48, 32, 16, 0)) for g in language_id.grams([text])[0]]
+    return sum(np.log(p(g)) for g in grams)
+
+
+def test_kneser_ney_against_plain_version():
+    train = {"x": "the then there that abba baab cab theatre", "y": "zum zam zimt und hund rund bunt abba"}
+    by_lang = {lang: np.unique(language_id.grams([t])[0], return_counts=True) for lang, t in train.items()}
+    model = language_id.fit_counts(["x", "y"], by_lang)
+    every = {c for keys, _ in by_lang.values() for c in (keys & np.uint64(0xFFFF)).tolist()}
+    texts = ["the hund", "abba zzz", "qux", "rund there zimt"]
+    sums, _ = language_id.Scorer(model).totals(texts)
+    for j, lang in enumerate(["x", "y"]):
+        keys, counts = by_lang[lang]
+        grams = {tuple((int(g) >> s) & 0xFFFF for s in (48, 32, 16, 0)): int(n) for g, n in zip(keys, counts, strict=True)}
+        for i, text in enumerate(texts):
+            assert sums[i, j] == pytest.approx(plain_kneser_ney(grams, len(every) + 1, text), rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     keys, counts = np.unique(language_id.grams(["the then there that abba baab cab"])[0], return_counts=True)
     model = language_id.fit_counts(["x"], {"x": (keys, counts)})
