@@ -6,10 +6,12 @@ streams. A strict function raises on bad data, its ``try_`` form gives NULL. NUL
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,22 +79,34 @@ def crc_named(data, name: str) -> Column:
     return F.crc32(F.col(data) if isinstance(data, str) else data) if name == "crc32" else crc(data, *CRCS[name])
 
 
+@functools.cache
 def largest_prime_below(n: int) -> int:
     return next(p for p in range(n - 1, 1, -1) if all(p % d for d in range(2, int(p**0.5) + 1)))
 
 
+def _adler(data: bytes, bits: int) -> int:
+    """Both running sums in closed form, over pieces that 64 bits hold."""
+    if bits == 32:
+        return zlib.adler32(data)
+    prime, a, b = largest_prime_below(1 << (bits // 2)), 1, 0
+    for lo in range(0, len(data), 1 << 20):
+        part = np.frombuffer(data, np.uint8, min(1 << 20, len(data) - lo), lo).astype(np.int64)
+        b = (b + len(part) * a + int((part * np.arange(len(part), 0, -1)).sum())) % prime
+        a = (a + int(part.sum())) % prime
+    return b << (bits // 2) | a
+
+
 def adler(data, bits: int = 32) -> Column:
-    """The Adler checksum of 16, 32 or 64 bits: two running sums modulo the largest prime that fits half the bits."""
+    """The Adler checksum of 16, 32 or 64 bits: two running sums modulo the largest prime that fits half the bits; as a LONG."""
     if bits not in (16, 32, 64):
         raise ValueError("an Adler checksum has 16, 32 or 64 bits")
-    prime = largest_prime_below(1 << (bits // 2))
-    first = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
 
-    def step(acc: Column, byte: Column) -> Column:
-        a = (acc["a"] + byte) % prime
-        return F.struct(a.alias("a"), ((acc["b"] + a) % prime).alias("b"))
+    @F.pandas_udf("long")
+    def sums(values: pd.Series) -> pd.Series:
+        found = [None if x is None else _adler(bytes(x), bits) for x in values]
+        return pd.Series([x if x is None or x < 1 << 63 else x - (1 << 64) for x in found], dtype="Int64")
 
-    return F.aggregate(byte_values(data), first, step, lambda acc: F.shiftleft(acc["b"], bits // 2).bitwiseOR(acc["a"]))
+    return sums(F.col(data) if isinstance(data, str) else data)
 
 
 # Integers.

@@ -6,25 +6,11 @@ spark.checkpoint.dir), so lineage stays short and lost executors cost one round.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_own: dict[str, str] = {}
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodeframe-graph-"))
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodeframe.storage import dropped, kept
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -33,10 +19,14 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Least label over all paths along the edges ``(src, dst)``, into ``dst``; nodes are those of ``labels`` alone."""
+    last = None
     while True:
         near = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
-        new = kept(labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("before")))
-        labels = new.select("node", "label")
+        new = labels.join(near, "node", "left")
+        new = kept(new.select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("before")))
+        if last is not None:
+            dropped(last)
+        last, labels = new, new.select("node", "label")
         if not new.where("label < before").limit(1).count():
             return labels
 
@@ -44,17 +34,32 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the least node that any path, edges taken either way, leads to. A node without edges joins by a loop ``(n, n)``.
 
-    A label also takes on its own label's label, which halves the longest way at least."""
-    both = kept(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = kept(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), "label")
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = kept(low.join(jump, "low").select("node", F.least("low", "jump").alias("label"), F.col("label").alias("before")))
-        labels = new.select("node", "label")
-        if not new.where("label < before").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+    Each round points every node to the least of itself and its neighbours, follows the pointers to their ends by doubling, and
+    goes on with the edges between different ends, which are half the nodes at most."""
+    pair = (F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    left = kept(edges.select(*pair).distinct())
+    rounds: list[DataFrame] = []
+    while not rounds or left.limit(1).count():
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        labels = kept(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
+        while True:
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
+            ahead = kept(labels.join(jump, "label").select("node", F.col("end").alias("label"), (F.col("end") < F.col("label")).alias("moved")))
+            dropped(labels)
+            labels = ahead
+            if not ahead.where("moved").limit(1).count():
+                break
+        rounds.append(labels)
+        ends = left.join(labels.select(F.col("node").alias("src"), F.col("label").alias("low")), "src")
+        ends = ends.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("high")), "dst").where("low <> high")
+        onward = kept(ends.select(F.col("low").alias("src"), F.col("high").alias("dst")).select(*pair).distinct())
+        dropped(left)
+        left = onward
+    found = rounds[0].select("node", "label")
+    for higher in rounds[1:]:
+        higher = higher.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        found = found.join(higher, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+    return found.withColumnRenamed("label", "component")
 
 
 def component_stats(edges: DataFrame) -> DataFrame:
@@ -121,10 +126,25 @@ def reachable(edges: DataFrame, sources: DataFrame, deleted: DataFrame | None =
 
 
 def closure_union(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """``(node, values)``: the union of the arrays ``values(node, items)`` over all nodes that a node reaches, itself included."""
-    reach = reachable(edges, nodes_of(edges).unionByName(values.select("node")).distinct())
-    pairs = reach.join(values, "node").select("source", F.explode("items").alias("item")).distinct()
-    return pairs.groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_list("item")).alias("values"))
+    """``(node, values)``: the union of the arrays ``values(node, items)`` over all nodes that a node reaches, itself included.
+
+    Strong components stand for their nodes, and items go against the edges between them, a step a round: what is kept is
+    the items of a component, not the nodes that it reaches."""
+    loops = values.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    every = edges.select("src", "dst").unionByName(loops)
+    strong = kept(strong_components(every))
+    src, dst = (strong.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in ("src", "dst"))
+    links = edges.join(src, "src").join(dst, "dst").where("_src <> _dst")
+    links = kept(links.select(F.col("_src").alias("component"), F.col("_dst").alias("ahead")).distinct())
+    items = values.join(strong, "node").select("component", F.explode("items").alias("item"))
+    held = kept(items.distinct())
+    fresh = held
+    while fresh.limit(1).count():
+        passed = links.join(fresh.withColumnRenamed("component", "ahead"), "ahead").select("component", "item").distinct()
+        fresh = kept(passed.join(held, ["component", "item"], "left_anti"))
+        held = held.unionByName(fresh)
+    lists = held.groupBy("component").agg(F.array_sort(F.collect_list("item")).alias("values"))
+    return strong.join(lists, "component").select("node", "values")
 
 
 def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:

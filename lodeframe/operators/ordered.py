@@ -6,10 +6,17 @@ sums, ranks limited before the shuffle, or broadcasts, as sizes suggest.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
+from lodeframe.storage import kept
+
 
 def insert_first(rows: DataFrame, key: str, order: str | list[str], value: str) -> DataFrame:
     """A map in which the first value of a key stays."""
@@ -42,31 +49,53 @@ def lookup(held: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     return asked.join(held.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def bounds(held: DataFrame, asked: DataFrame, key: str, probe: str) -> DataFrame:
-    """``asked`` with ``lower``, the least key from the probe on, and ``upper``, the least key behind it; NULL past the end.
+def _ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in ranges of ``order``, numbered ``_part``. They are written, so that all branches of a plan see the same ranges."""
+    return kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
 
-    Both sides go into one ordered run; ranges of the key are sorted apart, and what stands behind a range's end is
-    the least key of the ranges after it, one row a range."""
+def around(held: DataFrame, asked: DataFrame, key: str, probe: str) -> DataFrame:
+    """The different probes with ``floor``, the greatest key up to the probe, ``lower``, the least key from it on, and ``upper``, the least
+    key behind it; NULL where there is none.
+
+    Both sides go into one ordered run; ranges of the key are sorted apart, and what stands beyond a range's ends are the nearest
+    keys of other ranges, one row a range. All frames run from the start of the order, so each row is taken in once."""
     keys = held.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct()
     asks = asked.select(F.col(probe).alias("_k")).where("_k IS NOT NULL").distinct()
-    marked = keys.select("_k", F.lit(1).alias("_is")).unionByName(asks.select("_k", F.lit(0).alias("_is"))).groupBy("_k").agg(F.max("_is").alias("_is"))
-    parts = marked.repartitionByRange("_k").withColumn("_part", F.spark_partition_id())
+    marked = keys.select("_k", F.lit(1).alias("_is")).unionByName(asks.select("_k", F.lit(0).alias("_is")))
+    parts = _ranges(marked.groupBy("_k").agg(F.max("_is").alias("_is")), "_k")
     own = F.when(F.col("_is") == 1, F.col("_k"))
-    firsts = parts.groupBy("_part").agg(F.min(own).alias("_first"))
-    behind = firsts.select("_part", F.min("_first").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
-    at = Window.partitionBy("_part").orderBy("_k")
-    found = parts.join(F.broadcast(behind), "_part").select(
+    ends = parts.groupBy("_part").agg(F.min(own).alias("_first"), F.max(own).alias("_last"))
+    up, down = Window.orderBy("_part"), Window.orderBy(F.desc("_part"))
+    earlier = Window.unboundedPreceding, -1
+    beyond = ends.select("_part", F.max("_last").over(up.rowsBetween(*earlier)).alias("_ahead"), F.min("_first").over(down.rowsBetween(*earlier)).alias("_behind"))
+    rising, falling = Window.partitionBy("_part").orderBy("_k"), Window.partitionBy("_part").orderBy(F.desc("_k"))
+    return parts.join(F.broadcast(beyond), "_part").select(
         F.col("_k").alias(probe),
-        F.coalesce(F.min(own).over(at.rowsBetween(0, Window.unboundedFollowing)), "_behind").alias("lower"),
-        F.coalesce(F.min(own).over(at.rowsBetween(1, Window.unboundedFollowing)), "_behind").alias("upper"),
+        F.coalesce(F.max(own).over(rising.rowsBetween(Window.unboundedPreceding, 0)), "_ahead").alias("floor"),
+        F.coalesce(F.min(own).over(falling.rowsBetween(Window.unboundedPreceding, 0)), "_behind").alias("lower"),
+        F.coalesce(F.min(own).over(falling.rowsBetween(*earlier)), "_behind").alias("upper"),
     )
-    return asked.join(found, probe, "left")
+
+
+def bounds(held: DataFrame, asked: DataFrame, key: str, probe: str) -> DataFrame:
+    """``asked`` with ``lower``, the least key from the probe on, and ``upper``, the least key behind it; NULL past the end."""
+    return asked.join(around(held, asked, key, probe).select(probe, "lower", "upper"), probe, "left")
 
 
 def neighbours(held: DataFrame, key: str, by: str | None = None) -> DataFrame:
-    """Each key with its predecessor and successor, within groups if ``by`` is given."""
-    order = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(key)
-    return held.withColumn("predecessor", F.lag(key).over(order)).withColumn("successor", F.lead(key).over(order))
+    """Each key with its predecessor and successor, within groups if ``by`` is given, else in ranges of the key."""
+    if by:
+        order = Window.partitionBy(by).orderBy(key)
+        return held.withColumn("predecessor", F.lag(key).over(order)).withColumn("successor", F.lead(key).over(order))
+    parts = _ranges(held, key)
+    ends = parts.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    line = Window.orderBy("_part")  # one row a range
+    beyond = ends.select("_part", F.lag("_last").over(line).alias("_ahead"), F.lead("_first").over(line).alias("_behind"))
+    order = Window.partitionBy("_part").orderBy(key)
+    found = parts.join(F.broadcast(beyond), "_part")
+    found = found.withColumn("predecessor", F.coalesce(F.lag(key).over(order), "_ahead"))
+    return found.withColumn("successor", F.coalesce(F.lead(key).over(order), "_behind")).drop("_part", "_ahead", "_behind")
 
 
 def kth(rows: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
@@ -167,20 +196,28 @@ def ring(rows: DataFrame, by: str, order: list[str], operation: str, capacity: i
 def lru_hits(rows: DataFrame, by: str, order: list[str], key: str, capacity: int) -> DataFrame:
     """``rows`` with ``hit``: whether a cache of least recently used keys would still hold the key.
 
-    It does if fewer other keys than the capacity came up since the key's last use. Those are the rows in between that are
-    the last use of their key before this row, so they are counted per row of a hit's gap, not per pair of keys."""
-    order_by = Window.partitionBy(by).orderBy(*order)
-    numbered = rows.withColumn("_n", F.row_number().over(order_by).cast("long"))
-    uses = Window.partitionBy(by, key).orderBy("_n")
-    numbered = numbered.withColumn("_before", F.lag("_n").over(uses)).withColumn("_next", F.coalesce(F.lead("_n").over(uses), F.lit((1 << 62))))
-    # Within a group, with m rows in order: how many rows between _before and _n have their next use at _n or later.
-    groups = numbered.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_n", "_next"))).alias("_uses"))
-    nexts = groups.select(by, F.transform("_uses", lambda u: u["_next"]).alias("_nexts"))
-    gaps = numbered.join(nexts, by)
-    between = F.when(F.col("_n") - F.col("_before") > 1, F.slice("_nexts", (F.col("_before") + 1).cast("int"), (F.col("_n") - F.col("_before") - 1).cast("int")))
-    other = F.coalesce(F.size(F.filter(between, lambda x: x > F.col("_n"))), F.lit(0))
-    hit = F.col("_before").isNotNull() & (other < capacity)
-    return gaps.withColumn("hit", hit).drop("_n", "_before", "_next", "_nexts")
+    Rows stream through in order, with the keys of one group's cache as the only state, so a group of any length takes time in
+    proportion to its rows and memory for ``capacity`` keys. A null key is a key like others."""
+    if capacity < 1:
+        raise ValueError("a cache holds one key at least")
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cache = object(), OrderedDict()
+        for batch in source:
+            hits = []
+            for owner, used in zip(batch.column(by).to_pylist(), batch.column(key).to_pylist(), strict=True):
+                if owner != group:
+                    group, cache = owner, OrderedDict()
+                hits.append(used in cache)
+                cache[used] = None
+                cache.move_to_end(used)
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [*batch.schema.names, "hit"])
+
+    kept_rows = rows.drop("hit")
+    schema = StructType([*kept_rows.schema.fields, StructField("hit", BooleanType())])
+    return kept_rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(batches, schema)
 
 
 def slot_ids(rows: DataFrame, by: str, order: list[str], operation: str, capacity: int, shift: int = 16) -> DataFrame:

@@ -1,0 +1,133 @@
+"""Operators against plain Python versions, with nulls, ties, hot groups and plans that stay linear."""
+
+import random
+from collections import OrderedDict
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodeframe import storage
+from lodeframe.operators import graphs as G
+from lodeframe.operators import joins as J
+from lodeframe.operators import ordered as O
+
+
+def test_bounds_against_plain_version(spark):
+    random.seed(1)
+    held = [random.randrange(500) for _ in range(120)] + [None]
+    asked = [random.randrange(-20, 540) for _ in range(200)] + [None]
+    df = O.bounds(spark.createDataFrame([(k,) for k in held], "k long"), spark.createDataFrame([(p,) for p in asked], "p long"), "k", "p")
+    keys = sorted({k for k in held if k is not None})
+    plain = [(p, *(min((k for k in keys if p is not None and f(k, p)), default=None) for f in (int.__ge__, int.__gt__))) for p in asked]
+    assert sorted(map(tuple, df.select("p", "lower", "upper").collect()), key=repr) == sorted(plain, key=repr)
+    frames = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in frames.lower() and "currentrow" in frames.lower()
+
+
+def test_neighbours_without_groups(spark):
+    keys = list(range(0, 3000, 7))
+    random.shuffle(keys)
+    df = O.neighbours(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    keys.sort()
+    plain = list(zip(keys, [None, *keys[:-1]], [*keys[1:], None], strict=True))
+    assert sorted(map(tuple, df.select("k", "predecessor", "successor").collect())) == plain
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_lru_against_plain_cache(spark):
+    random.seed(2)
+    rows = [(i, random.choice([1, 1, 1, 2]), random.choice([None, *range(9)])) for i in range(600)]
+    got = {r.i: r.hit for r in O.lru_hits(spark.createDataFrame(rows, "i long, u long, k long").withColumn("hit", F.lit("clash")), "u", ["i"], "k", 4).collect()}
+    caches: dict = {}
+    for i, u, k in rows:
+        cache = caches.setdefault(u, OrderedDict())
+        assert got[i] == (k in cache)
+        cache[k] = None
+        cache.move_to_end(k)
+        while len(cache) > 4:
+            cache.popitem(last=False)
+
+
+def test_slot_map_against_plain_replay(spark):
+    random.seed(3)
+    rows = [(u, i, random.choice(["insert", "insert", "erase"])) for u in (1, 2) for i in range(80)]
+    got = {r.u: (r.live, r.full) for r in O.slot_ids(spark.createDataFrame(rows, "u long, i long, op string"), "u", ["i"], "op", 5).collect()}
+    for u in (1, 2):
+        generation, free, live, full = [1] * 5, [4, 3, 2, 1, 0], [], 0
+        for _, _, op in (r for r in rows if r[0] == u):
+            if op == "insert" and free:
+                slot = free.pop()
+                live.append((generation[slot] << 16) + slot)
+            elif op == "insert":
+                full += 1
+            elif live:
+                slot = live.pop(0) & 0xFFFF
+                generation[slot] += 1
+                free.append(slot)
+        assert got[u] == (live, full)
+
+
+def test_overlap_against_all_pairs(spark):
+    random.seed(4)
+    spans = [(i, random.randrange(3), lo := random.randrange(-300, 300), lo + random.randrange(-2, 40)) for i in range(150)]
+    queries, stored = spans[:60], spans[60:]
+    cols = "id long, g long, low long, high long"
+    q, s = spark.createDataFrame(queries, cols), spark.createDataFrame(stored, cols)
+    meets = lambda a, b: a[2] <= a[3] and b[2] <= b[3] and a[2] <= b[3] and b[2] <= a[3]
+    got = {r.id for r in J.has_overlap(q, s, 50, "id", on=("g",)).collect()}
+    assert got == {a[0] for a in queries if any(a[1] == b[1] and meets(a, b) for b in stored)}
+    assert {r.id for r in J.has_overlap(q, s, 50, "id").collect()} == {a[0] for a in queries if any(meets(a, b) for b in stored)}
+
+
+def test_as_of_breaks_ties(spark):
+    left = spark.createDataFrame([(1, 5), (1, 70), (2, 5)], "u long, t long")
+    right = spark.createDataFrame([(1, 5, v) for v in (3, 9, 1, 7)], "u long, s long, v long").repartition(4)
+    assert sorted((r.u, r.t, r.v) for r in J.as_of(left, right, "t", "s", ("u",), ("v",), 10).collect() if r.u == 1) == [(1, 5, 9), (1, 70, 9)]
+
+
+def test_longest_common_prefix_against_plain_version(spark):
+    random.seed(5)
+    texts = ["".join(random.choice("aé😀~") for _ in range(random.randrange(6))) for _ in range(60)]
+    keys, queries = [*texts[:30], None], [*texts[30:], None, "", "x" * 5000]
+    got = J.longest_common_prefix(spark.createDataFrame([(k,) for k in keys], "k string"), spark.createDataFrame([(q,) for q in queries], "q string"), "k", "q")
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    plain = [(q, max(common(q, k) for k in keys if k is not None) if q is not None else 0) for q in queries]
+    assert sorted(map(tuple, got.select("q", "common").collect()), key=repr) == sorted(plain, key=repr)
+
+
+def test_closure_and_components_against_plain_versions(spark):
+    random.seed(6)
+    edges = list({(random.randrange(30), random.randrange(30)) for _ in range(40)})
+    df = spark.createDataFrame(edges, "src long, dst long")
+    nodes = sorted({n for e in edges for n in e} | {77})
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for n in nodes:
+                if a in reach[n]:
+                    reach[n].add(b)
+    values = spark.createDataFrame([(n, [n % 4, n % 7]) for n in nodes], "node long, items array<long>")
+    got = {r.node: r["values"] for r in G.closure_union(df, values).collect()}
+    assert got == {n: sorted({v for m in reach[n] for v in (m % 4, m % 7)}) for n in nodes}
+    weak = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            weak[a] = weak[b] = min(weak[a], weak[b])
+    assert {r.node: r.component for r in G.components(df).collect()} == {n: weak[n] for n in nodes if n != 77}
+    chain = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert G.components(chain).agg(F.max("component")).first()[0] == 0
+    assert G.components(df.limit(0)).count() == 0
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace as Has
+
+    cluster = Has(sparkContext=Has(master="spark://far:7077", applicationId="a"), conf=Has(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(cluster)
