@@ -6,7 +6,7 @@ arithmetic, so it stays inside generated code; NULL in gives NULL out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from enum import Enum
 
 import pandas as pd
@@ -253,3 +253,79 @@ def pack_bits(fields: Column, widths: Sequence[int], order: BitOrder = BitOrder.
             yield batch.map(lambda x: None if x is None else write_bits([int(v) for v in x], widths, order))
 
     return run(fields)
+
+
+class BitReader:
+    """A cursor over the bits of bytes; reading behind the end raises ValueError."""
+
+    def __init__(self, data: bytes, order: BitOrder = BitOrder.LSBYTE):
+        self.data, self.order, self.place = data, order, 0
+
+    @property
+    def eof(self) -> bool:
+        return self.place >= 8 * len(self.data)
+
+    def peek(self, width: int) -> int:
+        first, last = self.place >> 3, -(-(self.place + width) // 8)
+        if last > len(self.data):
+            raise ValueError("the data ends before the field")
+        return read_bits(self.data[first:last], [width], self.order, self.place & 7)[0]
+
+    def read(self, width: int) -> int:
+        value = self.peek(width)
+        self.place += width
+        return value
+
+    def drop(self, width: int) -> None:
+        self.seek(self.place + width)
+
+    def seek(self, place: int) -> None:
+        if not 0 <= place <= 8 * len(self.data):
+            raise ValueError("the data has no such bit")
+        self.place = place
+
+    def align(self) -> None:
+        """On to the next byte, if within one."""
+        self.place = -(-self.place // 8) * 8
+
+
+class BitWriter:
+    """The dual of the reader: fields one behind the other; ``seek`` goes back over what is there, to write it anew."""
+
+    def __init__(self, order: BitOrder = BitOrder.LSBYTE):
+        self.order, self.bits, self.place = order, [], 0
+
+    def write(self, value: int, width: int) -> None:
+        low_first = self.order in (BitOrder.LSBYTE, BitOrder.LSBIT)
+        new = [value >> (i if low_first else width - 1 - i) & 1 for i in range(width)]
+        self.bits[self.place : self.place + width] = new
+        self.place += width
+
+    def align(self) -> None:
+        self.write(0, -self.place % 8)
+
+    def write_bytes(self, data: bytes) -> None:
+        if self.place % 8:
+            raise ValueError("bytes begin at a byte")
+        for byte in data:
+            self.write(byte, 8)
+
+    def seek(self, place: int) -> None:
+        if not 0 <= place <= len(self.bits):
+            raise ValueError("no such bit is written")
+        self.place = place
+
+    def buffer(self) -> bytes:
+        return write_bits(self.bits, [1] * len(self.bits), self.order)
+
+
+def by_cursor(columns: list[Column], returns: str, f: Callable[..., object]) -> Column:
+    """A function of plain values, such as a walk of a cursor, over columns in Arrow batches; NULL in any gives NULL."""
+
+    @F.pandas_udf(returns)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = zip(*((batch,) if isinstance(batch, pd.Series) else batch), strict=True)
+            yield pd.Series([None if any(v is None for v in row) else f(*row) for row in rows], dtype=object)
+
+    return run(*columns)

@@ -171,8 +171,9 @@ def matmul(a, b) -> Column:
 
 
 def render(m) -> Column:
-    """A matrix as lines of numbers."""
-    return F.array_join(F.transform(_a(m), lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%g", x)), " ")), "\n")
+    """A matrix as lines of numbers, whole ones without a point."""
+    shown = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+    return F.array_join(F.transform(_a(m), lambda r: F.array_join(F.transform(r, shown), " ")), "\n")
 
 
 # Large matrices across rows: (i, j, v), absent entries 0.

@@ -157,19 +157,44 @@ def lbfgs(f, x, clamp, steps: int = 300, memory: int = 8) -> np.ndarray:
     return x
 
 
-def cma_es(f, x, clamp, steps: int = 200, seed: int = 1, sigma: float = 0.3) -> np.ndarray:
-    """Covariance adaptation along the axes, with a fixed seed."""
-    rng, x = np.random.default_rng(seed), np.array(x, float)
-    spread, size = np.full(len(x), sigma) * np.maximum(1.0, np.abs(x)), 4 + int(3 * np.log(len(x) + 1)) * 2
-    best = (f(clamp(x)), clamp(x))
-    for _ in range(steps):
-        tries = [clamp(x + spread * rng.normal(size=len(x))) for _ in range(size)]
-        ranked = sorted(((f(t), i) for i, t in enumerate(tries)))[: size // 2]
-        chosen = np.array([tries[i] for _, i in ranked])
-        new = chosen.mean(axis=0)
-        spread = np.maximum(0.8 * spread + 0.2 * np.sqrt(((chosen - x) ** 2).mean(axis=0)), 1e-12)
-        x = new
+def cma_es(f, x, clamp, steps: int = 400, seed: int = 1, sigma: float = 0.3) -> np.ndarray:
+    """Covariance matrix adaptation, with a fixed seed: the best half of a generation moves the mean, two paths of its moves set the
+    step's length and the shape of the next generation."""
+    rng, mean = np.random.default_rng(seed), np.array(x, float)
+    n = len(mean)
+    step = sigma * max(1.0, float(np.abs(mean).max()))
+    size = 4 + int(3 * np.log(n)) + 4
+    weights = np.log(size / 2 + 0.5) - np.log(np.arange(1, size // 2 + 1))
+    weights /= weights.sum()
+    mass = 1 / (weights**2).sum()
+    fade_shape, fade_step = (4 + mass / n) / (n + 4 + 2 * mass / n), (mass + 2) / (n + mass + 5)
+    one = 2 / ((n + 1.3) ** 2 + mass)
+    many = min(1 - one, 2 * (mass - 2 + 1 / mass) / ((n + 2) ** 2 + mass))
+    damping = 1 + 2 * max(0.0, np.sqrt((mass - 1) / (n + 1)) - 1) + fade_step
+    usual = np.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n * n))
+    path_step, path_shape, shape = np.zeros(n), np.zeros(n), np.eye(n)
+    best = (f(clamp(mean)), clamp(mean))
+    for k in range(1, steps + 1):
+        values, axes = np.linalg.eigh(shape)
+        lengths = np.sqrt(np.maximum(values, 1e-20))
+        if step * lengths.max() < 1e-11:
+            break
+        moves = (rng.normal(size=(size, n)) * lengths) @ axes.T
+        tries = [clamp(mean + step * m) for m in moves]
+        ranked = sorted((f(t), i) for i, t in enumerate(tries))
         best = min(best, (ranked[0][0], tries[ranked[0][1]]), key=lambda v: v[0])
+        # What the bounds cut off counts as not moved.
+        chosen = (np.array([tries[i] for _, i in ranked[: len(weights)]]) - mean) / step
+        move = weights @ chosen
+        mean = mean + step * move
+        path_step = (1 - fade_step) * path_step + np.sqrt(fade_step * (2 - fade_step) * mass) * (axes / lengths) @ (axes.T @ move)
+        far = np.linalg.norm(path_step) / np.sqrt(1 - (1 - fade_step) ** (2 * k))
+        small = far < (1.4 + 2 / (n + 1)) * usual
+        path_shape = (1 - fade_shape) * path_shape + small * np.sqrt(fade_shape * (2 - fade_shape) * mass) * move
+        spread = (chosen * weights[:, None]).T @ chosen
+        kept = 1 - one - many + (not small) * one * fade_shape * (2 - fade_shape)
+        shape = kept * shape + one * np.outer(path_shape, path_shape) + many * spread
+        step *= float(np.exp(min(1.0, fade_step / damping * (np.linalg.norm(path_step) / usual - 1))))
     return best[1]
 
 

@@ -245,3 +245,27 @@ def slot_ids(rows: DataFrame, by: str, order: list[str], operation: str, capacit
         )
 
     return ops.select(by, F.aggregate("_ops", start, step).alias("_s")).select(by, F.col("_s.live").alias("live"), F.col("_s.full").alias("full"))
+
+
+def resized_max(rows: DataFrame, by: str, order: list[str], value: str, size: str, most: int) -> DataFrame:
+    """``rows`` with ``greatest``, over a window whose size the rows set, ``most`` at most: a smaller one drops its oldest rows, and a
+    larger one doesn't bring them back."""
+    line = Window.partitionBy(by).orderBy(*order)
+    out = rows.withColumn("_n", F.row_number().over(line))
+    first = F.greatest(F.lit(1), F.col("_n") - F.least(F.greatest(F.col(size), F.lit(1)), F.lit(most)) + 1)
+    out = out.withColumn("_first", F.max(first).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("_recent", F.collect_list(F.struct(F.col(value).alias("v"))).over(line.rowsBetween(1 - most, 0)))
+    held = F.slice("_recent", F.col("_first") - F.col("_n") - 1, F.col("_n") - F.col("_first") + 1)
+    return out.withColumn("greatest", F.array_max(F.transform(held, lambda x: x["v"]))).drop("_n", "_first", "_recent")
+
+
+def traversal(tree: DataFrame, group: str, kind: str) -> DataFrame:
+    """``tree``, of nodes numbered level by level, with ``place``, from 0, in an order: "pre", "in", "post" or "level".
+
+    A node's way from the root is the digits behind its number's first; with a mark for the node's own end that sorts before,
+    between or behind those of left and right, the ways sort as each order visits."""
+    way = F.substring(F.bin("node"), 2, 64)
+    keys = {"pre": way, "in": F.concat(F.translate(way, "1", "2"), F.lit("1")), "post": F.concat(way, F.lit("2")), "level": F.col("node")}
+    if kind not in keys:
+        raise ValueError("the order is one of pre, in, post and level")
+    return tree.withColumn("place", (F.row_number().over(Window.partitionBy(group).orderBy(keys[kind])) - 1).cast("long"))

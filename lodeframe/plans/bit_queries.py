@@ -112,3 +112,43 @@ def flags(spark, sf_dir):
         B.flags_contain("flags", F.lit(20)).alias("any_of_20"),
         F.size(B.flags_list("flags")).cast("long").alias("n_flags"),
     )
+
+
+@query(
+    "b11_b12_cursor",
+    """SELECT l_orderkey, l_linenumber, l_linenumber::BIGINT AS line, l_quantity::BIGINT AS quantity, l_quantity::BIGINT % 16 AS low_quantity, l_partkey % 65536 AS part, true AS at_end FROM lineitem""",
+)
+def cursor(spark, sf_dir):
+    """A record of three bits, six bits and, from the next byte on, sixteen, written and read by cursors."""
+
+    def written(line: int, quantity: float, part: int) -> bytes:
+        out = B.BitWriter()
+        out.write(line, 3)
+        out.write(0, 6)
+        out.align()
+        out.write_bytes(int(part % 65536).to_bytes(2, "little"))
+        out.seek(3)
+        out.write(int(quantity), 6)
+        return out.buffer()
+
+    def read(data: bytes) -> list[int]:
+        cursor = B.BitReader(bytes(data))
+        cursor.drop(3)
+        low, quantity = cursor.peek(4), cursor.read(6)
+        cursor.align()
+        part, at_end = cursor.read(16), cursor.eof
+        cursor.seek(0)
+        return [cursor.read(3), quantity, low, part, int(at_end)]
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", B.by_cursor([F.col("l_linenumber"), F.col("l_quantity"), F.col("l_partkey")], "binary", written).alias("d"))
+    rows = rows.withColumn("f", B.by_cursor([F.col("d")], "array<long>", read))
+    names = ("line", "quantity", "low_quantity", "part")
+    return rows.select("l_orderkey", "l_linenumber", *(F.col("f")[i].alias(n) for i, n in enumerate(names)), (F.col("f")[4] == 1).alias("at_end"))
+
+
+@query("b13_bitset_resize", "SELECT p_partkey, (p_size % 16 < 8)::BIGINT AS kept_low, (1 + (p_size % 16 <> 3)::INT)::BIGINT AS grown FROM part")
+def bitset_resize(spark, sf_dir):
+    """A bit among sixteen, cut to eight and grown again, with another set behind."""
+    one = B.bitset(16, F.array((F.col("p_size") % 16).cast("int")))
+    three = B.bitset_set(B.bitset_resize(one, 20), 3)
+    return table(spark, sf_dir, "part").select("p_partkey", B.bitset_count(B.bitset_resize(B.bitset_resize(one, 8), 16)).cast("long").alias("kept_low"), B.bitset_count(three).cast("long").alias("grown"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import codecs as C
 from lodeframe.plans.registry import query, table
+from lodeframe.streaming.chunks import deflate_chunks, inflate_chunks
 
 _BYTES = "list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || hex(encode(text))[2*i+1:2*i+2])::BIGINT)"
 
@@ -136,3 +137,22 @@ def byte_search(spark, sf_dir):
 def hex_base64(spark, sf_dir):
     d = C.utf8("text")
     return table(spark, sf_dir, "benchmark").select("item_id", C.to_hex(d).alias("hex"), F.decode(C.from_hex(C.to_hex(d, True, ":")), "UTF-8").alias("from_hex"), F.decode(F.unbase64(C.to_base64(d)), "UTF-8").alias("from_base64"))
+
+
+@query("c14_strategies", "SELECT page_id, 0::BIGINT AS stored, 1::BIGINT AS fixed, 2::BIGINT AS dynamic, sha256(html) AS from_stored, sha256(html) AS from_fixed, sha256(html) AS from_dynamic FROM pages")
+def strategies(spark, sf_dir):
+    """The kind of the first block of each strategy's stream, and what the streams hold."""
+    names = ("stored", "fixed", "dynamic")
+    rows = table(spark, sf_dir, "pages").select("page_id", *(C.deflate(C.utf8("html"), "raw", 6, n).alias(n) for n in names))
+    kind = lambda n: F.shiftright(F.conv(F.hex(F.substring(n, 1, 1)), 16, 10).cast("long"), 1).bitwiseAND(F.lit(3).cast("long"))
+    return rows.select("page_id", *(kind(n).alias(n) for n in names), *(F.sha2(C.inflate(n, "raw"), 256).alias(f"from_{n}") for n in names))
+
+
+@query("c17_c18_chunks", "SELECT page_id, sha256(html) AS sha256, ((length(html) + 499) // 500)::BIGINT AS chunks FROM pages")
+def chunks(spark, sf_dir):
+    """Pages in chunks, through a compressor and a decompressor chunk by chunk, and together again."""
+    page = table(spark, sf_dir, "pages").select("page_id", "html", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("html") - 1) / 500))).alias("number", "_"))
+    parts = page.select("page_id", "number", C.utf8(F.substring("html", F.col("number") * 500 + 1, F.lit(500))).alias("data"))
+    back = inflate_chunks(deflate_chunks(parts, "page_id", "number", "data"), "page_id", "number", "data")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("number", F.lit(1 << 30)).alias("n"), F.hex("data").alias("d")))), lambda x: x["d"]), "")
+    return back.groupBy("page_id").agg(F.sha2(F.unhex(whole), 256).alias("sha256"), F.count("number").alias("chunks"))

@@ -72,3 +72,49 @@ def blends(spark, sf_dir):
 def adjusted(spark, sf_dir):
     c = F.col("c")
     return _colors(spark, sf_dir).select("c_custkey", K.inverted(c)["r"].alias("inverted"), K.brightened(c, 1.5)["g"].alias("bright"), F.round(K.saturated(c, 0.0)["g"], 4).alias("grey"))
+
+
+_TAGS = ("HS", "HV", "CK", "YU", "XZ", "LB", "LC", "OB", "OC", "HW")
+
+
+@query("k02_packed_spaces", f"WITH c AS ({_RGB}) SELECT c_custkey, {', '.join(f'round(r / 10 - g / 10, 2) AS {t.lower()}' for t in _TAGS)} FROM c")
+def packed_spaces(spark, sf_dir):
+    """The first two channels of each space's text, the second one below zero."""
+    r, g, b = (F.col("c")[x] / 10 for x in "rgb")
+    rows = _colors(spark, sf_dir)
+    for tag in _TAGS:
+        text = K.format_packed(tag, r, -g, b, *([b] if tag == "CK" else []))
+        rows = rows.withColumn(tag.lower(), K.parse_packed(text)["channels"])
+    return rows.select("c_custkey", *((F.round(F.col(t.lower())[0] + F.col(t.lower())[1], 2) + 0.0).alias(t.lower()) for t in _TAGS))
+
+
+#: The published blend formulas over x and z, fractions of source and backdrop.
+_BLENDS = {
+    "normal": "x",
+    "overlay": "CASE WHEN z <= 0.5 THEN 2 * x * z ELSE 1 - 2 * (1 - x) * (1 - z) END",
+    "darken": "least(x, z)",
+    "lighten": "greatest(x, z)",
+    "color_dodge": "CASE WHEN z = 0 THEN 0 WHEN x >= 1 THEN 1 ELSE least(1, z / (1 - x)) END",
+    "color_burn": "CASE WHEN z >= 1 THEN 1 WHEN x <= 0 THEN 0 ELSE 1 - least(1, (1 - z) / x) END",
+    "hard_light": "CASE WHEN x <= 0.5 THEN 2 * x * z ELSE 1 - 2 * (1 - x) * (1 - z) END",
+    "soft_light": "CASE WHEN x <= 0.5 THEN z - (1 - 2 * x) * z * (1 - z) ELSE z + (2 * x - 1) * (CASE WHEN z <= 0.25 THEN ((16 * z - 12) * z + 4) * z ELSE sqrt(z) END - z) END",
+    "exclusion": "x + z - 2 * x * z",
+}
+
+
+@query("k13_all_blends", f"WITH c AS ({_RGB}) SELECT c_custkey, {', '.join(f'round({sql}, 6) + 0.0 AS {name}' for name, sql in _BLENDS.items())} FROM c")
+def all_blends(spark, sf_dir):
+    s, d = F.col("c")["r"] / 255, F.col("c")["b"] / 255
+    return _colors(spark, sf_dir).select("c_custkey", *((F.round(K.BLENDS[name](s, d), 6) + 0.0).alias(name) for name in _BLENDS))
+
+
+@query(
+    "k14_kelvin",
+    """WITH t AS (SELECT c_custkey, least(greatest(c_custkey * 37 % 45000, 1000), 40000) / 100.0::DOUBLE AS t FROM customer)
+SELECT c_custkey, round(CASE WHEN t <= 66 THEN 255 ELSE least(255, greatest(0, 329.698727446 * pow(t - 60, -0.1332047592))) END, 4) AS red,
+ round(CASE WHEN t <= 66 THEN least(255, greatest(0, 99.4708025861 * ln(t) - 161.1195681661)) ELSE least(255, greatest(0, 288.1221695283 * pow(t - 60, -0.0755148492))) END, 4) AS green,
+ round(CASE WHEN t >= 66 THEN 255 WHEN t <= 19 THEN 0 ELSE least(255, greatest(0, 138.5177312231 * ln(t - 10) - 305.0447927307)) END, 4) AS blue FROM t""",
+)
+def kelvin(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", K.kelvin_to_rgb(F.col("c_custkey") * 37 % 45000).alias("c"))
+    return rows.select("c_custkey", *(F.round(F.col("c")[x], 4).alias(n) for x, n in (("r", "red"), ("g", "green"), ("b", "blue"))))

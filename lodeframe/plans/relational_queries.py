@@ -176,3 +176,34 @@ def common_prefix(spark, sf_dir):
     asked = parts.select("p_partkey", "p_brand", F.concat(F.left("p_name", (1 + F.col("p_partkey") % 8).cast("int")), F.lit("~")).alias("name"))
     found = J.longest_common_prefix(parts.select(F.col("p_name").alias("key")), asked, "key", "name")
     return found.select("p_partkey", "common", J.common_prefix_length("name", "p_brand").alias("with_brand"))
+
+
+@query(
+    "t03_resized_window",
+    """WITH o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, 1 + event_id % 5 AS size FROM events),
+r AS (SELECT *, max(greatest(1, n - size + 1)) OVER (PARTITION BY user_id ORDER BY n) AS f FROM o)
+SELECT event_id, (SELECT max(value) FROM o q WHERE q.user_id = r.user_id AND q.n BETWEEN r.f AND r.n) AS greatest FROM r""",
+)
+def resized_window(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", (1 + F.col("event_id") % 5).cast("int").alias("size"))
+    return O.resized_max(rows, "user_id", ["ts", "event_id"], "value", "size", 5).select("event_id", "greatest")
+
+
+@query(
+    "s07_traversals",
+    """WITH t AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer), w AS (SELECT *, bin(i)[2:] AS way FROM t)
+SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY way) - 1 AS pre, row_number() OVER (PARTITION BY c_nationkey ORDER BY replace(way, '1', '2') || '1') - 1 AS inside,
+ row_number() OVER (PARTITION BY c_nationkey ORDER BY way || '2') - 1 AS post, i - 1 AS level FROM w""",
+)
+def traversals(spark, sf_dir):
+    tree = O.heap_tree(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", ["c_custkey"])
+    for kind, name in (("pre", "pre"), ("in", "inside"), ("post", "post"), ("level", "level")):
+        tree = O.traversal(tree, "c_nationkey", kind).withColumnRenamed("place", name)
+    return tree.select("c_custkey", "pre", "inside", "post", "level")
+
+
+@query("x07_lower_bound", "WITH k AS (SELECT DISTINCT p_name AS k FROM part), q AS (SELECT DISTINCT p_name[1:4] || 'm' AS probe FROM part) SELECT probe, l.k AS lower FROM q ASOF LEFT JOIN k l ON probe <= l.k")
+def lower_bound(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_name")
+    asked = parts.select(F.concat(F.left("p_name", F.lit(4)), F.lit("m")).alias("probe")).distinct()
+    return O.bounds(parts, asked, "p_name", "probe").select("probe", "lower")

@@ -121,3 +121,17 @@ def small(spark, sf_dir):
         M.transpose("m")[0][1].alias("transposed01"),
         F.round(M.adjoint("m")[0][0], 6).alias("adjoint00"),
     )
+
+
+@query(
+    "m05_m07_shapes",
+    """SELECT p_partkey, 0.0::DOUBLE AS beyond, p_size::DOUBLE AS corner, round(2 * cos(0.5) * p_size - 3 * sin(0.5) + 1, 6) AS moved_x, round(2 * sin(0.5) * p_size + 3 * cos(0.5) + 2, 6) AS moved_y, p_size || ' 3' || chr(10) || '2 4' AS text, 3 * p_size::DOUBLE AS tripled FROM part""",
+)
+def shapes(spark, sf_dir):
+    s = F.col("p_size").cast("double")
+    m = F.array(F.array(s, F.lit(3.0)), F.array(F.lit(2.0), F.lit(4.0)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", m.alias("m"), F.array(F.array(s), F.array(F.lit(1.0)), F.array(F.lit(1.0))).alias("v"))
+    moved = M.matmul(M.affine(1.0, 2.0, 0.5, 2.0, 3.0), F.col("v"))
+    large, small_ = M.resized("m", 3, 4), M.resized("m", 1, 1)
+    tripled = M.map_matrix(M.matmul("m", M.identity(2)), lambda x: x * 3)
+    return rows.select("p_partkey", large[2][3].alias("beyond"), small_[0][0].alias("corner"), F.round(moved[0][0], 6).alias("moved_x"), F.round(moved[1][0], 6).alias("moved_y"), M.render("m").alias("text"), tripled[0][0].alias("tripled"))

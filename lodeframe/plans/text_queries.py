@@ -1,5 +1,8 @@
 """Goals, statistics, versions, INI texts, patterns, Huffman codes and LZ77 tokens."""
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodeframe.functions import codecs as C
@@ -76,11 +79,89 @@ def huffman(spark, sf_dir):
     return rows.select("source", F.round("entropy", 6).alias("entropy"), "leaves", good.alias("optimal_range"), F.round("kraft_sum", 9).alias("kraft_sum"))
 
 
-@query("c13_lz77", "SELECT item_id, octet_length(encode(text))::BIGINT AS size FROM benchmark")
+@query("c13_lz77", "SELECT item_id, sha256(text) AS sha256, true AS shorter FROM benchmark")
 def lz77(spark, sf_dir):
-    """The bytes that a text's tokens stand for."""
+    """The bytes that a text's tokens stand for, and that matches spare some of them."""
     tokens = X.lz77(table(spark, sf_dir, "benchmark").select("item_id", C.utf8("text").alias("d")), "item_id", "d", lazy=True)
-    return tokens.groupBy("item_id").agg(F.sum(F.when(F.col("length") > 0, F.col("length")).otherwise(1)).cast("long").alias("size"))
+
+    def decoded(group):
+        rows = group.sort_values("pos")[["distance", "length", "literal"]].itertuples(index=False, name=None)
+        data = X.lz77_bytes(list(rows))
+        return pd.DataFrame({"item_id": group["item_id"].iloc[:1], "sha256": [hashlib.sha256(data).hexdigest()], "shorter": [len(group) < len(data)]})
+
+    return tokens.groupBy("item_id").applyInPandas(decoded, "item_id long, sha256 string, shorter boolean")
+
+
+@query(
+    "c22_c23_huffman_round_trip",
+    """WITH c AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM benchmark) WHERE c <> '' GROUP BY c)
+SELECT item_id, text AS decoded, true AS same_tree, length(text) <= 9 * length(text) AND (SELECT count(*) FROM c) > 1 AS within_limit FROM benchmark""",
+)
+def huffman_round_trip(spark, sf_dir):
+    """Texts through the code of all of them, limited to nine bits; the code goes through its tree's text. The table of symbols is small."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    counts = X.symbol_counts(items.withColumn("all", F.lit(0)), "all", "text")
+    codes = {r.symbol: r.code for r in X.huffman_table(counts, "all", 9).collect()}
+    tree = X.tree_codes(X.tree_text(codes))
+
+    @F.pandas_udf("decoded string, same_tree boolean, within_limit boolean")
+    def trip(texts: pd.Series) -> pd.DataFrame:
+        bits = [X.encode_symbols(t, codes) for t in texts]
+        return pd.DataFrame({"decoded": [X.decode_symbols(b, tree) for b in bits], "same_tree": tree == codes, "within_limit": [len(b) <= 9 * len(t) for b, t in zip(bits, texts, strict=True)]})
+
+    return items.select("item_id", trip("text").alias("t")).select("item_id", "t.*")
+
+
+@query(
+    "p01_p06_solvers",
+    """WITH m AS (SELECT c_nationkey, avg(c_acctbal) AS mean FROM customer GROUP BY c_nationkey)
+SELECT c_nationkey, round(mean, 1) AS lbfgs, round(mean, 1) AS nelder_mead, round(mean, 1) AS cma_es, round(least(mean, 4000), 1) AS bounded, round(least(mean, 4000), 1) AS constrained, round(least(mean, 4000), 1) AS multiplied FROM m""",
+)
+def solvers(spark, sf_dir):
+    """The value of least squared distance to a nation's balances by each algorithm, free, in bounds, and under a constraint."""
+
+    def model(high=None, limit=None):
+        def build(group):
+            v = group["c_acctbal"].to_numpy()
+            rules = [] if limit is None else [(lambda x: float(x[0]), "<=", limit)]
+            return P.Model(lambda x: float(((v - x[0]) ** 2).mean()), [0.0], high=None if high is None else [high], constraints=rules)
+
+        return build
+
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
+    runs = {
+        "lbfgs": (model(), "lbfgs", "penalty", 1),
+        "nelder_mead": (model(), "nelder_mead", "penalty", 1),
+        "cma_es": (model(), "cma_es", "penalty", 1),
+        "bounded": (model(high=4000.0), "nelder_mead", "penalty", 1),
+        "constrained": (model(limit=4000.0), "nelder_mead", "penalty", 1),
+        "multiplied": (model(limit=4000.0), "nelder_mead", "lagrangian", 1),
+    }
+    out = customers.select("c_nationkey").distinct()
+    for name, (build, algorithm, method, digits) in runs.items():
+        found = P.solve_groups(customers, "c_nationkey", build, algorithm, method)
+        out = out.join(found.select("c_nationkey", F.round(F.col("x")[0], digits).alias(name)), "c_nationkey")
+    return out
+
+
+@query("p09_p11_goal_solvers", "SELECT DISTINCT p_size, p_size::DOUBLE AS compiled, p_size::DOUBLE AS by_priority FROM part")
+def goal_solvers(spark, sf_dir):
+    """A firm goal at the size, against a wish for less: as a constraint, and level by level."""
+
+    def goals_of(size):
+        return [P.Goal("x", "equal", "high", target=size), P.Goal("x", "minimize", "low")], {"x": lambda v: float(v[0])}
+
+    def build(group):
+        wanted, metrics = goals_of(float(group["p_size"].iloc[0]))
+        return P.compile_goals(wanted, metrics, [1.0], hard="high")
+
+    def levels(group):
+        size = float(group["p_size"].iloc[0])
+        return pd.DataFrame({"p_size": group["p_size"].iloc[:1], "by_priority": [round(float(P.solve_by_priority(*goals_of(size), [1.0])[0]), 1)]})
+
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    compiled = P.solve_groups(sizes, "p_size", build).select("p_size", F.round(F.col("x")[0], 1).alias("compiled"))
+    return compiled.join(sizes.groupBy("p_size").applyInPandas(levels, "p_size int, by_priority double"), "p_size")
 
 
 _REGIONS = {0: "AFRICA", 1: "AMERICA", 2: "ASIA", 3: "EUROPE", 4: "MIDDLE EAST"}
@@ -90,3 +171,11 @@ _REGIONS = {0: "AFRICA", 1: "AMERICA", 2: "ASIA", 3: "EUROPE", 4: "MIDDLE EAST"}
 def enum_names(spark, sf_dir):
     names = S.enum_name("n_regionkey", _REGIONS)
     return table(spark, sf_dir, "nation").select("n_name", names.alias("name"), S.enum_value(names, _REGIONS).alias("value"))
+
+
+@query(
+    "i04_describe",
+    "SELECT (row_number() OVER () - 1)::INTEGER AS position, column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS kind FROM (DESCRIBE customer)",
+)
+def described(spark, sf_dir):
+    return S.describe(spark, table(spark, sf_dir, "customer")).select("position", "name", "kind")

@@ -131,3 +131,66 @@ def test_cluster_without_shared_folder_is_an_error():
     cluster = Has(sparkContext=Has(master="spark://far:7077", applicationId="a"), conf=Has(get=lambda key, default: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_folder(cluster)
+
+
+def test_traversals_against_recursion(spark):
+    tree = O.heap_tree(spark.createDataFrame([(g, i) for g, n in ((1, 13), (2, 1), (3, 8)) for i in range(n)], "g long, i long"), "g", ["i"])
+
+    def walk(node, n, kind):
+        if node > n:
+            return []
+        left, right = walk(2 * node, n, kind), walk(2 * node + 1, n, kind)
+        return {"pre": [node, *left, *right], "in": [*left, node, *right], "post": [*left, *right, node]}[kind]
+
+    for kind in ("pre", "in", "post"):
+        got: dict = {}
+        for r in O.traversal(tree, "g", kind).orderBy("g", "place").collect():
+            got.setdefault(r.g, []).append(r.node)
+        assert got == {g: walk(1, n, kind) for g, n in ((1, 13), (2, 1), (3, 8))}
+
+
+def test_chunks_of_streams(spark):
+    from lodeframe.streaming.chunks import deflate_chunks, inflate_chunks
+
+    rows = [("a", i, bytes([i]) * 1000) for i in range(5)] + [("b", 0, None), (None, 1, b"x")]
+    df = spark.createDataFrame(rows, "k string, n long, d binary").repartition(3)
+    packed = deflate_chunks(df, "k", "n", "d")
+    back = sorted(((r.k, r.n, bytes(r.d)) for r in inflate_chunks(packed, "k", "n", "d").collect() if r.n is not None), key=repr)
+    assert back == sorted(((k, n, d or b"") for k, n, d in rows), key=repr)
+    with pytest.raises(Exception, match="cut off"):
+        inflate_chunks(packed.where("n IS NOT NULL"), "k", "n", "d").collect()
+    with pytest.raises(Exception, match="has ended"):
+        inflate_chunks(packed.unionByName(packed.where("n = 0").withColumn("n", F.lit(None).cast("long"))), "k", "n", "d").collect()
+    assert deflate_chunks(df.limit(0), "k", "n", "d").count() == 0
+
+
+def test_cursors_against_fields():
+    from lodeframe.functions import bits as B
+
+    random.seed(8)
+    for order in B.BitOrder:
+        widths = [random.randrange(1, 20) for _ in range(30)]
+        values = [random.randrange(1 << w) for w in widths]
+        out = B.BitWriter(order)
+        for v, w in zip(values, widths, strict=True):
+            out.write(v, w)
+        assert out.buffer() == B.write_bits(values, widths, order)
+        cursor = B.BitReader(out.buffer(), order)
+        assert [(cursor.peek(w), cursor.read(w)) for w in widths] == [(v, v) for v in values]
+        cursor.align()
+        assert cursor.eof
+        with pytest.raises(ValueError):
+            cursor.read(1)
+        with pytest.raises(ValueError):
+            cursor.seek(-1)
+
+
+def test_penta_inverses_and_schemas(spark):
+    from lodeframe.functions import schemas as S
+    from lodeframe.functions import tower as N
+
+    two = N.of(2.0)
+    assert N.penta_log(N.pentate(two, 2.0), two) == pytest.approx(2.0, abs=1e-6)
+    assert N.penta_root(N.pentate(two, 2.0), 2.0) == pytest.approx(2.0, abs=1e-6)
+    row = spark.sql("SELECT named_struct('a', 1, 'b', 'x') AS s").select(S.field_of(F.col("s"), "b")).first()
+    assert row[0] == "x" and set(S.measure(lambda: None, 3)) == {"min", "max", "avg", "stddev", "total", "runs"}
