@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-Three machines are compiled from a model file: the normaliser (a space before the text, spaces to the meta symbol), the lexicon
-(a trie of pieces, each an arc with its weight, and an arc of byte pieces for every character that no piece has), and, for
-models of merges (BPE), an acceptor of neighbouring pieces. Composed with an input, the paths are its segmentations, and the
-tropical-semiring shortest path is the encoding. In a unigram model a piece weighs minus its score. In a BPE model a
-neighbourhood weighs nothing if merging in the model's order would leave its two pieces as they are, and infinity if not;
-one finite path remains, and it is the one that merging reaches. No merge crosses the places where texts are cut into
-chunks, so each different chunk is composed once and kept in a bounded cache.
+Three machines are compiled from a model file: the normaliser, the lexicon (a trie of pieces, each an arc with its weight, and an
+arc of byte pieces for every character that no piece has), and, for models of merges (BPE), an acceptor of neighbouring
+pieces. Composed with an input, the paths are its segmentations, and the tropical-semiring shortest path is the encoding. In a
+unigram model a piece weighs minus its score. In a BPE model a neighbourhood weighs nothing if merging in the model's order would
+leave its two pieces as they are, and infinity if not; one finite path remains, and it is the one that merging reaches. No
+merge crosses the places where texts are cut into chunks, so each different chunk is composed once and kept in a bounded
+cache; a unigram's texts are cut where no piece can cross.
+
+The normaliser is a deterministic transducer: at each place the longest key of the model's character map is replaced by its
+output, a character that no key begins with stays, and two states, behind a space or not, say which spaces are left out.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a text's own meta symbols decode to spaces, as
-everywhere in SentencePiece; repeated rows are each encoded; an empty table gives an empty result; other columns of the
-input are left out. Models whose normaliser has a character map aren't supported and raise ``ValueError``.
+everywhere in SentencePiece; where the normaliser changes a text it decodes to the normalised one; repeated rows are each
+encoded; an empty table gives an empty result; other columns of the input are left out. Models with user-defined pieces, with
+the space as a suffix, or that keep spaces unescaped, aren't supported and raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -30,6 +34,72 @@ _INF = float("inf")
 _UNKNOWN = -1
 
 
+class Normaliser:
+    """A model's normaliser, compiled. Its character map is a double-array trie over UTF-8 bytes, whose walk is the transducer's:
+    a unit holds the label of the byte that leads to it, whether a key ends there, and where its own bytes begin."""
+
+    def __init__(self, spec):
+        self.prefix, self.trim = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        blob = spec.precompiled_charsmap
+        size = int.from_bytes(blob[:4], "little") if blob else 0
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.outputs = blob[4 + size :]
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, int]:
+        """How many bytes the longest key from ``at`` on has, 0 if there is none, and where its output stands."""
+        node = self._offset(self.units[0])
+        best, place = 0, 0
+        for i in range(at, len(data)):
+            node ^= data[i]
+            unit = self.units[node]
+            if unit & 0x800000FF != data[i]:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                best, place = i + 1 - at, self.units[node] & 0x7FFFFFFF
+        return best, place
+
+    def _mapped(self, text: str) -> list[str]:
+        """The outputs of the keys and characters of a text."""
+        data, at, out = text.encode("utf-8", "replace"), 0, []
+        while at < len(data):
+            n, place = self._longest(data, at)
+            if n:
+                out.append(self.outputs[place : self.outputs.index(b"\0", place)].decode("utf-8", "replace"))
+            else:
+                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + n].decode("utf-8", "replace"))
+            at += n
+        return out
+
+    def __call__(self, text: str) -> str:
+        """The normalised text, with spaces for meta symbols."""
+        if self.units:
+            parts = self._mapped(text)
+        elif self.trim:
+            parts = list(text)
+        else:
+            return (" " if self.prefix else "") + text.replace(META, " ") if text else ""
+        if not self.trim:
+            body = "".join(parts)
+        else:
+            out, after_space = [], True
+            for part in parts:
+                if after_space:
+                    part = part.lstrip(" ")
+                if part:
+                    out.append(part)
+                    after_space = part.endswith(" ")
+            body = "".join(out).replace(META, " ").rstrip(" ")
+            if not body and not "".join(parts).strip(" "):
+                return ""
+        return (" " if self.prefix else "") + body.replace(META, " ") if parts else ""
+
+
 class Transducer:
     """The compiled machines of one model."""
 
@@ -39,8 +109,11 @@ class Transducer:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         spec = proto.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only models whose normaliser keeps characters and white space are supported")
+        if not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models that keep spaces, or have them as suffixes, aren't supported")
+        if any(piece.type == proto.SentencePiece.USER_DEFINED for piece in proto.pieces):
+            raise ValueError("models with user-defined pieces aren't supported")
+        self.normalise = Normaliser(spec)
         self.prefix = spec.add_dummy_prefix
         self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
         kinds = proto.SentencePiece
@@ -55,7 +128,7 @@ class Transducer:
             if piece.type == kinds.BYTE:
                 self.bytes[int(piece.piece[3:5], 16)] = i
                 surface.append(bytes([int(piece.piece[3:5], 16)]))
-            elif piece.type in (kinds.NORMAL, kinds.USER_DEFINED, kinds.UNUSED):
+            elif piece.type in (kinds.NORMAL, kinds.UNUSED):
                 self.ids[piece.piece] = i
                 surface.append(piece.piece.replace(META, " ").encode())
             else:
@@ -73,7 +146,8 @@ class Transducer:
             node.setdefault(text[-1], [{}, -1])[1] = i
         self._spines: dict[int, tuple | None] = {}
         self._allowed: dict[int, bool] = {}
-        # A cut before a stop after an ASCII letter is safe if no piece has such a stop behind a letter.
+        # A cut before a stop after an ASCII letter is safe if no piece has such a stop behind a letter. Such cuts, and those
+        # below, are places that no piece crosses, so neither merges nor unigram paths do.
         self.stops = bytes(ord(c) for c in ".,!?;:" if not any(c in x[1:] and any(a.isascii() and a.isalpha() and b == c for a, b in zip(x, x[1:], strict=False)) for x in self.ids))
         self.line_cut = not any("\n" in x for x in self.ids)
         self.space_cut = not any(META in x.lstrip(META) for x in self.ids)
@@ -191,8 +265,7 @@ class Encoder:
         self.stop[list(self.machine.stops)] = True
 
     def normalised(self, texts: list[str | None]) -> list[str]:
-        prefix = " " if self.machine.prefix else ""
-        return [prefix + x.replace(META, " ") if x else "" for x in texts]
+        return [self.machine.normalise(x) if x else "" for x in texts]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 bounds of the texts among them."""

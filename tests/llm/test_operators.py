@@ -55,6 +55,15 @@ def test_token_files(spark, docs, tmp_path):
         start += len(ids)
     assert [r.doc_id for r in token_files.lookup(spark, path, [3, 10_001]).orderBy("doc_id").collect()] == [3, 10_001]
     assert "doc_id" in str(token_files.lookup(spark, path, [3])._jdf.queryExecution().executedPlan())
+    # A look-up reads the row groups that statistics and Bloom filters leave, not the file.
+    many = spark.range(5000).select((F.col("id") * 3).alias("doc_id"), F.lit("some text").alias("text"))
+    token_files.write(many, path + "-many", name, partitions=1)
+    asked = token_files.lookup(spark, path + "-many", [3 * 1234])
+    assert asked.count() == 1
+    plan = asked._jdf.queryExecution().executedPlan()
+    asked._jdf.queryExecution().toRdd().count()
+    scan = plan.collectLeaves().head()
+    assert 1 <= scan.metrics().get("numOutputRows").get().value() <= 1000
     own.encode_special_tokens = True
     plain = {r.doc_id: r.tokens for r in token_files.encode(rows_of(spark, ODD), name, specials_as_text=True).collect()}
     assert plain == {i: own.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(ODD)}
@@ -513,6 +522,40 @@ def test_sentencepiece(spark, docs):
     assert sentencepiece_fst.encode(empty(spark), name).count() == 0
 
 
+@pytest.mark.parametrize(("rule", "trim", "prefix", "unigram"), [("nmt_nfkc", True, True, True), ("nfkc", False, True, False), ("identity", True, False, True), ("nmt_nfkc_cf", True, False, False)])
+def test_sentencepiece_normalisers_and_unigrams(rule, trim, prefix, unigram):
+    """The machines of models with character maps, and of unigram models, against the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, spec = pb.ModelProto(), pb.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, escape_whitespaces=True, remove_extra_whitespaces=trim).serialized_model_proto())
+    model.normalizer_spec.CopyFrom(spec.normalizer_spec)
+    if unigram:
+        model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    own = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    encoder = sentencepiece_fst.Encoder(model.SerializeToString())
+    random.seed(9)
+    alphabet = "aAbe  \u3000\t\n.,;ﬁ①ｆ２é\u0301가각한 ÅÄ▁—…ß½\u200b\ufeff日本語😀"
+    texts = ["", " ", "   ", "\u3000", "▁ ▁", " a  b ", *("".join(random.choice(alphabet) for _ in range(random.randrange(40))) for _ in range(400))]
+    texts += ["The ﬁne  print,  of ｆｕｌｌ width texts. " * 20]
+    ids, at = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [own.encode(t) for t in texts]
+
+
+def test_sentencepiece_refuses_what_it_lacks():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces.add(piece="<own>", score=0, type=pb.ModelProto.SentencePiece.USER_DEFINED)
+    with pytest.raises(ValueError, match="user-defined"):
+        sentencepiece_fst.Transducer(model.SerializeToString())
+
+
 # 10: pseudonyms
 
 
@@ -597,6 +640,12 @@ def test_pipeline_stages(spark, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     assert ids[2] == ids[1] - {d for d, _ in brute_hits([r for r in rows if r[0] in ids[1]], items)}
     assert ids[2] == ids[3] == ids[4]
+    key, text_of = pii.session_key(spark), dict(rows)
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in current.collect():
+        assert r.tokens == own.encode(pii.pseudonymise(text_of[r.doc_id] or "", key)[0])
     assert c.run(spark, DIR).exceptAll(current).count() == 0
 
 
