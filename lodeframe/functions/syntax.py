@@ -307,8 +307,29 @@ class Parser:
         return self.run(tokens)[-1][0] == "accept"
 
     def to_rows(self) -> list[tuple[int, str, str, int]]:
-        """The table as rows ``(state, symbol, action, number)``, to be kept as a DataFrame."""
-        return sorted((s, str(x), a, n) for (s, x), (a, n) in self.table.items())
+        """The table as rows ``(state, symbol, action, number)``, to be kept as a DataFrame; a "rule" row has a rule's number, name and
+        length."""
+        rules = [(i, str(name), "rule", len(body)) for i, (name, body) in enumerate(self.rules)]
+        return rules + sorted((s, str(x), a, n) for (s, x), (a, n) in self.table.items())
+
+    @classmethod
+    def from_rows(cls, rows: list[tuple[int, str, str, int]]) -> Parser:
+        """The parser of a kept table, without its grammar; tokens are texts. A table without rules, with two actions for a state and
+        symbol, or with actions on what isn't there raises ValueError."""
+        rules = {number: (name, [None] * length) for number, name, kind, length in rows if kind == "rule"}
+        parser = cls.__new__(cls)
+        parser.rules = [rules[i] for i in range(len(rules)) if i in rules]
+        parser.table = {}
+        states = {s for s, _, kind, _ in rows if kind != "rule"}
+        if not rules or len(parser.rules) != len(rules):
+            raise ValueError("the table lacks rules")
+        for state, symbol, kind, number in rows:
+            if kind == "rule":
+                continue
+            if kind not in ("shift", "goto", "reduce", "accept") or (kind in ("shift", "goto") and number not in states) or (kind == "reduce" and number not in rules):
+                raise ValueError(f"the table has no {kind} {number}")
+            parser._put(state, symbol, (kind, number))
+        return parser
 
 
 def parse_events(tokens, parser: Parser) -> Column:

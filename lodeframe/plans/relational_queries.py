@@ -133,10 +133,22 @@ def lru_hits(spark, sf_dir):
     return O.lru_hits(rows, "user_id", ["ts", "event_id"], "k", 5).select("event_id", "hit")
 
 
-@query("t06_slot_map")
+@query(
+    "t06_slot_map",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id % 3 = 0 AS gone, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[] AS keys, [7, 6, 5, 4, 3, 2, 1, 0]::BIGINT[] AS free, []::BIGINT[] AS live, 0::BIGINT AS full FROM o
+ UNION ALL SELECT o.user_id, o.n,
+  CASE WHEN gone AND len(live) > 0 THEN list_transform(keys, lambda k, i: k + (i - 1 = live[1] % 65536)::BIGINT) ELSE keys END,
+  CASE WHEN gone AND len(live) > 0 THEN list_append(free, live[1] % 65536) WHEN NOT gone AND len(free) > 0 THEN free[:len(free) - 1] ELSE free END,
+  CASE WHEN gone AND len(live) > 0 THEN live[2:] WHEN NOT gone AND len(free) > 0 THEN list_append(live, keys[free[len(free)] + 1] * 65536 + free[len(free)]) ELSE live END,
+  r.full + (NOT gone AND len(free) = 0)::BIGINT
+ FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, array_to_string(live, ',') AS live, r.full AS rejected FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
+)
 def slot_map(spark, sf_dir):
     op = F.when(F.col("event_id") % 3 == 0, "erase").otherwise("insert")
-    return O.slot_ids(table(spark, sf_dir, "events").withColumn("op", op), "user_id", ["ts", "event_id"], "op", 8)
+    rows = O.slot_ids(table(spark, sf_dir, "events").withColumn("op", op), "user_id", ["ts", "event_id"], "op", 8)
+    return rows.select("user_id", F.array_join(F.col("live").cast("array<string>"), ",").alias("live"), F.col("full").alias("rejected"))
 
 
 @query(
