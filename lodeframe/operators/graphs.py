@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.storage import dropped, kept
+from lodeframe.storage import dropped, kept, kept_counting
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,12 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(near, "node", "left")
-        new = kept(new.select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("before")))
+        new = new.select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("before"))
+        new, changed = kept_counting(new, "label < before")
         if last is not None:
             dropped(last)
         last, labels = new, new.select("node", "label")
-        if not new.where("label < before").limit(1).count():
+        if not changed:
             return labels
 
 
@@ -37,22 +38,23 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node to the least of itself and its neighbours, follows the pointers to their ends by doubling, and
     goes on with the edges between different ends, which are half the nodes at most."""
     pair = (F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    left = kept(edges.select(*pair).distinct())
+    left, more = kept_counting(edges.select(*pair).distinct())
     rounds: list[DataFrame] = []
-    while not rounds or left.limit(1).count():
+    while not rounds or more:
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         labels = kept(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
         while True:
             jump = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
-            ahead = kept(labels.join(jump, "label").select("node", F.col("end").alias("label"), (F.col("end") < F.col("label")).alias("moved")))
+            ahead = labels.join(jump, "label").select("node", F.col("end").alias("label"), (F.col("end") < F.col("label")).alias("moved"))
+            ahead, moved = kept_counting(ahead, "moved")
             dropped(labels)
             labels = ahead
-            if not ahead.where("moved").limit(1).count():
+            if not moved:
                 break
         rounds.append(labels)
         ends = left.join(labels.select(F.col("node").alias("src"), F.col("label").alias("low")), "src")
         ends = ends.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("high")), "dst").where("low <> high")
-        onward = kept(ends.select(F.col("low").alias("src"), F.col("high").alias("dst")).select(*pair).distinct())
+        onward, more = kept_counting(ends.select(F.col("low").alias("src"), F.col("high").alias("dst")).select(*pair).distinct())
         dropped(left)
         left = onward
     found = rounds[0].select("node", "label")
@@ -73,9 +75,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Rounds of colouring: the least label that reaches a node is its colour; from a colour's own node, the nodes of that colour
     that reach it are its strong component. These leave, and the rest goes on."""
     left = kept(edges.select("src", "dst").distinct())
-    open_nodes = kept(nodes_of(left))
+    open_nodes, more = kept_counting(nodes_of(left))
     done: DataFrame | None = None
-    while open_nodes.limit(1).count():
+    while more:
         colours = _spread(left, open_nodes.select("node", F.col("node").alias("label")))
         # Backward within colours from each colour's own node.
         inside = left.join(colours.select(F.col("node").alias("src"), F.col("label").alias("_s")), "src").join(colours.select(F.col("node").alias("dst"), F.col("label").alias("_d")), "dst").where("_s = _d")
@@ -86,7 +88,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = colours.join(reached, "node", "left_semi").select("node", F.col("label").alias("component"))
         found = kept(found)
         done = found if done is None else done.unionByName(found)
-        open_nodes = kept(open_nodes.join(found, "node", "left_anti"))
+        open_nodes, more = kept_counting(open_nodes.join(found, "node", "left_anti"))
         left = kept(left.join(open_nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     return done if done is not None else open_nodes.select("node", F.col("node").alias("component"))
 
@@ -101,9 +103,11 @@ def condensed_order(edges: DataFrame) -> DataFrame:
     levels = kept(strong.select(F.col("component").alias("node")).distinct().withColumn("label", F.lit(0)))
     while True:
         pushed = links.join(levels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("label") + 1).alias("pushed"))
-        new = kept(levels.join(pushed, "node", "left").select("node", F.greatest("label", F.coalesce("pushed", F.lit(0))).alias("label"), F.col("label").alias("before")))
+        new = levels.join(pushed, "node", "left")
+        new = new.select("node", F.greatest("label", F.coalesce("pushed", F.lit(0))).alias("label"), F.col("label").alias("before"))
+        new, changed = kept_counting(new, "label > before")
         levels = new.select("node", "label")
-        if not new.where("label > before").limit(1).count():
+        if not changed:
             break
     return strong.join(weak, "node").join(levels.select(F.col("node").alias("component"), F.col("label").alias("level")), "component").select("node", "component", "weak", "level")
 
@@ -119,8 +123,9 @@ def reachable(edges: DataFrame, sources: DataFrame, deleted: DataFrame | None =
     while True:
         distance += 1
         ahead = front.join(edges, front["node"] == edges["src"]).select("source", F.col("dst").alias("node")).distinct()
-        front = kept(ahead.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("distance", F.lit(distance)))
-        if not front.limit(1).count():
+        ahead = ahead.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        front, more = kept_counting(ahead.withColumn("distance", F.lit(distance)))
+        if not more:
             return seen
         seen = seen.unionByName(front)
 
@@ -137,11 +142,11 @@ def closure_union(edges: DataFrame, values: DataFrame) -> DataFrame:
     links = edges.join(src, "src").join(dst, "dst").where("_src <> _dst")
     links = kept(links.select(F.col("_src").alias("component"), F.col("_dst").alias("ahead")).distinct())
     items = values.join(strong, "node").select("component", F.explode("items").alias("item"))
-    held = kept(items.distinct())
+    held, more = kept_counting(items.distinct())
     fresh = held
-    while fresh.limit(1).count():
+    while more:
         passed = links.join(fresh.withColumnRenamed("component", "ahead"), "ahead").select("component", "item").distinct()
-        fresh = kept(passed.join(held, ["component", "item"], "left_anti"))
+        fresh, more = kept_counting(passed.join(held, ["component", "item"], "left_anti"))
         held = held.unionByName(fresh)
     lists = held.groupBy("component").agg(F.array_sort(F.collect_list("item")).alias("values"))
     return strong.join(lists, "component").select("node", "values")

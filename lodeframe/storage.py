@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _known: set[tuple[str, str]] = set()
@@ -36,11 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, so that lineage ends there and lost executors cost no more than it."""
+    return kept_counting(df)[0]
+
+
+def kept_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """``kept``, and how many rows meet the condition, counted while they are written. A task that ran twice may count twice, so the
+    number tells whether there are any."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count_if(F.expr(condition)).alias("n")).write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._kept_at = path
-    return found
+    # A plan that turns out empty while it runs may leave its counter out.
+    counted = seen.get.get("n")
+    return found, found.where(condition).limit(1).count() if counted is None else counted
 
 
 def dropped(*tables: DataFrame) -> None:
