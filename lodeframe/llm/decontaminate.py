@@ -236,3 +236,43 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
+#: The same without the index: every window that holds one of an item's shingles, compared exactly.
+ORACLE = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS words FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT item_id, words, len(words) AS size, least(5, len(words)) AS k, len(words) - least(5, len(words)) + 1 AS span FROM b WHERE len(words) > 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS words FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, len(words) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d),
+ds AS (
+  SELECT doc_id, k, size, j, string_agg(word, ' ') OVER f AS shingle, sum(strlen(word)) OVER f AS weight
+  FROM dw, (SELECT DISTINCT k FROM items) WHERE size >= k WINDOW f AS (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN CURRENT ROW AND k - 1 FOLLOWING)
+  QUALIFY j <= size - k + 1
+),
+iw AS (SELECT item_id, k, size, span, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM items),
+iw5 AS (
+  SELECT item_id, k, size, span, j, string_agg(word, ' ') OVER f AS shingle, sum(strlen(word)) OVER f AS weight
+  FROM iw WINDOW f AS (PARTITION BY item_id ORDER BY j ROWS BETWEEN CURRENT ROW AND k - 1 FOLLOWING) QUALIFY j <= span
+),
+ish AS (SELECT DISTINCT item_id, k, size, span, shingle, weight FROM iw5),
+whole AS (SELECT item_id, sum(weight) AS total FROM ish GROUP BY item_id),
+near AS (
+  SELECT DISTINCT ds.doc_id, ish.item_id, ds.k, ish.span, ds.size,
+    unnest(range(greatest(1, ds.j - ish.span + 1), least(ds.j, greatest(1, ds.size - ish.size + 1)) + 1)) AS s
+  FROM ds JOIN ish ON ds.k = ish.k AND ds.shingle = ish.shingle
+),
+own AS (
+  SELECT DISTINCT n.doc_id, n.item_id, n.s, n.k, least(n.span, n.size - n.k + 2 - n.s) AS held, ds.shingle, ds.weight
+  FROM near n JOIN ds ON ds.doc_id = n.doc_id AND ds.k = n.k AND ds.j BETWEEN n.s AND n.s + n.span - 1
+),
+sums AS (
+  SELECT own.doc_id, own.item_id, s, own.k, held, sum(own.weight) AS total, coalesce(sum(own.weight) FILTER (ish.shingle IS NOT NULL), 0) AS common
+  FROM own LEFT JOIN ish ON own.item_id = ish.item_id AND own.shingle = ish.shingle GROUP BY ALL
+),
+scored AS (
+  SELECT doc_id, sums.item_id, s, held + k - 1 AS words, common::DOUBLE / (sums.total + whole.total - common)::DOUBLE AS similarity
+  FROM sums JOIN whole ON sums.item_id = whole.item_id
+)
+SELECT doc_id, item_id, (s - 1)::BIGINT AS start, words::BIGINT AS n_words, similarity FROM scored WHERE similarity >= 0.8::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+"""

@@ -14,4 +14,9 @@ QUERIES = {
     "op9_sentencepiece": sentencepiece_fst.sentencepiece_query,
     "op10_pseudonyms": pii.pii_query,
 }
-ORACLES = {"op3_url_filter": url_filter.ORACLE, "op6_reply_trees": reply_trees.ORACLE}
+ORACLES = {
+    "op3_url_filter": url_filter.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op6_reply_trees": reply_trees.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
+}

@@ -327,3 +327,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words:
 
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by whole windows: each word sequence with the least document that has it.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d),
+v AS (
+  SELECT doc_id, j, word, CASE WHEN count(*) OVER f = 50 THEN sha256(string_agg(word, ' ') OVER f) END AS content FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+),
+m AS (SELECT content, min(doc_id) AS least FROM v WHERE content IS NOT NULL GROUP BY content),
+r AS (
+  SELECT v.doc_id, v.j, v.word, coalesce(v.j - max(CASE WHEN m.least < v.doc_id THEN v.j END) OVER (PARTITION BY v.doc_id ORDER BY v.j) < 50, false) AS gone
+  FROM v LEFT JOIN m ON v.content = m.content
+),
+k AS (SELECT doc_id, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+"""

@@ -6,13 +6,14 @@ import re
 import zlib
 from array import array
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.llm import components, decontaminate, language_id, near_dedup, neighbours, pii, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
+from lodeframe.llm import components, decontaminate, language_id, near_dedup, neighbours, pii, queries, reply_trees, sentencepiece_fst, substring_dedup, token_files, url_filter
 from lodeframe.llm.common import likely_in, text_buffers
 from lodeframe.llm.fm_index import FMIndex
 
@@ -35,6 +36,18 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for table in "documents pages benchmark conversations".split():
+        con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
+    names = [x[0] for x in con.execute(queries.ORACLES[name]).description]
+    true = con.fetchall()
+    df = queries.QUERIES[name](spark, DIR)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == sorted(true, key=repr)
+
+
 # 1: token files
 
 
@@ -340,8 +353,6 @@ def test_reply_trees(spark):
 
 
 def test_conversations_with_null_ids_against_sql(spark, tmp_path):
-    import duckdb
-
     rows = [(None, 0, "user", "x<|"), (None, 1, "assistant", None), (None, None, "assistant", "\\ <s>"), (4, 0, None, "y"), (4, 1, "assistant", "z" * 5000)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
     got = reply_trees.reply_trees_query(spark, f"file://{tmp_path}").toPandas().to_dict("records")
