@@ -19,16 +19,20 @@ turn, ties by role and text, and none is lost.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.llm.common import written
+from lodeframe.storage import kept_counting
 
 TURN, END = "<|turn|>", "<|end|>\n"
 #: Control strings that are never left bare in a text, by first character and rest. These are fixed values.
 CONTROL = [("<", "|"), ("<", "s>"), ("<", "/s>"), ("<", "<SYS>>"), ("<", "</SYS>>"), ("[", "INST]"), ("[", "/INST]")]
+#: Tables of messages that have reached their root, by round, before they are written as one.
+SEEN_TABLES = 3
 _REST = "|".join(re.escape(rest) for _, rest in CONTROL)
 
 
@@ -67,6 +71,10 @@ def _unique(messages: DataFrame) -> DataFrame:
     return rows.withColumn("_first", first).where("_first = 1").drop("_first")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The ``branches`` best root-to-leaf paths of each tree: ``(tree, leaf, branch, branch_score, depth, node)``, where ``depth``
     counts from 0 at the root."""
@@ -76,15 +84,24 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
     # A message's state: the one that it sees, none if it sees past its root; score and number of messages on the way, that
     # one excluded. hops[k]: the messages with another 2**k steps up. Only these go on to the next round.
-    state = written(links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size")), "reply-hops")
-    seen, going = state.where("up IS NULL"), state.where("up IS NOT NULL")
-    hops = []
-    while going.limit(1).count() and len(hops) < 62:  # only a cycle goes on that long
+    start = links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size"))
+    state, going_on = kept_counting(start, "up IS NOT NULL")
+    states, seen, hops = [state], [state.where("up IS NULL")], []
+    # A path is no longer than the table, so what still goes on after these rounds is on a cycle.
+    rounds = state.count().bit_length()
+    while going_on and len(hops) < rounds:
+        going = state.where("up IS NOT NULL")
         hops.append(going)
-        ahead = going.unionByName(seen).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
-        state = written(going.join(ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size")), "reply-hops")
-        seen, going = seen.unionByName(state.where("up IS NULL")), state.where("up IS NOT NULL")
-    leaves = seen.join(links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+        if len(seen) > SEEN_TABLES:
+            # Only trees with messages on their way are looked up again.
+            seen = [written(_union(seen).join(going.select("tree").distinct(), "tree", "left_semi"), "reply-seen")]
+        ahead = _union([going, *seen]).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
+        further = going.join(ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size"))
+        state, going_on = kept_counting(further, "up IS NOT NULL")
+        states.append(state)
+        seen.append(state.where("up IS NULL"))
+    ends = _union(states).where("up IS NULL")
+    leaves = ends.join(links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     walk = written(chosen.select("tree", F.col("node").alias("leaf"), F.col("branch").cast("long").alias("branch"), F.col("score").alias("branch_score"), (F.col("size") - 1).alias("depth"), "node"), "reply-walk")
