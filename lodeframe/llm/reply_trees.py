@@ -105,9 +105,9 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     walk = written(chosen.select("tree", F.col("node").alias("leaf"), F.col("branch").cast("long").alias("branch"), F.col("score").alias("branch_score"), (F.col("size") - 1).alias("depth"), "node"), "reply-walk")
-    for k in reversed(range(len(hops))):
-        hop = hops[k].select("tree", "node", F.col("up").alias("_up"))
-        higher = walk.join(hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - (1 << k)).alias("depth"), F.col("_up").alias("node"))
+    for hop in reversed(hops):
+        hop = hop.select("tree", "node", F.col("up").alias("_up"), F.col("size").alias("_steps"))
+        higher = walk.join(hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - F.col("_steps")).alias("depth"), F.col("_up").alias("node"))
         walk = written(walk.unionByName(higher), "reply-walk")
     return walk.withColumn("tree", F.col("tree.tree"))
 
