@@ -15,6 +15,12 @@ def _a(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def log_base(x, base) -> Column:
+    """The logarithm to any base; null where either isn't positive or the base is 1."""
+    x, base = (c.cast("double") if isinstance(c, Column) else F.col(c).cast("double") if isinstance(c, str) else F.lit(float(c)) for c in (x, base))
+    return F.when((x > 0) & (base > 0) & (base != 1), F.log(x) / F.log(base))
+
+
 def point_op(a, b, f: Callable[[Column, Column], Column]) -> Column:
     """Element by element; ``b`` may be a number for all elements."""
     a = _a(a)

@@ -86,6 +86,68 @@ class Model:
         return sum(max(0.0, abs(r) - 1e-8) if kind == "=" else max(0.0, r) for r, kind in self.residuals(x))
 
 
+@dataclass
+class Rule:
+    """A constraint over columns: ``value`` held "<=", "=" or ">=" ``bound``."""
+
+    name: str
+    value: Column
+    kind: str
+    bound: float
+
+    def __post_init__(self):
+        if self.kind not in ("<=", "=", ">="):
+            raise ValueError("unknown kind of a rule")
+
+    def residual(self) -> Column:
+        """Signed: positive where an inequality is broken."""
+        apart = self.value.cast("double") - F.lit(float(self.bound))
+        return -apart if self.kind == ">=" else apart
+
+    def violation(self) -> Column:
+        r = self.residual()
+        return F.abs(r) if self.kind == "=" else F.greatest(F.lit(0.0), r)
+
+
+def _terms(rules: list[Rule], added: Callable[[int, Rule], Column]) -> Column:
+    rows = [F.struct(F.lit(r.name).alias("name"), r.value.cast("double").alias("value"), r.violation().alias("violation"), added(i, r).alias("contribution")) for i, r in enumerate(rules)]
+    return F.array(*rows).cast("array<struct<name:string,value:double,violation:double,contribution:double>>")
+
+
+def penalty_terms(rules: list[Rule], weight: float = 1.0, squared: bool = True) -> Column:
+    """What each rule adds to a penalised objective, with its value and how far it is broken."""
+    return _terms(rules, lambda i, r: F.lit(float(weight)) * (r.violation() * r.violation() if squared else r.violation()))
+
+
+def lagrangian_terms(rules: list[Rule], multipliers: list, weight: float = 1.0) -> Column:
+    """The same for an augmented Lagrangian objective; multipliers are numbers or columns, one a rule."""
+    if len(multipliers) != len(rules):
+        raise ValueError("one multiplier a rule")
+    held = [m if isinstance(m, Column) else F.lit(float(m)) for m in multipliers]
+    w = F.lit(float(weight))
+
+    def added(i: int, rule: Rule) -> Column:
+        r = rule.residual()
+        if rule.kind == "=":
+            return held[i] * r + w / 2 * r * r
+        pushed = F.greatest(F.lit(0.0), held[i] + w * r)
+        return (pushed * pushed - held[i] * held[i]) / (2 * w)
+
+    return _terms(rules, added)
+
+
+def next_multipliers(rules: list[Rule], multipliers: list, weight: float = 1.0) -> list[Column]:
+    """The multipliers of the round after: an inequality's is never negative."""
+    held = [m if isinstance(m, Column) else F.lit(float(m)) for m in multipliers]
+    moved = [m + F.lit(float(weight)) * r.residual() for m, r in zip(held, rules, strict=True)]
+    return [m if r.kind == "=" else F.greatest(F.lit(0.0), m) for m, r in zip(moved, rules, strict=True)]
+
+
+def with_terms(objective: Column, terms: Column) -> Column:
+    """An objective plus what its rules add."""
+    return F.aggregate(terms, objective.cast("double"), lambda total, t: total + t["contribution"])
+
+
 def gradient(f: Callable[[np.ndarray], float], x: np.ndarray, eps: float = 1e-6) -> np.ndarray:
     """Central differences with a step relative to each variable."""
     out = np.zeros(len(x))

@@ -135,3 +135,20 @@ def shapes(spark, sf_dir):
     large, small_ = M.resized("m", 3, 4), M.resized("m", 1, 1)
     tripled = M.map_matrix(M.matmul("m", M.identity(2)), lambda x: x * 3)
     return rows.select("p_partkey", large[2][3].alias("beyond"), small_[0][0].alias("corner"), F.round(moved[0][0], 6).alias("moved_x"), F.round(moved[1][0], 6).alias("moved_y"), M.render("m").alias("text"), tripled[0][0].alias("tripled"))
+
+
+@query(
+    "m11_units",
+    """SELECT p_partkey, round(CASE WHEN p_size > 1 THEN ln(p_retailprice) / ln(p_size) END, 9) AS log_size, round(ln(p_size) / ln(2), 9) AS log_two, round(pow(p_size, 1.5), 6) AS raised, round(sqrt(p_retailprice), 9) AS root, abs(p_size - 25)::BIGINT AS apart, round(p_size * pi() + exp(1), 9) AS with_constants FROM part""",
+)
+def units(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.round(M.log_base("p_retailprice", "p_size"), 9).alias("log_size"),
+        F.round(M.log_base(size, 2), 9).alias("log_two"),
+        F.round(F.pow(size, F.lit(1.5)), 6).alias("raised"),
+        F.round(F.sqrt("p_retailprice"), 9).alias("root"),
+        F.abs(size - 25).cast("long").alias("apart"),
+        F.round(size * F.pi() + F.e(), 9).alias("with_constants"),
+    )

@@ -144,6 +144,30 @@ def solvers(spark, sf_dir):
     return out
 
 
+@query(
+    "p03_objective_terms",
+    """WITH r AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice / 100 AS c FROM part),
+v AS (SELECT *, greatest(0, s - 30) AS a, abs(c - 12) AS b, greatest(0, 5 - s) AS d FROM r)
+SELECT p_partkey, round(c * c + 10 * (a * a + b * b + d * d), 6) AS squared, round(c * c + 10 * (a + b + d), 6) AS absolute,
+  round(c * c + (pow(greatest(0, 1 + 4 * (s - 30)), 2) - 1) / 8 + 2 * (c - 12) + 2 * pow(c - 12, 2) + (pow(greatest(0, 3 + 4 * (5 - s)), 2) - 9) / 8, 6) AS lagrangian,
+  round(greatest(0, 1 + 4 * (s - 30)), 6) AS next_most, round(2 + 4 * (c - 12), 6) AS next_equal, round(greatest(0, 3 + 4 * (5 - s)), 6) AS next_least,
+  CASE WHEN a > 0 THEN 'most,' ELSE '' END || CASE WHEN b > 0 THEN 'equal,' ELSE '' END || CASE WHEN d > 0 THEN 'least,' ELSE '' END AS broken FROM v""",
+)
+def objective_terms(spark, sf_dir):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice") / 100
+    rules = [P.Rule("most", size, "<=", 30), P.Rule("equal", price, "=", 12), P.Rule("least", size, ">=", 5)]
+    held = [1.0, 2.0, 3.0]
+    after = P.next_multipliers(rules, held, 4.0)
+    terms = {"squared": P.penalty_terms(rules, 10.0), "absolute": P.penalty_terms(rules, 10.0, squared=False), "lagrangian": P.lagrangian_terms(rules, held, 4.0)}
+    broken = F.filter(terms["squared"], lambda t: t["violation"] > 0)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        *(F.round(P.with_terms(price * price, t), 6).alias(name) for name, t in terms.items()),
+        *(F.round(m, 6).alias(f"next_{r.name}") for m, r in zip(after, rules, strict=True)),
+        F.array_join(F.transform(broken, lambda t: F.concat(t["name"], F.lit(","))), "").alias("broken"),
+    )
+
+
 @query("p09_p11_goal_solvers", "SELECT DISTINCT p_size, p_size::DOUBLE AS compiled, p_size::DOUBLE AS by_priority FROM part")
 def goal_solvers(spark, sf_dir):
     """A firm goal at the size, against a wish for less: as a constraint, and level by level."""

@@ -10,6 +10,7 @@ from lodeframe.functions import goals as P
 from lodeframe.functions import syntax as L
 from lodeframe.functions import texts as X
 from lodeframe.functions import tower as N
+from lodeframe.plans.extensions import Extension, Extensions
 from lodeframe.sources.ini import read_ini, write_ini
 from lodeframe.streaming import stateful as S
 
@@ -113,3 +114,46 @@ def test_streaming_state(spark, tmp_path):
     for own in blocks.values():
         assert len(zlib.decompress(b"".join(b for _, b in sorted(own)) + S.FINAL_BLOCK, -15)) == 65_536
     assert len(run(lambda s: S.lru_cache(s, "k", "n", "n", 3), "append", "cache")) == 200
+
+
+def test_extensions_load_behind_what_they_need():
+    seen = []
+
+    def one(name, *needs, queries=()):
+        return Extension(name, {q: lambda spark, sf_dir: None for q in queries}, needs, lambda c: seen.append(f"+{name}"), lambda c: seen.append(f"-{name}"))
+
+    known = Extensions()
+    assert known.load(one("c", "b", queries=["q"]), one("a"), one("b", "a")) == ["a", "b", "c"] == known.names
+    for bad, error in ((one("d", "z"), LookupError), (one("a"), ValueError), (one("e", queries=["q"]), ValueError)):
+        with pytest.raises(error):
+            known.load(bad)
+    with pytest.raises(ValueError, match="need each other"):
+        known.load(one("x", "y"), one("y", "x"))
+    with pytest.raises(ValueError, match="needed by b"):
+        known.unload("a")
+    assert list(known.queries()) == ["q"] and seen == ["+a", "+b", "+c"]
+    known.close()
+    assert known.names == [] and seen[3:] == ["-c", "-b", "-a"]
+    with pytest.raises(LookupError):
+        known.unload("a")
+
+
+def test_services_and_events():
+    context = Extensions().context
+    context.offer(dict, {"a": 1})
+    assert context.service(dict) == {"a": 1} and context.service(list) is None
+    with pytest.raises(TypeError):
+        context.offer(list, 3)
+    heard = []
+    first = context.events.subscribe(int, lambda x: heard.append(("first", x)))
+    context.events.subscribe(object, lambda x: (heard.append(("all", x)), context.events.unsubscribe(last)))
+    last = context.events.subscribe(int, lambda x: heard.append(("last", x)))
+    assert context.events.publish(4) == 2 and context.events.unsubscribe(first) and not context.events.unsubscribe(first)
+    assert context.events.publish("s") == 1 and context.events.publish(5) == 1
+    assert heard == [("first", 4), ("all", 4), ("all", "s"), ("all", 5)]
+
+
+def test_rules_of_objectives():
+    for bad in (lambda: P.Rule("r", None, "<", 1), lambda: P.lagrangian_terms([], [1.0])):
+        with pytest.raises(ValueError):
+            bad()
