@@ -73,24 +73,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the least node among those that reach each other.
 
     Rounds of colouring: the least label that reaches a node is its colour; from a colour's own node, the nodes of that colour
-    that reach it are its strong component. These leave, and the rest goes on."""
+    that reach it are its strong component. These leave, and the rest goes on. Labels are ranked by hash, so a long way without
+    cycles falls into pieces all along, not node by node from its least end: rounds are about the logarithm of the nodes."""
     left = kept(edges.select("src", "dst").distinct())
     open_nodes, more = kept_counting(nodes_of(left))
+    own = F.struct(F.xxhash64("node").alias("rank"), "node").alias("label")
     done: DataFrame | None = None
     while more:
-        colours = _spread(left, open_nodes.select("node", F.col("node").alias("label")))
+        colours = _spread(left, open_nodes.select("node", own))
         # Backward within colours from each colour's own node.
         inside = left.join(colours.select(F.col("node").alias("src"), F.col("label").alias("_s")), "src").join(colours.select(F.col("node").alias("dst"), F.col("label").alias("_d")), "dst").where("_s = _d")
         inside = kept(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        far = F.col("label")
-        seeds = colours.select("node", F.when(F.col("node") == far, 0).otherwise(1).alias("label"))
+        seeds = colours.select("node", F.when(F.col("node") == F.col("label.node"), 0).otherwise(1).alias("label"))
         reached = _spread(inside, seeds).where("label = 0").select("node")
-        found = colours.join(reached, "node", "left_semi").select("node", F.col("label").alias("component"))
-        found = kept(found)
+        found = kept(colours.join(reached, "node", "left_semi").select("node", F.col("label.node").alias("seed")))
         done = found if done is None else done.unionByName(found)
         open_nodes, more = kept_counting(open_nodes.join(found, "node", "left_anti"))
         left = kept(left.join(open_nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    return done if done is not None else open_nodes.select("node", F.col("node").alias("component"))
+    if done is None:
+        return open_nodes.select("node", F.col("node").alias("component"))
+    least = done.groupBy("seed").agg(F.min("node").alias("component"))
+    return done.join(least, "seed").select("node", "component")
 
 
 def condensed_order(edges: DataFrame) -> DataFrame:

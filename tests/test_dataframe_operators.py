@@ -194,3 +194,13 @@ def test_penta_inverses_and_schemas(spark):
     assert N.penta_root(N.pentate(two, 2.0), 2.0) == pytest.approx(2.0, abs=1e-6)
     row = spark.sql("SELECT named_struct('a', 1, 'b', 'x') AS s").select(S.field_of(F.col("s"), "b")).first()
     assert row[0] == "x" and set(S.measure(lambda: None, 3)) == {"min", "max", "avg", "stddev", "total", "runs"}
+
+
+def test_strong_components_of_a_long_way(spark, monkeypatch):
+    """Rounds don't follow a way node by node from its least end."""
+    tables, plain = [], G.kept_counting
+    monkeypatch.setattr(G, "kept_counting", lambda *a: tables.append(1) or plain(*a))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(18)] + [(18, 17), (30, 30)], "src long, dst long")
+    found = {r.node: r.component for r in G.strong_components(edges).collect()}
+    assert found == {i: i for i in range(18)} | {18: 17, 30: 30}
+    assert len(tables) < 100
