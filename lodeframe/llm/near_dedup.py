@@ -13,9 +13,10 @@ connected components of verified links.
 
 Texts with equal words are one node from the start. A bucket of a sketch compares its members with its leader, the least
 document, so a group of copies makes a few links a member and is one class then. Buckets whose members
-are of several classes even so, as those of a passage that many texts quote, go on: their members meet in blocks of bounded
-size, each pair in the first bucket that it shares, and pairs of different classes are verified if so many of their words are
-common that the threshold can be reached. So no link between candidates is lost, and pairs leave a block as links alone.
+are of several classes even so, as those of a passage that many texts quote, go on: those with leaders of one class as one
+group, if its pairs are fewer so, and any other by itself. A group's members meet in blocks of bounded size, each pair in the
+group of the first bucket that it shares, and pairs of different classes are verified if so many of their words are common
+that the threshold can be reached. So no link between candidates is lost, and pairs leave a block as links alone.
 
 Defined results: a text without words, or null, is a class of its own, and so are others like it; one of fewer than five words is
 one k-mer; rows that repeat a ``doc_id`` are each put in the class of their own text; a class's id is its least ``doc_id`` (nulls
@@ -54,7 +55,7 @@ SKETCHES = 24
 KEPT = 3
 #: Words between neighbours of a chain that are aligned word by word.
 STRETCH = 64
-#: Words in a block of members of one bucket, as a rule.
+#: Words in a part of the members of one group, as a rule.
 BLOCK_WORDS = 100_000
 
 
@@ -247,14 +248,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, nam
 
 
 def _block(k: int, similarity: float):
-    """One block of members of a bucket: the links ``(a, b)`` of classes that its pairs add."""
+    """One block of members of a group: the links ``(a, b)`` of classes that its pairs add."""
 
     def links(table: pa.Table) -> pa.Table:
         texts = pa.concat_arrays(table.column("text").chunks)
         labels = table.column("label").to_pylist()
         parts = table.column("part").to_numpy()
-        tree = table.column("t")[0].as_py()
         all_sketches = np.array(table.column("sketches").to_pylist(), np.int64)
+        # The sketches by which each row is in the group.
+        here = np.zeros(all_sketches.shape, bool)
+        for r, ts in enumerate(table.column("ts").to_pylist()):
+            here[r, ts] = True
         rows = _parsed(texts, k)
         sizes = np.array([len(x) for x in rows])
         # Postings of words, the second of equal ones of a text being another word.
@@ -284,8 +288,9 @@ def _block(k: int, similarity: float):
             if across:
                 able &= parts != parts[r]
             others = np.flatnonzero(able)
-            # The first bucket that both are in judges them.
-            others = others[(all_sketches[others] == all_sketches[r]).argmax(axis=1) == tree]
+            # The group of the first bucket that both are in judges them.
+            equal = all_sketches[others] == all_sketches[r]
+            others = others[equal.any(axis=1) & here[r, equal.argmax(axis=1)]]
             for o in others.tolist():
                 x, y = root(labels[r]), root(labels[o])
                 if x != y and aligned(rows[r], rows[o], similarity):
@@ -296,20 +301,36 @@ def _block(k: int, similarity: float):
     return links
 
 
+def _members(named: DataFrame) -> DataFrame:
+    """``(group, node, size, label, ts)``: the members of the buckets that hold several classes, once in each group.
+
+    Buckets with leaders of one class, as near copies fill many of, are one group where that makes fewer pairs than one by one;
+    ``ts`` are the sketches by which a member is in the group."""
+    of_leader = F.max(F.when(F.col("node") == F.col("leader"), F.col("label"))).alias("family")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), of_leader, F.count("*").alias("n"), F.sum("size").alias("words"))
+    mixed = written(mixed.where("low <> high").select("bucket", "family", "n", "words"), "omh-mixed")
+    rows = named.join(mixed.select("bucket", "family"), "bucket")
+    union = rows.groupBy("family", "node").agg(F.first("size").alias("size")).groupBy("family").agg((F.count("*") * F.sum("size")).alias("together"))
+    apart = mixed.groupBy("family").agg(F.sum(F.col("n") * F.col("words")).alias("apart"))
+    joint = written(union.join(apart, "family").where("together <= apart").select("family", F.xxhash64("family").alias("joint")), "omh-joint")
+    rows = rows.join(joint, "family", "left").withColumn("group", F.coalesce("joint", "bucket"))
+    return written(rows.groupBy("group", "node").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.collect_list("t").alias("ts")), "omh-members")
+
+
 def _class_links(met: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, similarity: float, block_words: int) -> DataFrame:
     """Links ``(a, b)`` between classes, by the pairs of members of buckets that hold several classes.
 
-    A bucket of many words is dealt out by hash in parts, and any two parts meet in a block, so a member is moved once a part."""
-    named = met.where("n > 2").select("bucket", "t", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = written(named, "omh-named")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("words"))
-    mixed = mixed.where("low <> high").select("bucket", (F.floor(F.col("words") / block_words) + 1).alias("parts"))
-    members = named.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    A member meets its text once in a group. A group of many words is dealt out by hash in parts, and any two parts meet in a
+    block, so a member is moved once a part."""
+    named = met.where("n > 2").select("bucket", "leader", "t", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = _members(written(named, "omh-named"))
+    sizes = members.groupBy("group").agg((F.floor(F.sum("size") / block_words) + 1).alias("parts"))
+    full = members.join(nodes.select("node", "sketches"), "node").join(texts, "node").join(sizes, "group")
+    full = full.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    members = members.withColumn("other", other).withColumn("across", F.col("part") != F.col("other"))
-    block = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("block")
-    dealt = members.select("node", "t", "label", "part", "across", block)
-    full = dealt.join(nodes.select("node", "sketches"), "node").join(texts, "node")
+    full = full.withColumn("other", other).withColumn("across", F.col("part") != F.col("other"))
+    block = F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("block")
+    full = full.select("node", "ts", "label", "part", "across", block, "sketches", "text")
     return full.groupBy("block").applyInArrow(_block(k, similarity), "a long, b long").distinct()
 
 

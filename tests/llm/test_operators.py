@@ -459,6 +459,24 @@ def test_near_duplicates(spark, docs):
     assert near_dedup.classify(empty(spark)).count() == 0
 
 
+def test_near_duplicates_move_a_group_once(spark, monkeypatch):
+    def counted(k, similarity):
+        return lambda table: pa.table({"a": table.column("node"), "b": table.column("node")})
+
+    # All of 40 unlike texts share six buckets: a member is moved once a part, not once a part and bucket.
+    texts = spark.createDataFrame([(i, f"w{i} " * 50) for i in range(40)], "node long, text string")
+    nodes = texts.select("node", F.array(*[F.lit(t).cast("long") for t in range(6)]).alias("sketches"))
+    met = texts.select("node", F.lit(50).cast("long").alias("size"), F.explode(F.array(*map(F.lit, range(6)))).alias("t"))
+    met = met.withColumn("bucket", F.col("t").cast("long")).withColumn("n", F.lit(40)).withColumn("leader", F.lit(0).cast("long"))
+    labels = spark.createDataFrame([], "node long, label long")
+    assert near_dedup._class_links(met, labels, nodes, texts, 5, 0.8, 1000).count() == 0
+    moved = []
+    monkeypatch.setattr(near_dedup, "_block", counted)
+    monkeypatch.setattr(type(texts), "distinct", lambda df: moved.append(df) or df)
+    near_dedup._class_links(met, labels, nodes, texts, 5, 0.8, 1000)
+    assert moved[-1].count() == 40 * 3
+
+
 def test_components(spark):
     random.seed(2)
     links = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]
