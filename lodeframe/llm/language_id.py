@@ -8,8 +8,8 @@ grams is already worked out for every gram that any language has seen.
 
 A text goes to the language of the lowest cross-entropy per predicted character. It is rejected where even that is nearer to
 the cross-entropy of random letters than to the language's own entropy, beyond what chance does to a text of its length. How
-much that is, is calibrated: training texts, a bounded sample of ``CALIBRATION`` rows by hash as a rule, tell for each language how
-many standard errors the limit must leave for all but one in 10,000 of its own texts to pass, one at least.
+much that is, is calibrated: all training texts tell for each language how many standard errors the limit must leave for all
+but one in 10,000 of its own texts to pass, one at least.
 
 Size: models of up to ``max_grams`` grams go to every executor. Where training yields more, all are kept in written tables, and
 the grams of the texts are joined with these, to the same results but for rounding. Letters beyond the 16-bit plane share codes with others of their kind.
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from lodeframe.llm.common import mix, written
 
@@ -36,8 +37,7 @@ from lodeframe.llm.common import mix, written
 MAX_GRAMS = 3_000_000
 #: Grams of a language that a counting worker holds.
 HELD_GRAMS = 1_000_000
-#: Labelled rows by which rejection is calibrated, about; the share of them that may be rejected; standard errors without any.
-CALIBRATION = 20_000
+#: The share of a language's labelled texts that may be rejected; standard errors without any.
 REJECTED = 1e-4
 CHANCE = 4.0
 SPACE = 32
@@ -344,12 +344,11 @@ def fit(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Model | Tables | Non
     return model
 
 
-def calibrate(model: Model | Tables, labelled: DataFrame, rows: int = CALIBRATION) -> None:
-    """Set ``chance`` by how far a sample's texts lie above the middle between their own language and random letters."""
+def calibrate(model: Model | Tables, labelled: DataFrame) -> None:
+    """Set ``chance`` by how far all labelled texts lie above the middle between their own language and random letters."""
     limits = model.limits if isinstance(model, Tables) else model
     texts = labelled.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    one_in = texts.count() // rows + 1
-    summed = _summed(texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0), model, "text")
+    summed = _summed(texts, model, "text")
     own = F.array_position(F.array(*map(F.lit, limits.langs)), F.col("lang")).cast("int")
 
     def of_own(values: np.ndarray) -> Column:
@@ -357,9 +356,14 @@ def calibrate(model: Model | Tables, labelled: DataFrame, rows: int = CALIBRATIO
 
     entropy = -F.element_at("_lid_sums", own) / F.col("_lid_size")
     above = (entropy - of_own((limits.entropy + limits.random) / 2)) * F.sqrt("_lid_size") / of_own(np.maximum(limits.spread, 1e-9))
-    summed = summed.where("_lid_size > 0").groupBy("lang").agg(F.percentile_approx(above, 1 - REJECTED, 100_000).alias("chance"))
-    for lang, chance in summed.collect():  # one row a language
-        limits.chance[limits.langs.index(lang)] = max(1.0, chance)
+    measured = written(summed.where("_lid_size > 0").select("lang", above.alias("above")), "lid-above")
+    # The limit is the value that as many are above as may be rejected. A sketch finds a value below it, the few from there on are ranked.
+    low = measured.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("above", 1 - 2 * REJECTED, 100_000).alias("low"))
+    few = measured.join(F.broadcast(low), "lang").where("above >= low")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("above"))))
+    for row in ranked.where(F.col("rank") == F.floor(F.col("n") * REJECTED) + 1).collect():  # one row a language
+        # A hair more, as the limit is worked out in another order.
+        limits.chance[limits.langs.index(row.lang)] = max(1.0, row.above + 1e-9)
 
 
 class Scorer:

@@ -263,6 +263,21 @@ def test_language_id(spark, docs):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def test_language_id_calibrates_on_all_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinrst") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(72_000)]
+    texts += ["".join(rng.choice("qxzjvwkybcdf") for _ in range(10 + 3 * k)) for k in range(16)]
+    labelled = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(4)
+    model = language_id.fit(labelled.limit(3000).where("text LIKE '% %'"))
+    language_id.calibrate(model, labelled)
+    sums, sizes = language_id.Scorer(model).totals(texts)
+    middle = (model.entropy[0] + model.random[0]) / 2
+    above = np.sort((-sums[:, 0] / sizes - middle) * np.sqrt(sizes) / model.spread[0])[::-1]
+    assert above[7] > 1 and above[6] > above[7] and model.chance[0] == pytest.approx(above[7], abs=1e-6)  # 7 of 72,016 may be rejected
+    assert language_id.predict(labelled, model).where("rejected").count() == 7
+
+
 @pytest.mark.parametrize("text", ["n 12 4111 1111 1111 1111", "4111 1111 1111 1111 123", "4111-1111-1111-1111-123", "12 35 4111 1111 1111 1111.", "1 2 4111111111111111 5"])
 def test_card_beside_short_number(text):
     new, count = pii.pseudonymise(text, b"k" * 32)
