@@ -75,13 +75,19 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that sorts both sides. Spark goes by the size of files, and pointers make small files of many rows: broadcast, all
+    of these would pass through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The ``branches`` best root-to-leaf paths of each tree: ``(tree, leaf, branch, branch_score, depth, node)``, where ``depth``
     counts from 0 at the root."""
     # Within a struct, a null tree equals itself.
     nodes = messages.select(F.struct("tree").alias("tree"), "node", "parent", "score")
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
+    links = _met(nodes, known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
     # A message's state: the one that it sees, none if it sees past its root; score and number of messages on the way, that
     # one excluded. hops[k]: the messages with another 2**k steps up. Only these go on to the next round.
     start = links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size"))
@@ -94,20 +100,20 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         hops.append(going)
         if len(seen) > SEEN_TABLES:
             # Only trees with messages on their way are looked up again.
-            seen = [written(_union(seen).join(going.select("tree").distinct(), "tree", "left_semi"), "reply-seen")]
+            seen = [written(_met(_union(seen), going.select("tree").distinct(), ["tree"], "left_semi"), "reply-seen")]
         ahead = _union([going, *seen]).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
-        further = going.join(ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size"))
+        further = _met(going, ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size"))
         state, going_on = kept_counting(further, "up IS NOT NULL")
         states.append(state)
         seen.append(state.where("up IS NULL"))
     ends = _union(states).where("up IS NULL")
-    leaves = ends.join(links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    leaves = _met(ends, links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     walk = written(chosen.select("tree", F.col("node").alias("leaf"), F.col("branch").cast("long").alias("branch"), F.col("score").alias("branch_score"), (F.col("size") - 1).alias("depth"), "node"), "reply-walk")
     for hop in reversed(hops):
         hop = hop.select("tree", "node", F.col("up").alias("_up"), F.col("size").alias("_steps"))
-        higher = walk.join(hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - F.col("_steps")).alias("depth"), F.col("_up").alias("node"))
+        higher = _met(walk, hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - F.col("_steps")).alias("depth"), F.col("_up").alias("node"))
         walk = written(walk.unionByName(higher), "reply-walk")
     return walk.withColumn("tree", F.col("tree.tree"))
 
@@ -115,7 +121,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row a path: ``(tree, leaf, branch, formatted, loss_mask)``."""
     said = messages.select(F.struct("tree").alias("tree"), "node", "role", "text")
-    turns = chosen.withColumn("tree", F.struct("tree")).join(said, ["tree", "node"]).withColumn("tree", F.col("tree.tree"))
+    turns = _met(chosen.withColumn("tree", F.struct("tree")), said, ["tree", "node"]).withColumn("tree", F.col("tree.tree"))
     turns = turns.withColumn("_head", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"))).withColumn("_body", escape(F.col("text")))
     # A path is one row of the result, so its turns meet in one group; trees without end have no formatted form.
     rows = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct("depth", "_head", "_body", (F.col("role") == "assistant").alias("_loss")))).alias("_turns"))

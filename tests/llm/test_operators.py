@@ -385,6 +385,21 @@ def test_long_chain(spark):
     assert [t.text for t in row.turns] == [str(i) for i in range(1, 301)]
 
 
+def test_reply_trees_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noting(write):
+        return lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *rest)
+
+    monkeypatch.setattr(reply_trees, "written", noting(reply_trees.written))
+    monkeypatch.setattr(reply_trees, "kept_counting", noting(reply_trees.kept_counting))
+    chain = spark.range(1, 41).selectExpr("'c' AS tree", "id AS node", "CASE WHEN id > 1 THEN id - 1 END AS parent", "'user' AS role", "cast(id AS string) AS text", "1.0D AS score")
+    out = reply_trees.format_conversations(reply_trees.written(chain, "chain"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 1 and sum("SortMergeJoin" in x for x in plans) >= 14
+    assert not [x for x in plans if "Broadcast" in x]
+
+
 # 7: near-duplicates
 
 
