@@ -15,9 +15,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language a model of the labelled ones recognises; ``lang`` becomes the prediction."""
+    """Documents whose language a model of all labelled ones recognises; ``lang`` becomes the prediction. No fold is held out here."""
     docs = docs.select(*COLUMNS)
-    model = language_id.fit(docs.where(~language_id.held_out()).select("text", "lang"))
+    model = language_id.fit(docs.select("text", "lang"))
     rows = language_id.predict(docs, model).where(~F.col("rejected"))
     return rows.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

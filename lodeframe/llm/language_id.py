@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -208,23 +209,16 @@ def fit_counts(langs: list[str], by_lang: dict[str, tuple[np.ndarray, np.ndarray
             model.backs.append(np.log(backs[o]).astype(np.float32))
         else:
             model.floor = np.log(backs[0] / letters).astype(np.float32)
-    # Random letters, the mean over all pairs of letters behind two fixed ones: backing off for every pair, then what seen
-    # grams have instead.
-    points, sums = tables[0], np.zeros(n)
-    for k, prefix in enumerate([None, None, points[-1], points[0] << np.uint64(16) | points[-1]]):
-        own = np.ones(len(tables[k]), bool) if prefix is None else tables[k] >> np.uint64(32) == prefix
-        keys = tables[k][own]
-        logs = np.log(by_order[k][0][own])
-        if k == 0:
-            sums += len(points) * logs.sum(axis=0)
-            continue
-        contexts, backs = by_order[k][1:]
-        wanted = np.ones(len(contexts), bool) if prefix is None else contexts >> np.uint64(16) == prefix
-        sums += len(points) * np.log(backs[wanted]).sum(axis=0)
-        at = np.searchsorted(contexts, keys >> np.uint64(16))
-        below = np.searchsorted(tables[k - 1], keys & _mask(k))
-        sums += (logs - np.log(backs[at]) - np.log(by_order[k - 1][0][below])).sum(axis=0)
-    model.random = -sums / len(points) ** 2
+    # Random letters, the mean over all runs of four letters: backing off for every run, then what seen grams have instead.
+    v, mean = len(tables[0]), np.zeros(n)
+    for k, (table, (probs, contexts, backs)) in enumerate(zip(tables, by_order, strict=True)):
+        logs = np.log(probs)
+        if k:
+            mean += np.log(backs).sum(axis=0) / v**k
+            at = np.searchsorted(contexts, table >> np.uint64(16))
+            logs -= np.log(backs[at]) + np.log(by_order[k - 1][0][np.searchsorted(tables[k - 1], table & _mask(k))])
+        mean += logs.sum(axis=0) / v ** (k + 1)
+    model.random = -mean
     # A language's own entropy and spread by its counts.
     for j, lang in enumerate(langs):
         keys, counts = grams_of[3][lang]
@@ -296,7 +290,7 @@ def fit_tables(counts: DataFrame) -> Tables:
         mass = at.join(totals.select("lang", "context", "total"), ["lang", "context"]).withColumn("mass", (F.col("n") - discount) / F.col("total"))
         own.insert(0, written(by_lang(mass, "key", "mass", 0.0), "lid-own"))
         backs.insert(0, written(by_lang(totals, "context", "back", 1.0), "lid-backs"))
-    v, low, high = own[0].agg(F.count("*"), F.min("key"), F.max("key")).first()
+    v = own[0].count()
     limits = Limits(langs, np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, CHANCE))
     tables = Tables(limits, max(2, v + 1), own, backs)
     logs = tables.probabilities(own[3].select(F.col("key").alias("gram"))).select("gram", "p4")
@@ -305,21 +299,16 @@ def fit_tables(counts: DataFrame) -> Tables:
         j = langs.index(r[0])
         limits.entropy[j] = -r[2] / r[1]
         limits.spread[j] = np.sqrt(max(0.0, r[3] / r[1] - limits.entropy[j] ** 2))
-    # Random letters, the mean over all pairs of letters: backing off for every pair, then what seen grams have instead.
-    sums = np.zeros(n)
-    for k, prefix in enumerate([None, None, high, low << 16 | high]):
-        seen, contexts = own[k].select(F.col("key").alias("gram")), backs[k]
-        if prefix is not None:
-            seen = seen.where(F.shiftrightunsigned("gram", 32) == prefix)
-            contexts = contexts.where(F.shiftrightunsigned("context", 16) == prefix)
-        found = tables.probabilities(seen, k + 1)
-        if k == 0:
-            sums += v * np.array(found.agg(*[F.sum(F.log(F.col("p1")[j])) for j in range(n)]).first(), float)
-            continue
-        sums += v * np.array(contexts.agg(*[F.coalesce(F.sum(F.log(F.col("back")[j])), F.lit(0.0)) for j in range(n)]).first(), float)
-        instead = [F.log(F.col(f"p{k + 1}")[j]) - F.log(F.col("back")[j]) - F.log(F.col(f"p{k}")[j]) for j in range(n)]
-        sums += np.array(found.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in instead]).first(), float)
-    limits.random = -sums / v**2
+    # Random letters, the mean over all runs of four letters: backing off for every run, then what seen grams have instead.
+    mean = np.zeros(n)
+    for k in range(4):
+        found = tables.probabilities(own[k].select(F.col("key").alias("gram")), k + 1)
+        logs = [F.log(F.col(f"p{k + 1}")[j]) for j in range(n)]
+        if k:
+            mean += np.array(backs[k].agg(*[F.sum(F.log(F.col("back")[j])) for j in range(n)]).first(), float) / float(v) ** k
+            logs = [x - F.log(F.col("back")[j]) - F.log(F.col(f"p{k}")[j]) for j, x in enumerate(logs)]
+        mean += np.array(found.agg(*[F.sum(x) for x in logs]).first(), float) / float(v) ** (k + 1)
+    limits.random = -mean
     return tables
 
 
@@ -443,15 +432,16 @@ def _summed(df: DataFrame, tables: Model | Tables, text: str) -> DataFrame:
     return rows.join(found, "_lid_row", "left").drop("_lid_row")
 
 
-_scorers: dict[int, tuple[object, Scorer]] = {}
+#: By broadcast model; a scorer goes when its worker gets a task without that model.
+_scorers: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _scorer(shared) -> Scorer:
     """The scorer of a broadcast model, made once in a worker."""
-    if id(shared) not in _scorers:
+    if shared not in _scorers:
         _scorers.clear()
-        _scorers[id(shared)] = (shared, Scorer(shared.value))
-    return _scorers[id(shared)][1]
+        _scorers[shared] = Scorer(shared.value)
+    return _scorers[shared]
 
 
 def predict(df: DataFrame, model: Model | Tables | None, text: str = "text") -> DataFrame:

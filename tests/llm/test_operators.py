@@ -340,6 +340,16 @@ def test_kneser_ney_against_plain_version():
             assert sums[i, j] == pytest.approx(plain_kneser_ney(grams, len(every) + 1, text), rel=1e-4)
 
 
+def test_random_letters_are_all_runs_of_four():
+    train = {"x": "the then there that abba baab cab theatre", "y": "zum zam zimt und hund rund bunt abba"}
+    model = language_id.fit_counts(["x", "y"], {k: np.unique(language_id.grams([t])[0], return_counts=True) for k, t in train.items()})
+    letters = np.unique(np.concatenate([language_id.grams([t])[0] for t in train.values()]) & np.uint64(0xFFFF))
+    runs = letters
+    for _ in range(3):
+        runs = (runs[:, None] << np.uint64(16) | letters).ravel()
+    assert np.allclose(model.random, -model.score(runs).astype(float).mean(axis=0), rtol=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
     keys, counts = np.unique(language_id.grams(["the then there that abba baab cab"])[0], return_counts=True)
     model = language_id.fit_counts(["x"], {"x": (keys, counts)})
@@ -708,6 +718,16 @@ def test_pipeline_stages(spark, docs):
     assert c.run(spark, DIR).exceptAll(current).count() == 0
 
 
+def test_pipeline_learns_from_all_labelled(spark):
+    import corpus_pipeline as c
+
+    tongues = {"aa": ["lomi tavu", "rasi mola", "tavu lomi rasi", "mola savu tila"], "bb": ["grenk strudz", "plokt bruntz", "krotz strudz plokt", "bruntz drenk gropt"]}
+    ids = {"aa": [i for i in range(400) if zlib.crc32(b"%d" % i) % 4 != 2][:40], "bb": [i for i in range(400) if zlib.crc32(b"%d" % i) % 4 == 2][:40]}
+    rows = [(i, " ".join([tongues[x][i % 4]] * 5), x, "web", 0) for x in tongues for i in ids[x]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.lang) for r in c.identify_language(spark, docs, DIR).collect()} == {(i, x) for i, _, x, *_ in rows}
+
+
 def test_cluster_without_shared_folder_is_an_error():
     from types import SimpleNamespace as Has
 
