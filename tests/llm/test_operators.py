@@ -148,6 +148,33 @@ def test_neighbours_query_recall(spark):
     assert hits >= 0.9 * 10 * len(found)
 
 
+def test_neighbours_in_shards_take_few_jobs(spark, monkeypatch):
+    """Rounds of the graph and of the search run inside tasks: jobs don't grow with them, and all shards answer, far from zero too."""
+    monkeypatch.setattr(neighbours, "LEAST", 500, raising=False)
+    x = np.random.default_rng(6).normal(size=(2400, 8)) + 1000
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = range(0, 2400, 60)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in asked], "query_id long, query array<double>")
+    context = spark.sparkContext
+    context.setJobGroup("neighbours", "neighbours")
+    nodes = neighbours.nodes_of(vectors, 10)
+    graph, coded = neighbours.build(nodes)
+    rows = neighbours.search(queries, nodes, graph, coded).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("neighbours"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 60
+    assert coded.select("shard").distinct().count() == 4 and coded.count() == 2400
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, 1:11]
+    assert len(rows) == 10 * len(asked)
+    assert len({(r.query_id, r.vec_id) for r in rows} & {(i, int(j)) for i in asked for j in near[i]}) >= 0.9 * len(rows)
+    # Cut blocks and hubs lose no pair of a node's own links and the ends of others.
+    links = np.full((50, 2), -1)
+    links[1:, 0], links[0] = 0, [1, 2]
+    ends, _, starts, sizes = neighbours._meetings(links, links >= 0, 10, np.random.default_rng(0))
+    parts = [set(ends[a : a + n].tolist()) for a, n in zip(starts, sizes, strict=True) if n > 1]
+    assert len(parts) == 5 and all({1, 2} <= p for p in parts) and set().union(*parts) == set(range(1, 50))
+
+
 # 3: URL filter
 
 
