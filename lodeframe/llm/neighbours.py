@@ -16,7 +16,7 @@ neighbours, both ways, are measured and join in, until nothing is left to expand
 under the first few projections, or of one part of a block that is cut, and from a few nodes of the shard.
 
 How wide a beam must be depends on the table. So some nodes are probes: their true neighbours come from one pass over all nodes, in
-which they are searched for too, with beams doubled until most are found or nothing more can be reached. The first beam that finds
+which they are searched for too, with beams half as wide again until most are found or nothing more can be reached. The first beam that finds
 enough of the nearest in all shards is taken; a shortfall gives a warning.
 
 Sizes: a shard has at most ``CELLS`` components of vectors, whatever the table's size, and tables of over ``LEAST`` nodes have several.
@@ -36,11 +36,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.llm.common import written
+from lodeframe.llm.common import likely_in, written
 
 NEIGHBOURS = 24
 TREES = 8
@@ -79,18 +80,99 @@ def _floats(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
+def _doubles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors kept as the bytes of double-precision numbers: the rows of each length, and their matrix."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // 8
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        yield own, np.frombuffer(b"".join(column.take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), int(size))
+
+
+def _bytes(x: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in np.ascontiguousarray(x)]
+
+
+def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``vector`` as the bytes of double-precision numbers; zeros have no sign, so that equal vectors have equal bytes."""
+    for batch in source:
+        vectors, out = batch.column("vector"), [b""] * len(batch)
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            for i, row in zip(own, _bytes(_matrix(vectors.take(pa.array(own))) + 0.0), strict=True):
+                out[i] = row
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [batch.schema.names[0], "vector"])
+
+
+def _same(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different vector of a batch, by id, and how many of the rows from there on are its ``k`` + 1 least ids."""
+    rank: dict[bytes, int] = {}
+    same = np.array([rank.setdefault(v, len(rank)) for v in batch.column("vector").to_pylist()], np.int64)
+    ids = batch.column("vec_id").to_numpy()
+    order = np.lexsort((ids, same))
+    different = np.ones(len(order), bool)
+    different[1:] = (same[order][1:] != same[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[different]
+    _, counts = _runs(same[order])
+    kept = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts) <= k
+    return order[kept], np.minimum(counts, k + 1)
+
+
+def _thinned(k: int):
+    """``vector`` as bytes, and the ``k`` + 1 least ids of each in each batch."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _packed(source):
+            yield batch.take(pa.array(_same(batch, k)[0]))
+
+    return batches
+
+
+def _merged(k: int):
+    """The vectors of batches sorted by ``hash``, each once with its ``k`` + 1 least ids; a hash may run on from batch to batch."""
+
+    def once(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+        order, counts = _same(rows, k)
+        ids, first = rows.column("vec_id").take(pa.array(order)), np.cumsum(counts) - counts
+        members = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), ids)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), rows.column("vector").take(pa.array(order[first])), members], ["node", "vector", "members"])
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in source:
+            if not len(batch):
+                continue
+            hashes = batch.column("hash").to_numpy()
+            cut = int(np.searchsorted(hashes, hashes[-1]))
+            if held and (cut or held[-1].column("hash")[-1].as_py() != hashes[0]):
+                yield once([*held, batch.slice(0, cut)] if cut else held)
+                held = []
+            elif cut:
+                yield once([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield once(held)
+
+    return batches
+
+
 def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
-    """``(node, vector, members)``: each different vector once, under its least id, with its ``k`` + 1 least ids. The ranks are taken
-    before and after the shuffle, so copies of one vector don't meet in one task."""
-    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    rows = vectors.distinct().withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
-    found = rows.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
-    return found.select(F.col("members")[0].alias("node"), F.col("embedding").alias("vector"), "members")
+    """``(node, vector, members)``: each different vector once, as the bytes of its numbers, under its least id, with its ``k`` + 1 least
+    ids. These are taken in each batch before the shuffle too, so that copies of one vector don't meet in one task."""
+    shuffles = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select("vec_id", F.col("embedding").alias("vector")).mapInArrow(_thinned(k), "vec_id long, vector binary")
+    rows = rows.withColumn("hash", F.xxhash64("vector")).repartition(shuffles, "hash").sortWithinPartitions("hash")
+    return rows.mapInArrow(_merged(k), "node long, vector binary, members array<long>")
+
+
+def _size() -> Column:
+    return F.floor(F.octet_length("vector") / 8).cast("int").alias("size")
 
 
 def _sizes(nodes: DataFrame) -> DataFrame:
     """``(size, shards)``: among how many shards the nodes of each length are dealt."""
-    counts = nodes.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"))
+    counts = nodes.groupBy(_size()).agg(F.count("*").alias("n"))
     most = F.greatest(F.lit(1024), F.floor(F.lit(CELLS) / F.col("size")))
     few = F.least(F.lit(SHARDS), F.ceil(F.col("n") / LEAST))
     return counts.select("size", F.greatest(F.ceil(F.col("n") / most), few).alias("shards"))
@@ -100,22 +182,24 @@ def _points(nodes: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """A map of batches: ``vector`` becomes ``point``, its components relative to the largest of all and to a mean of some nodes.
 
     Neither is exact; they keep numbers in single precision's range, and small distances of vectors far from zero in its precision."""
-    largest = nodes.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0
+
+    def largest_of(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            most = max((np.abs(x).max() for _, x in _doubles(batch.column("vector"))), default=0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([float(most)])], ["most"])
+
+    largest = nodes.select("vector").mapInArrow(largest_of, "most double").agg(F.max("most")).first()[0] or 1.0
     some: dict[int, list] = {}
     for r in nodes.orderBy(F.xxhash64("node"), "node").limit(PROBES).select("vector").collect():
-        some.setdefault(len(r.vector), []).append(np.array(r.vector) / largest)
+        some.setdefault(len(r.vector) // 8, []).append(np.frombuffer(r.vector) / largest)
     centres = {size: np.mean(vectors, axis=0) for size, vectors in some.items()}
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            vectors = batch.column("vector")
-            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            points: list = [None] * len(vectors)
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
-                x = _matrix(vectors.take(pa.array(own))) / largest - centres.get(int(size), 0.0)
-                for i, row in zip(own, x.astype(np.float32), strict=True):
-                    points[i] = row.tobytes()
+            points: list = [None] * len(batch)
+            for own, x in _doubles(batch.column("vector")):
+                for i, row in zip(own, _bytes((x / largest - centres.get(x.shape[1], 0.0)).astype(np.float32)), strict=True):
+                    points[i] = row
             others = [c for c in batch.schema.names if c != "vector"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(points, pa.binary())], [*others, "point"])
 
@@ -189,22 +273,23 @@ def _met(x: np.ndarray, members: np.ndarray, starts: np.ndarray, sizes: np.ndarr
             at = np.where(inside, starts[group][:, None] + np.arange(width), starts[group][:, None])
             ids = members[at]
             # Relative to one of them, so that the small distances of a group far from zero keep their precision.
-            v = x[ids] - x[ids[:, :1]]
+            v = x.take(ids, axis=0)
+            v -= v[:, :1].copy()
             norms = np.einsum("gij,gij->gi", v, v)
-            squares = v @ v.transpose(0, 2, 1)
-            squares *= -2
+            squares = (v * -2) @ v.transpose(0, 2, 1)
             squares += np.where(inside, norms, np.inf)[:, None, :]
             squares += norms[:, :, None]
-            np.maximum(squares, 0, out=squares)
             squares[:, np.arange(width), np.arange(width)] = np.inf
+            hit = squares < np.where(inside, farthest[ids], -np.inf)[:, :, None]
             if new is not None:
                 fresh = new[at]
-                squares[~(fresh[:, :, None] | fresh[:, None, :])] = np.inf
-            hit = squares < np.where(inside, farthest[ids], -1)[:, :, None]
+                hit &= fresh[:, :, None] | fresh[:, None, :]
             if k < width and np.count_nonzero(hit) > k * np.count_nonzero(inside):
+                squares[~hit] = np.inf
                 hit &= squares <= np.partition(squares, k - 1, axis=2)[:, :, k - 1 : k]
-            g, a, b = np.nonzero(hit)
-            out.append((ids[g, a], ids[g, b], squares[g, a, b]))
+            cells = np.flatnonzero(hit)
+            row, b = np.divmod(cells, width)
+            out.append((ids.ravel().take(row), ids[row // width, b], np.maximum(squares.ravel().take(cells), 0)))
     a, b, squares = (np.concatenate(c) for c in zip(*out, strict=True))
     return a, b, squares
 
@@ -214,15 +299,18 @@ def _nearest(near: np.ndarray, squares: np.ndarray, a: np.ndarray, b: np.ndarray
     n, k = near.shape
     node, rank = np.nonzero(near >= 0)
     a, b, found = np.r_[node, a], np.r_[near[node, rank], b], np.r_[squares[node, rank], found]
+    # Stable, so that a pair's old link comes before new ones.
     pairs = a * n + b
     order = np.argsort(pairs, kind="stable")
-    first = order[np.r_[True, pairs[order][1:] != pairs[order][:-1]]] if len(order) else order
+    pairs = pairs.take(order)
+    first = order[np.r_[True, pairs[1:] != pairs[:-1]]] if len(order) else order
     # Bits of floats that aren't negative are in the floats' order.
     first = first[np.argsort((a[first] << 32) | found[first].view(np.int32).astype(np.int64), kind="stable")]
-    a, b, found, old = a[first], b[first], found[first], first < len(node)
-    rank = np.arange(len(a)) - np.searchsorted(a, np.arange(n))[a]
-    top = rank < k
-    a, b, found, old, rank = a[top], b[top], found[top], old[top], rank[top]
+    a = a.take(first)
+    rank = np.arange(len(a)) - np.searchsorted(a, np.arange(n)).take(a)
+    top = np.flatnonzero(rank < k)
+    first, a, rank = first.take(top), a.take(top), rank.take(top)
+    b, found, old = b.take(first), found.take(first), first < len(node)
     near, squares, new = np.full((n, k), -1, np.int64), np.full((n, k), np.inf, np.float32), np.zeros((n, k), bool)
     near[a, rank], squares[a, rank], new[a, rank] = b, found, ~old
     return near, squares, new
@@ -274,24 +362,25 @@ def _descend(x: np.ndarray, k: int, trees: int, block: int, rounds: int | None,
     return near, squares
 
 
-_INDEX = "shard long, node long, point binary, near array<long>, squares array<float>, block int"
+_INDEX = "shard long, place int, node long, point binary, near array<int>, squares array<float>, block int"
 
 
 def _graphs(k: int, trees: int, block: int, rounds: int | None, hub: int, seed: int):
-    """The rows of each shard with their links."""
+    """The rows of each shard with their places in it and links to places."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, group in _groups(source, "shard"):
             group = group.combine_chunks()
             nodes, points = group.column("node").to_numpy(), group.column("point").chunk(0)
             near, squares = _descend(_floats(points), k, trees, block, rounds, hub, seed)
+            near, places = near.astype(np.int32), np.arange(len(nodes), dtype=np.int32)
             for i in range(0, len(nodes), 8192):
                 part = slice(i, i + 8192)
                 there = near[part] >= 0
                 at = pa.array(np.r_[0, np.cumsum(there.sum(1))].astype(np.int32))
-                links = [pa.ListArray.from_arrays(at, pa.array(c[there])) for c in (nodes[near[part]], squares[part])]
-                rows = len(there)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, shard)), pa.array(nodes[part]), points[i : i + 8192], *links, pa.array(np.full(rows, block, np.int32))], ["shard", "node", "point", "near", "squares", "block"])
+                links = [pa.ListArray.from_arrays(at, pa.array(c[there])) for c in (near[part], squares[part])]
+                columns = [pa.array(np.full(len(there), shard)), pa.array(places[part]), pa.array(nodes[part]), points[i : i + 8192], *links, pa.array(np.full(len(there), block, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "place", "node", "point", "near", "squares", "block"])
 
     return batches
 
@@ -302,29 +391,30 @@ def build(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int
 
     A shard's graph ends when a round changes at most ``CHANGED`` of its links, or after ``rounds`` if given."""
     shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select("node", "vector", F.size("vector").alias("size")).join(F.broadcast(_sizes(nodes)), "size")
+    dealt = nodes.select("node", "vector", _size()).join(F.broadcast(_sizes(nodes)), "size")
     dealt = dealt.select("node", "vector", _shard(F.pmod(F.xxhash64("node"), F.col("shards"))))
     points = dealt.mapInArrow(_points(nodes), "node long, shard long, point binary")
     found = points.repartition(shuffles, "shard").sortWithinPartitions("shard", "node").mapInArrow(_graphs(k, trees, block, rounds, hub, seed), _INDEX)
     coded = written(found, "nn-index")
-    links = coded.select("node", F.explode(F.arrays_zip("near", "squares")).alias("link"))
-    return links.select("node", F.col("link.near").alias("near"), F.col("link.squares").alias("distance")), coded
+    links = coded.select("shard", "node", F.explode(F.arrays_zip("near", "squares")).alias("link"))
+    ends = coded.select("shard", F.col("place").alias("end"), F.col("node").alias("near"))
+    links = links.select("shard", "node", F.col("link.near").alias("end"), F.col("link.squares").alias("distance"))
+    return links.join(ends, ["shard", "end"]).select("node", "near", "distance"), coded
 
 
-def _shard(part):
+def _shard(part: Column) -> Column:
     return (F.col("size").cast("long") * (1 << 32) + part).alias("shard")
 
 
 class _Shard:
-    """A shard's vectors and links, and greedy search in them."""
+    """A shard's vectors and links, of its rows in the order of their places, and greedy search in them."""
 
     def __init__(self, pieces: list[pa.RecordBatch], seed: int):
         rows = pa.Table.from_batches(pieces).combine_chunks()
         self.nodes, self.x = rows.column("node").to_numpy(), _floats(rows.column("point").chunk(0))
         self.block, self.seed = rows.column("block")[0].as_py(), seed
         links = rows.column("near").chunk(0)
-        order = np.argsort(self.nodes, kind="stable")
-        end = order[np.searchsorted(self.nodes, links.flatten().to_numpy(), sorter=order)]
+        end = links.flatten().to_numpy().astype(np.int64)
         node, n = np.repeat(np.arange(len(self.nodes)), links.value_lengths().to_numpy()), len(self.nodes)
         both = np.sort(np.r_[node * n + end, end * n + node])
         node, self.ends = np.divmod(both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both, n)
@@ -352,17 +442,19 @@ class _Shard:
         beam = min(beam, n)
         held, squares = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf, np.float32)
         done = np.ones((m, beam), bool)
-        seen, last = np.zeros(m * n, bool), np.zeros(m * n, np.int32)
+        seen, last = np.zeros(m * n, bool), np.empty(m * n, np.int32)
         asked, at = self.starts(queries)
         while True:
             pairs = asked * n + at
-            pairs = pairs[~seen[pairs]]
+            fresh = np.flatnonzero(~seen.take(pairs))
+            pairs, number = pairs.take(fresh), np.arange(len(fresh), dtype=np.int32)
             seen[pairs] = True
-            last[pairs] = np.arange(len(pairs), dtype=np.int32)
-            asked, at = np.divmod(pairs[last[pairs] == np.arange(len(pairs), dtype=np.int32)], n)
+            last[pairs] = number
+            fresh = fresh[last.take(pairs) == number]
+            asked, at = asked.take(fresh), at.take(fresh)
             found = np.empty(len(at), np.float32)
             for i in range(0, len(at), 4096):
-                far = self.x[at[i : i + 4096]] - queries[asked[i : i + 4096]]
+                far = self.x.take(at[i : i + 4096], axis=0) - queries.take(asked[i : i + 4096], axis=0)
                 found[i : i + 4096] = np.einsum("ij,ij->i", far, far)
             nearer = found < squares[asked, -1]
             asked, at, found = asked[nearer], at[nearer], found[nearer]
@@ -383,7 +475,7 @@ class _Shard:
             asked, place = np.nonzero(front)
             node = held[asked, place]
             count = self.first[node + 1] - self.first[node]
-            asked, at = np.repeat(asked, count), self.ends[_ranges(self.first[node], count)]
+            asked, at = np.repeat(asked, count), self.ends.take(_ranges(self.first[node], count))
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -391,6 +483,11 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
+def _wider(beam: int) -> int:
+    """The next beam: half as wide again."""
+    return beam + max(1, beam // 2)
+
+
 def _probed(probes: dict[int, np.ndarray], k: int, first: int, expand: int, seed: int):
     """The true k nearest nodes of each probe in each shard, by brute force, and the first beam from which on a search finds each."""
 
@@ -415,7 +512,7 @@ def _probed(probes: dict[int, np.ndarray], k: int, first: int, expand: int, seed
                     needed = np.where(hit, np.where(needed > 0, needed, beam), 0)
                     if beam >= n or np.count_nonzero(hit & there) >= (1 + RECALL) / 2 * np.count_nonzero(there):
                         break
-                    beam *= 2
+                    beam = _wider(beam)
                 j, r = np.nonzero(there)
                 yield pa.RecordBatch.from_arrays([pa.array(own[j]), pa.array(far[j, r]), pa.array(needed[j, r])], ["query_id", "square", "beam"])
 
@@ -423,7 +520,7 @@ def _probed(probes: dict[int, np.ndarray], k: int, first: int, expand: int, seed
 
 
 def _wide_enough(shards: DataFrame, nodes: DataFrame, points, k: int, expand: int, seed: int) -> int:
-    """The first beam, from ``BEAM`` on by doubling, with which probes find ``RECALL`` of their true ``k`` nearest nodes."""
+    """The first beam, from ``BEAM`` on by halves, with which probes find ``RECALL`` of their true ``k`` nearest nodes."""
     some = nodes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(PROBES).mapInArrow(points, "node long, point binary").collect()
     probes = {r.node: np.frombuffer(r.point, np.float32) for r in some}
     near = shards.mapInArrow(_probed(probes, k, BEAM, expand, seed), "query_id long, square float, beam long")
@@ -466,11 +563,9 @@ def _searched(k: int, beam: int, expand: int, seed: int):
 def _measure(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distances of queries and nodes, in double precision."""
     for batch in source:
-        sizes = batch.column("query").value_lengths().to_numpy(zero_copy_only=False)
-        for size in np.unique(sizes):
-            own = pa.array(np.flatnonzero(sizes == size))
-            difference = _matrix(batch.column("query").take(own)) - _matrix(batch.column("vector").take(own))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(own), batch.column("members").take(own), pa.array(np.sqrt((difference * difference).sum(1)))], ["query_id", "members", "score"])
+        for (own, q), (_, x) in zip(_doubles(batch.column("query")), _doubles(batch.column("vector")), strict=True):
+            at = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("members").take(at), pa.array(np.sqrt(((q - x) ** 2).sum(1)))], ["query_id", "members", "score"])
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, coded: DataFrame, k: int = 10, beam: int | None = None, expand: int = EXPAND, seed: int = 7) -> DataFrame:
@@ -480,19 +575,20 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, coded: DataFr
     all in one row. Without ``beam`` it is found with probes."""
     shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = _points(nodes)
-    shards = coded.select("shard", "node", "point", "near", "block")
+    queries = queries.select("query_id", F.col("query").alias("vector")).mapInArrow(_packed, "query_id long, vector binary")
+    shards = coded.select("shard", "place", "node", "point", "near", "block")
     if beam is None:
-        beam = _wide_enough(shards.repartition(shuffles, "shard").sortWithinPartitions("shard"), nodes, points, k, expand, seed)
-    asked = queries.select("query_id", F.size("query").alias("size"), F.col("query").alias("vector")).mapInArrow(points, "query_id long, size int, point binary")
+        beam = _wide_enough(shards.repartition(shuffles, "shard").sortWithinPartitions("shard", "place"), nodes, points, k, expand, seed)
+    asked = queries.select("query_id", _size(), "vector").mapInArrow(points, "query_id long, size int, point binary")
     asked = asked.join(F.broadcast(_sizes(nodes)), "size").select("query_id", "point", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part"))
     both = shards.unionByName(asked.select("query_id", "point", _shard(F.col("part"))), allowMissingColumns=True)
-    both = both.repartition(shuffles, "shard").sortWithinPartitions("shard", F.asc_nulls_first("query_id"))
+    both = both.repartition(shuffles, "shard").sortWithinPartitions("shard", F.asc_nulls_first("query_id"), "place")
     # Points are of single precision, so a few more than asked for are measured; one is the query's own node.
     few = 2 * k + 1
     near = both.mapInArrow(_searched(few, beam, expand, seed), "query_id long, node long, square float")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("square", "node"))
-    near = near.withColumn("_rank", rank).where(F.col("_rank") <= few).select("query_id", "node").distinct()
-    full = near.join(nodes, "node").join(queries.select("query_id", "query"), "query_id").where(F.size("query") == F.size("vector"))
+    near = written(near.withColumn("_rank", rank).where(F.col("_rank") <= few).select("query_id", "node").distinct(), "nn-near")
+    full = near.join(likely_in(nodes, near, "node"), "node").join(queries.select("query_id", F.col("vector").alias("query")), "query_id").where(F.octet_length("query") == F.octet_length("vector"))
     scored = full.select("query_id", "query", "vector", "members").mapInArrow(_measure, "query_id long, members array<long>, score double")
     members = scored.select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     members = members.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
