@@ -49,10 +49,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: lineage ends there, and executors may be lost."""
+def written(df: DataFrame, name: str, marked: bool = True) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: lineage ends there, and executors may be lost.
+
+    Unless ``marked``, no marker of success is written. On a local folder without Hadoop's native library, that marker takes two of
+    the five processes that the driver starts for a table, to set the modes of files and folders."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", marked).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._written_at = path
     return found

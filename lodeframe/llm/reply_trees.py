@@ -91,7 +91,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # A message's state: the one that it sees, none if it sees past its root; score and number of messages on the way, that
     # one excluded. hops[k]: the messages with another 2**k steps up. Only these go on to the next round.
     start = links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size"))
-    state, going_on = kept_counting(start, "up IS NOT NULL")
+    state, going_on = kept_counting(start, "up IS NOT NULL", False)
     states, seen, hops = [state], [state.where("up IS NULL")], []
     # A path is no longer than the table, so what still goes on after these rounds is on a cycle.
     rounds = state.count().bit_length()
@@ -100,21 +100,24 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         hops.append(going)
         if len(seen) > SEEN_TABLES:
             # Only trees with messages on their way are looked up again.
-            seen = [written(_met(_union(seen), going.select("tree").distinct(), ["tree"], "left_semi"), "reply-seen")]
+            seen = [written(_met(_union(seen), going.select("tree").distinct(), ["tree"], "left_semi"), "reply-seen", False)]
         ahead = _union([going, *seen]).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
         further = _met(going, ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size"))
-        state, going_on = kept_counting(further, "up IS NOT NULL")
+        state, going_on = kept_counting(further, "up IS NOT NULL", False)
         states.append(state)
         seen.append(state.where("up IS NULL"))
     ends = _union(states).where("up IS NULL")
-    leaves = _met(ends, links.where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    leaves = _met(ends, states[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
-    walk = written(chosen.select("tree", F.col("node").alias("leaf"), F.col("branch").cast("long").alias("branch"), F.col("score").alias("branch_score"), (F.col("size") - 1).alias("depth"), "node"), "reply-walk")
-    for hop in reversed(hops):
-        hop = hop.select("tree", "node", F.col("up").alias("_up"), F.col("size").alias("_steps"))
-        higher = _met(walk, hop, ["tree", "node"]).select("tree", "leaf", "branch", "branch_score", (F.col("depth") - F.col("_steps")).alias("depth"), F.col("_up").alias("node"))
-        walk = written(walk.unionByName(higher), "reply-walk")
+    walk = chosen.select("tree", F.col("node").alias("leaf"), F.col("branch").cast("long").alias("branch"), F.col("score").alias("branch_score"), (F.col("size") - 1).alias("depth"), "node")
+    for k, hop in reversed([*enumerate(hops)]):
+        walk = _met(walk, hop.select("tree", "node", F.col("up").alias("_up"), F.col("size").alias("_steps")), ["tree", "node"], "left")
+        # Each row stays, and is followed by the one that it sees, so a plan names the walk so far once.
+        here, higher = F.struct("depth", "node"), F.struct((F.col("depth") - F.col("_steps")).alias("depth"), F.col("_up").alias("node"))
+        walk = walk.select("tree", "leaf", "branch", "branch_score", F.inline(F.filter(F.array(here, higher), lambda x: x["node"].isNotNull())))
+        # The last hop, a single step, goes on unwritten.
+        walk = written(walk, "reply-walk", False) if k else walk
     return walk.withColumn("tree", F.col("tree.tree"))
 
 
@@ -165,7 +168,7 @@ def reply_trees_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{ok}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
-    messages = written(from_turns(turns), "reply-messages")
+    messages = written(from_turns(turns), "reply-messages", False)
     rows = read_back(format_paths(messages, paths(messages)))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return rows.select(

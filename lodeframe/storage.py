@@ -40,12 +40,12 @@ def kept(df: DataFrame) -> DataFrame:
     return kept_counting(df)[0]
 
 
-def kept_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+def kept_counting(df: DataFrame, condition: str = "true", marked: bool = True) -> tuple[DataFrame, int]:
     """``kept``, and how many rows meet the condition, counted while they are written. A task that ran twice may count twice, so the
-    number tells whether there are any."""
+    number tells whether there are any. Unless ``marked``, no marker of success is written."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count_if(F.expr(condition)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count_if(F.expr(condition)).alias("n")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", marked).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._kept_at = path
     # A plan that turns out empty while it runs may leave its counter out.

@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, with the edge cases that their docstrings define."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -437,6 +438,49 @@ def test_reply_trees_send_no_table_through_the_driver(spark, monkeypatch):
     assert not [x for x in plans if "Broadcast" in x]
 
 
+def test_reply_trees_write_few_tables_and_no_markers(spark, monkeypatch):
+    folders = []
+
+    def noting(write):
+        def wrapped(df, *rest):
+            out = write(df, *rest)
+            table = out[0] if isinstance(out, tuple) else out
+            folders.append(getattr(table, "_written_at", None) or table._kept_at)
+            return out
+
+        return wrapped
+
+    monkeypatch.setattr(reply_trees, "written", noting(reply_trees.written))
+    monkeypatch.setattr(reply_trees, "kept_counting", noting(reply_trees.kept_counting))
+    chain = spark.range(1, 41).selectExpr("'c' AS tree", "id AS node", "CASE WHEN id > 1 THEN id - 1 END AS parent", "'user' AS role", "cast(id AS string) AS text", "1.0D AS score")
+    (row,) = reply_trees.read_back(reply_trees.format_conversations(chain)).collect()
+    assert [t.text for t in row.turns] == [str(i) for i in range(1, 41)]
+    # Seven rounds, one table of messages at their root and one for each hop but the last.
+    assert len(folders) == 13
+    files = [x.name for folder in folders for x in pathlib.Path(folder.removeprefix("file://")).iterdir()]
+    assert any(x.endswith(".parquet") for x in files) and not [x for x in files if "_SUCCESS" in x]
+
+
+def test_best_branches_against_plain_walks(spark):
+    rng = random.Random(5)
+    # Parents are drawn from the last few messages, so paths are long; node 0 of each tree is its root, nodes 90 and 91 are a cycle.
+    parents = {(tree, n): rng.randrange(max(0, n - 4), n) if n else None for tree in range(6) for n in range(60)}
+    parents |= {(tree, n): 181 - n for tree in range(6) for n in (90, 91)}
+    scores = {key: float(rng.randrange(4)) for key in parents}
+    table = spark.createDataFrame([(t, n, p, "user", f"{n}", scores[t, n]) for (t, n), p in parents.items()], "tree int, node int, parent long, role string, text string, score double")
+    got = {(r.tree, r.branch): (r.leaf, [int(t.text) for t in r.turns]) for r in reply_trees.read_back(reply_trees.format_conversations(table, branches=3)).collect()}
+    true = {}
+    for tree in range(6):
+        ways = []
+        for leaf in set(range(60)) - {p for (t, _), p in parents.items() if t == tree}:
+            way = [leaf]
+            while parents[tree, way[-1]] is not None:
+                way.append(parents[tree, way[-1]])
+            ways.append((-sum(scores[tree, n] for n in way), leaf, way[::-1]))
+        true |= {(tree, k): (leaf, way) for k, (_, leaf, way) in enumerate(sorted(ways)[:3], 1)}
+    assert got == true
+
+
 # 7: near-duplicates
 
 
