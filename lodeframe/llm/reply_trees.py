@@ -72,7 +72,10 @@ def _unique(messages: DataFrame) -> DataFrame:
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+    """Written tables as one, by a single scan where their types are the same."""
+    if any(x.dtypes != tables[0].dtypes for x in tables):
+        return reduce(DataFrame.unionByName, tables)
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(getattr(x, "_kept_at", None) or x._written_at for x in tables))
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -92,7 +95,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # one excluded. hops[k]: the messages with another 2**k steps up. Only these go on to the next round.
     start = links.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("size"))
     state, going_on = kept_counting(start, "up IS NOT NULL", False)
-    states, seen, hops = [state], [state.where("up IS NULL")], []
+    states, seen, hops = [state], [state], []
     # A path is no longer than the table, so what still goes on after these rounds is on a cycle.
     rounds = state.count().bit_length()
     while going_on and len(hops) < rounds:
@@ -100,12 +103,12 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         hops.append(going)
         if len(seen) > SEEN_TABLES:
             # Only trees with messages on their way are looked up again.
-            seen = [written(_met(_union(seen), going.select("tree").distinct(), ["tree"], "left_semi"), "reply-seen", False)]
-        ahead = _union([going, *seen]).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
+            seen = [written(_met(_union(seen).where("up IS NULL"), going.select("tree").distinct(), ["tree"], "left_semi"), "reply-seen", False)]
+        ahead = going.unionByName(_union(seen).where("up IS NULL")).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
         further = _met(going, ahead, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size"))
         state, going_on = kept_counting(further, "up IS NOT NULL", False)
         states.append(state)
-        seen.append(state.where("up IS NULL"))
+        seen.append(state)
     ends = _union(states).where("up IS NULL")
     leaves = _met(ends, states[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
