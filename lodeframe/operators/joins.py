@@ -96,11 +96,15 @@ def piecewise(points: DataFrame, segments: DataFrame, time: str, start: str, val
 
 
 def prefix_join(keys: DataFrame, prefixes: DataFrame, key: str, prefix: str, longest: int) -> DataFrame:
-    """All pairs of a key and a prefix that it starts with. Keys give out their prefixes of up to ``longest`` characters, which meet the
-    prefixes by equality; longer prefixes are compared by their first ``longest`` characters and then whole."""
-    heads = keys.withColumn("_head", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length(key), F.lit(longest))), lambda i: F.substring(F.col(key), F.lit(1), i))))
+    """All pairs of a key and a prefix that it starts with. Keys give out their heads of the lengths that prefixes have, up to ``longest``
+    characters, which meet the prefixes by equality; longer prefixes are compared by their first ``longest`` characters and then whole.
+
+    Both sides are sorted: Spark's estimate of a table's size leaves out what explode makes of it, so it would broadcast the heads."""
     asked = prefixes.withColumn("_head", F.left(prefix, F.lit(longest)))
-    return heads.join(asked, "_head").where(F.startswith(key, prefix)).drop("_head")
+    lengths = asked.agg(F.array_compact(F.collect_set(F.length("_head"))).alias("_lengths"))  # one row, ``longest`` + 1 numbers at most
+    heads = keys.crossJoin(F.broadcast(lengths)).withColumn("_length", F.explode("_lengths")).where(F.col("_length") <= F.length(key))
+    heads = heads.withColumn("_head", F.substring(F.col(key), F.lit(1), F.col("_length"))).drop("_lengths", "_length")
+    return heads.hint("merge").join(asked, "_head").where(F.startswith(key, prefix)).drop("_head")
 
 
 def longest_common_prefix(keys: DataFrame, queries: DataFrame, key: str, query: str) -> DataFrame:

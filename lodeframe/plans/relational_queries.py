@@ -164,9 +164,11 @@ def as_of(spark, sf_dir):
 
 @query("x01_x03_prefixes", "WITH q AS (SELECT DISTINCT p_name[1:5] AS prefix FROM part) SELECT prefix, count(*)::BIGINT AS n, min(p_name) AS first_key, max(p_partkey) AS greatest FROM q JOIN part ON starts_with(p_name, prefix) GROUP BY prefix")
 def prefixes(spark, sf_dir):
+    """Each different name meets the prefixes once, with the number and the greatest key of its parts."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     asked = parts.select(F.left("p_name", F.lit(5)).alias("prefix")).distinct()
-    return J.prefix_join(parts, asked, "p_name", "prefix", 8).groupBy("prefix").agg(F.count("*").alias("n"), F.min("p_name").alias("first_key"), F.max("p_partkey").alias("greatest"))
+    names = parts.groupBy("p_name").agg(F.count("*").alias("n"), F.max("p_partkey").alias("greatest"))
+    return J.prefix_join(names, asked, "p_name", "prefix", 8).groupBy("prefix").agg(F.sum("n").alias("n"), F.min("p_name").alias("first_key"), F.max("greatest").alias("greatest"))
 
 
 @query("x04_prefix_contains", "SELECT a.p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_name = a.p_name[1:3] || a.p_name[4:])")

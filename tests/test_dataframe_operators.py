@@ -204,3 +204,15 @@ def test_strong_components_of_a_long_way(spark, monkeypatch):
     found = {r.node: r.component for r in G.strong_components(edges).collect()}
     assert found == {i: i for i in range(18)} | {18: 17, 30: 30}
     assert len(tables) < 100
+
+
+def test_prefixes_against_plain_version(spark):
+    keys = ["", "a", "ab", "abc", "abcdef", "abcdefghij", "abcdefghxx", "b", "ab", None]
+    asked = ["", "a", "abc", "abcdefgh", "abcdefghij", "abcdefghijk", "c", None]
+    df = J.prefix_join(spark.createDataFrame([(k,) for k in keys], "k string"), spark.createDataFrame([(p,) for p in asked], "p string"), "k", "p", 8)
+    plain = [(k, p) for k in keys for p in asked if k is not None and p is not None and k.startswith(p)]
+    assert sorted(map(tuple, df.select("k", "p").collect())) == sorted(plain)
+    # The heads, which are more than Spark's estimate of them, aren't broadcast.
+    few, many = (spark.range(n).select(F.col("id").cast("string").alias(c)) for n, c in ((10, "k"), (1000, "p")))
+    plan = J.prefix_join(few, many, "k", "p", 8)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
