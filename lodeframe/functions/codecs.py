@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -236,25 +238,71 @@ def decode_bits(text: str, alphabet: str, padding: str = "allow", ignore_case: b
     return (n >> extra).to_bytes(bits // 8, "big")
 
 
-def kernel(function: Callable, returns: str, strict: bool) -> Callable[[Column], Column]:
-    """A value function over batches of a column; without ``strict``, bad data gives NULL."""
+#: What a kernel takes at once, in bytes of its columns. A row is never split.
+PIECE = 1 << 20
+_ARROW = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+
+
+def _pieces(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """The rows of an Arrow batch in pieces of ``PIECE`` bytes at most, or of one row."""
+    n = len(columns[0])
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        yield tuple(c.slice(at, to - at) for c in columns)
+        at = to
+    if not n:
+        yield columns
+
 
-    def value(x):
+def kernels(functions: dict[str, Callable], returns: str, strict: bool) -> Callable[..., Column]:
+    """Value functions as a struct, one of each name: over a column, or each over a column of its own. Without ``strict``, bad data gives NULL.
+
+    All run in one Python worker, and what they give leaves it in pieces; a worker holds one batch of what comes in."""
+
+    def value(function: Callable, x):
         if x is None:
             return None
         try:
-            return function(bytes(x) if isinstance(x, (bytes, bytearray)) else x)
+            return function(x)
         except (ValueError, zlib.error, struct.error, EOFError):
             if strict:
                 raise
             return None
 
-    @F.pandas_udf(returns)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(value).astype(object) if returns not in ("long", "double") else batch.map(value)
+    def run(columns: tuple[pa.Array, ...]) -> Iterator[pa.Array]:
+        for piece in _pieces(columns):
+            own = piece if len(piece) == len(functions) else piece * len(functions)
+            yield pa.StructArray.from_arrays([pa.array([value(f, x.as_py()) for x in c], _ARROW[returns]) for f, c in zip(functions.values(), own, strict=True)], list(functions))
+
+    schema = ", ".join(f"`{name}` {returns}" for name in functions)
 
-    return run
+    def over(*columns) -> Column:
+        if len(columns) not in (1, len(functions)):
+            raise ValueError("one column, or one a function")
+        if len(columns) == 1:
+
+            @F.arrow_udf(schema)
+            def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                for batch in batches:
+                    yield from run((batch,))
+
+            return one(*columns)
+
+        @F.arrow_udf(schema)
+        def each(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield from run(batch)
+
+        return each(*columns)
+
+    return over
+
+
+def kernel(function: Callable, returns: str, strict: bool) -> Callable[[Column], Column]:
+    """A value function over a column; without ``strict``, bad data gives NULL."""
+    return lambda column: kernels({"value": function}, returns, strict)(column)["value"]
 
 
 def to_radix(data, alphabet: str) -> Column:
@@ -399,8 +447,7 @@ def unpack_fields(data, kinds: list[str], schema: str) -> Column:
 _WINDOW_BITS = {"raw": -15, "zlib": 15, "gzip": 31}
 
 
-def deflate(data, container: str = "zlib", level: int = 6, strategy: str = "auto") -> Column:
-    """A DEFLATE stream in a container. ``strategy``: "stored", "fixed", "dynamic", or "auto" by level (0 stored, to 3 fixed)."""
+def deflater(container: str = "zlib", level: int = 6, strategy: str = "auto") -> Callable[[bytes], bytes]:
     if container not in _WINDOW_BITS or strategy not in ("stored", "fixed", "dynamic", "auto"):
         raise ValueError("unknown container or strategy")
     if strategy == "auto":
@@ -411,12 +458,10 @@ def deflate(data, container: str = "zlib", level: int = 6, strategy: str = "auto
         packer = zlib.compressobj(level, zlib.DEFLATED, _WINDOW_BITS[container], 9, how)
         return packer.compress(x) + packer.flush()
 
-    return kernel(value, "binary", True)(data)
+    return value
 
 
-def inflate(data, container: str | None = None, strict: bool = True) -> Column:
-    """The bytes of a DEFLATE stream; checksums are verified. Without a container, it is detected."""
-
+def inflater(container: str | None = None) -> Callable[[bytes], bytes]:
     def value(x: bytes) -> bytes:
         unpacker = zlib.decompressobj(_WINDOW_BITS[container or container_of(x)])
         out = unpacker.decompress(x) + unpacker.flush()
@@ -424,7 +469,17 @@ def inflate(data, container: str | None = None, strict: bool = True) -> Column:
             raise ValueError("the stream is cut off")
         return out
 
-    return kernel(value, "binary", strict)(data)
+    return value
+
+
+def deflate(data, container: str = "zlib", level: int = 6, strategy: str = "auto") -> Column:
+    """A DEFLATE stream in a container. ``strategy``: "stored", "fixed", "dynamic", or "auto" by level (0 stored, to 3 fixed)."""
+    return kernel(deflater(container, level, strategy), "binary", True)(data)
+
+
+def inflate(data, container: str | None = None, strict: bool = True) -> Column:
+    """The bytes of a DEFLATE stream; checksums are verified. Without a container, it is detected."""
+    return kernel(inflater(container), "binary", strict)(data)
 
 
 def container_of(x: bytes) -> str:

@@ -86,10 +86,14 @@ def base_sizes(spark, sf_dir):
 
 @query("c14_c15_deflate_round_trip", "SELECT page_id, sha256(html) AS raw, sha256(html) AS zlib, sha256(html) AS gzip, octet_length(encode(html))::BIGINT AS stored_less_5 FROM pages")
 def deflate(spark, sf_dir):
+    containers = {"raw": 9, "zlib": 6, "gzip": 2}
+    pack = C.kernels({c: C.deflater(c, level) for c, level in containers.items()} | {"stored": C.deflater("raw", 0)}, "binary", True)
+    back = C.kernels({c: C.inflater() for c in containers}, "binary", True)
     rows = table(spark, sf_dir, "pages").select("page_id", C.utf8("html").alias("d"))
-    rows = rows.select("page_id", *(C.deflate("d", c, level).alias(c) for c, level in (("raw", 9), ("zlib", 6), ("gzip", 2))), C.deflate("d", "raw", 0).alias("stored"), F.octet_length("d").alias("n"))
+    rows = rows.select("page_id", pack("d").alias("p"), F.octet_length("d").alias("n"))
+    rows = rows.select("page_id", back(*(F.col(f"p.{c}") for c in containers)).alias("b"), F.octet_length("p.stored").alias("stored"), "n")
     blocks = F.greatest(F.ceil(F.col("n") / 65535), F.lit(1)) * 5
-    return rows.select("page_id", *(F.sha2(C.inflate(c), 256).alias(c) for c in ("raw", "zlib", "gzip")), F.when(F.octet_length("stored") <= F.col("n") + blocks * 4, F.col("n").cast("long")).alias("stored_less_5"))
+    return rows.select("page_id", *(F.sha2(f"b.{c}", 256).alias(c) for c in containers), F.when(F.col("stored") <= F.col("n") + blocks * 4, F.col("n").cast("long")).alias("stored_less_5"))
 
 
 @query("c16_container", "SELECT page_id, 'raw' AS raw, 'zlib' AS zlib, 'gzip' AS gzip, (n + greatest((n + 65534) // 65535, 1) * 5 + 18)::BIGINT AS bound FROM (SELECT page_id, octet_length(encode(html)) AS n FROM pages)")
@@ -143,9 +147,11 @@ def hex_base64(spark, sf_dir):
 def strategies(spark, sf_dir):
     """The kind of the first block of each strategy's stream, and what the streams hold."""
     names = ("stored", "fixed", "dynamic")
-    rows = table(spark, sf_dir, "pages").select("page_id", *(C.deflate(C.utf8("html"), "raw", 6, n).alias(n) for n in names))
-    kind = lambda n: F.shiftright(F.conv(F.hex(F.substring(n, 1, 1)), 16, 10).cast("long"), 1).bitwiseAND(F.lit(3).cast("long"))
-    return rows.select("page_id", *(kind(n).alias(n) for n in names), *(F.sha2(C.inflate(n, "raw"), 256).alias(f"from_{n}") for n in names))
+    rows = table(spark, sf_dir, "pages").select("page_id", C.kernels({n: C.deflater("raw", 6, n) for n in names}, "binary", True)(C.utf8("html")).alias("p"))
+    kind = lambda n: F.shiftright(F.conv(F.hex(F.substring(f"p.{n}", 1, 1)), 16, 10).cast("long"), 1).bitwiseAND(F.lit(3).cast("long"))
+    back = C.kernels({n: C.inflater("raw") for n in names}, "binary", True)(*(F.col(f"p.{n}") for n in names))
+    rows = rows.select("page_id", *(kind(n).alias(n) for n in names), back.alias("b"))
+    return rows.select("page_id", *names, *(F.sha2(f"b.{n}", 256).alias(f"from_{n}") for n in names))
 
 
 @query("c17_c18_chunks", "SELECT page_id, sha256(html) AS sha256, ((length(html) + 499) // 500)::BIGINT AS chunks FROM pages")

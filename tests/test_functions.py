@@ -8,6 +8,7 @@ from lodeframe.functions import codecs as C
 from lodeframe.functions import color as K
 from lodeframe.operators import graphs as G
 from lodeframe.operators import joins as J
+from lodeframe.plans import library
 
 
 def one(spark, column):
@@ -95,3 +96,18 @@ def test_no_nested_loop_in_interval_join(spark):
     a = spark.range(10).selectExpr("id", "id AS low", "id + 1 AS high")
     plan = J.overlapping(a, a, 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_streams_share_a_worker_and_leave_it_in_pieces(spark):
+    import pyarrow as pa
+
+    columns = (pa.array([b"x" * 700_000, None, b"", b"y" * 400_000, b"z" * 3_000_000, b"w"]), pa.array([b"a"] * 6))
+    assert [len(a) for a, _ in C._pieces(columns)] == [3, 1, 1, 1]
+    assert [len(a) for a, in C._pieces((pa.array([], pa.binary()),))] == [0]
+    for name, workers in (("c14_strategies", 2), ("c14_c15_deflate_round_trip", 2)):
+        plan = library.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == workers
+    rows = spark.createDataFrame([(b"abc" * 9,), (None,), (b"",)], "d binary")
+    back = C.kernels({"a": C.inflater("raw"), "b": C.inflater("raw")}, "binary", False)
+    got = rows.select("d", back(C.deflate("d", "raw"), F.col("d")).alias("p")).select("d", "p.*").collect()
+    assert [(r.d, r.a, r.b) for r in got] == [(b"abc" * 9, b"abc" * 9, None), (None, None, None), (b"", b"", None)]
