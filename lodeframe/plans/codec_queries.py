@@ -98,9 +98,10 @@ def deflate(spark, sf_dir):
 
 @query("c16_container", "SELECT page_id, 'raw' AS raw, 'zlib' AS zlib, 'gzip' AS gzip, (n + greatest((n + 65534) // 65535, 1) * 5 + 18)::BIGINT AS bound FROM (SELECT page_id, octet_length(encode(html)) AS n FROM pages)")
 def container(spark, sf_dir):
+    containers = ("raw", "zlib", "gzip")
     rows = table(spark, sf_dir, "pages").select("page_id", C.utf8("html").alias("d"))
-    rows = rows.select("page_id", F.octet_length("d").alias("n"), *(C.deflate("d", c, 6).alias(c) for c in ("raw", "zlib", "gzip")))
-    return rows.select("page_id", *(C.detect_container(c).alias(c) for c in ("raw", "zlib", "gzip")), C.compress_bound("n").alias("bound"))
+    rows = rows.select("page_id", F.octet_length("d").alias("n"), C.kernels({c: C.deflater(c, 6) for c in containers}, "binary", True)("d").alias("p"))
+    return rows.select("page_id", *(C.detect_container(f"p.{c}").alias(c) for c in containers), C.compress_bound("n").alias("bound"))
 
 
 @query("c19_gzip_metadata", "SELECT item_id, 'item-' || item_id AS name, 'text' AS comment, item_id AS mtime FROM benchmark")

@@ -104,7 +104,7 @@ def test_streams_share_a_worker_and_leave_it_in_pieces(spark):
     columns = (pa.array([b"x" * 700_000, None, b"", b"y" * 400_000, b"z" * 3_000_000, b"w"]), pa.array([b"a"] * 6))
     assert [len(a) for a, _ in C._pieces(columns)] == [3, 1, 1, 1]
     assert [len(a) for a, in C._pieces((pa.array([], pa.binary()),))] == [0]
-    for name, workers in (("c14_strategies", 2), ("c14_c15_deflate_round_trip", 2)):
+    for name, workers in (("c14_strategies", 2), ("c14_c15_deflate_round_trip", 2), ("c16_container", 1)):
         plan = library.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("ArrowEvalPython") == workers
     rows = spark.createDataFrame([(b"abc" * 9,), (None,), (b"",)], "d binary")
