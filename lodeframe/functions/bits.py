@@ -175,20 +175,26 @@ def bitset_flip(bits: Column, i: int | None = None) -> Column:
 
 
 def bitset_resize(bits: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.get(bits, k), F.lit(False)))
+    """Cut, or grown by unset bits. Here and below an operand stands outside of lambdas, which would work it out anew for each bit."""
+    return F.transform(F.slice(F.concat(bits, F.array_repeat(F.lit(False), size)), 1, size), lambda x: F.coalesce(x, F.lit(False)))
 
 
-def bitset_and(a: Column, b: Column) -> Column:
+def _bitwise(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
     """The left length; what the right set lacks counts as unset."""
-    return F.transform(a, lambda x, k: x & F.coalesce(F.get(b, k), F.lit(False)))
+    pairs = F.zip_with(F.transform(a, lambda x: F.struct(x.alias("x"))), b, lambda s, y: F.struct(s.isNotNull().alias("own"), f(s["x"], F.coalesce(y, F.lit(False))).alias("z")))
+    return F.transform(F.filter(pairs, lambda p: p["own"]), lambda p: p["z"])
+
+
+def bitset_and(a: Column, b: Column) -> Column:
+    return _bitwise(a, b, lambda x, y: x & y)
 
 
 def bitset_or(a: Column, b: Column) -> Column:
-    return F.transform(a, lambda x, k: x | F.coalesce(F.get(b, k), F.lit(False)))
+    return _bitwise(a, b, lambda x, y: x | y)
 
 
 def bitset_xor(a: Column, b: Column) -> Column:
-    return F.transform(a, lambda x, k: x != F.coalesce(F.get(b, k), F.lit(False)))
+    return _bitwise(a, b, lambda x, y: x != y)
 
 
 def bitset_count(bits: Column) -> Column:

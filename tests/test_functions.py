@@ -111,3 +111,17 @@ def test_streams_share_a_worker_and_leave_it_in_pieces(spark):
     back = C.kernels({"a": C.inflater("raw"), "b": C.inflater("raw")}, "binary", False)
     got = rows.select("d", back(C.deflate("d", "raw"), F.col("d")).alias("p")).select("d", "p.*").collect()
     assert [(r.d, r.a, r.b) for r in got] == [(b"abc" * 9, b"abc" * 9, None), (None, None, None), (b"", b"", None)]
+
+
+def test_bit_sets_stay_linear_when_nested(spark):
+    import time
+
+    rows = spark.sql("SELECT array(true, false, true, null, true) AS a, array(true, true) AS b, cast(NULL AS array<boolean>) AS c")
+    got = rows.select(B.bitset_resize(F.col("a"), 3), B.bitset_resize(F.col("a"), 6), B.bitset_resize(F.col("c"), 3), B.bitset_and(F.col("a"), F.col("b")), B.bitset_or(F.col("b"), F.col("a")), B.bitset_xor(F.col("a"), F.col("b"))).first()
+    assert list(got) == [[True, False, True], [True, False, True, False, True, False], None, [True, False, False, False, False], [True, True], [False, True, True, None, True]]
+    nested = F.col("a")
+    for _ in range(7):
+        nested = B.bitset_xor(B.bitset_resize(F.col("b"), 16), B.bitset_resize(nested, 16))
+    began = time.time()
+    assert len(rows.select(nested).first()[0]) == 16
+    assert time.time() - began < 20  # at 16 times the work a level, minutes
