@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeframe.functions import goals as P
 from lodeframe.functions import syntax as L
 from lodeframe.functions import texts as X
 from lodeframe.functions import tower as N
+from lodeframe.plans import library
 from lodeframe.plans.extensions import Extension, Extensions
 from lodeframe.sources.ini import read_ini, write_ini
 from lodeframe.streaming import stateful as S
@@ -157,3 +159,12 @@ def test_rules_of_objectives():
     for bad in (lambda: P.Rule("r", None, "<", 1), lambda: P.lagrangian_terms([], [1.0])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_tower_kernels_share_a_worker(spark):
+    plan = library.QUERIES["n12_trigonometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rows = spark.sql("SELECT * FROM VALUES (cast(NULL AS double)), (-0.5), (1e20) AS t(v)").select(N.towers("v").alias("t")).withColumn("t", F.when(F.col("t.sign").isNotNull(), F.col("t")))
+    got = rows.select(N.unary("abs", "t").alias("a"), N.binary("add", "t", "t").alias("b"), N.formatted(F.col("t")).alias("c")).collect()
+    assert got[0].c is None and got[0].a.sign is None and got[0].b.mag is None
+    assert tuple(got[1].a) == (1, 0.0, 0.5) and tuple(got[1].b) == (-1, 0.0, 1.0) and got[2].c == "e20.0"
