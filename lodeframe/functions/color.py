@@ -55,21 +55,26 @@ PACKED = {"HS": "hsl", "HV": "hsv", "CK": "cmyk", "YU": "yuv", "XZ": "xyz", "LB"
 
 
 def parse_packed(text) -> Column:
-    """``(space, channels)`` of a tag with channels of four hexadecimal digits, hundredths in two's complement."""
+    """``(space, channels)`` of a tag with channels of four hexadecimal digits, hundredths in two's complement.
+
+    The pattern is matched once, and all digits are one number. Lambdas would match it anew for each channel, outside of generated code;
+    a text that is worked out should be a column of its own."""
     text = F.col(text) if isinstance(text, str) else text
-    tag = F.regexp_extract(text, "^#?(HS|HV|CK|YU|XZ|LB|LC|OB|OC|HW)((?:[0-9A-Fa-f]{4}){3,4})$", 1)
-    body = F.regexp_extract(text, "^#?(HS|HV|CK|YU|XZ|LB|LC|OB|OC|HW)((?:[0-9A-Fa-f]{4}){3,4})$", 2)
-    n = (F.length(body) / 4).cast("int")
-    value = lambda i: F.conv(F.substring(body, (i - 1) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-    channels = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(value(i) >= 32768, value(i) - 65536).otherwise(value(i)) / 100)
-    return F.when(tag != "", F.struct(tag.alias("space"), channels.alias("channels")))
+    tag_at = F.when(F.startswith(text, F.lit("#")), 2).otherwise(1)
+    digits = F.substring(text, tag_at + 2, F.lit(16))
+    bits = F.conv(digits, 16, -10).cast("long")
+    channel = lambda i: F.shiftright(F.shiftleft(bits, 16 * i), 48) / 100
+    three = [channel(i) for i in (1, 2, 3)]
+    channels = F.when(F.length(digits) == 16, F.array(channel(0), *three)).otherwise(F.array(*three))
+    return F.when(text.rlike("^#?(?:HS|HV|CK|YU|XZ|LB|LC|OB|OC|HW)(?:[0-9A-Fa-f]{4}){3,4}$"), F.struct(F.substring(text, tag_at, F.lit(2)).alias("space"), channels.alias("channels")))
 
 
 def format_packed(tag: str, *channels) -> Column:
     if tag not in PACKED:
         raise ValueError(f"no space is tagged {tag}")
-    parts = [F.round(_c(v) * 100).cast("int").bitwiseAND(F.lit(65535)) for v in channels]
-    return F.format_string("#" + tag + "%04x" * len(parts), *parts)
+    # With a digit in front, so that zeros stay.
+    parts = [F.substring(F.hex(F.round(_c(v) * 100).cast("int").bitwiseAND(F.lit(65535)) + 65536), 2, 4) for v in channels]
+    return F.concat(F.lit("#" + tag), F.lower(F.concat(*parts)))
 
 
 def _extremes(c: Column) -> tuple[Column, ...]:

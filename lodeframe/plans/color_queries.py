@@ -81,10 +81,8 @@ _TAGS = ("HS", "HV", "CK", "YU", "XZ", "LB", "LC", "OB", "OC", "HW")
 def packed_spaces(spark, sf_dir):
     """The first two channels of each space's text, the second one below zero."""
     r, g, b = (F.col("c")[x] / 10 for x in "rgb")
-    rows = _colors(spark, sf_dir)
-    for tag in _TAGS:
-        text = K.format_packed(tag, r, -g, b, *([b] if tag == "CK" else []))
-        rows = rows.withColumn(tag.lower(), K.parse_packed(text)["channels"])
+    texts = _colors(spark, sf_dir).select("c_custkey", *(K.format_packed(t, r, -g, b, *([b] if t == "CK" else [])).alias(t.lower()) for t in _TAGS))
+    rows = texts.select("c_custkey", *(K.parse_packed(t.lower())["channels"].alias(t.lower()) for t in _TAGS))
     return rows.select("c_custkey", *((F.round(F.col(t.lower())[0] + F.col(t.lower())[1], 2) + 0.0).alias(t.lower()) for t in _TAGS))
 
 

@@ -125,3 +125,14 @@ def test_bit_sets_stay_linear_when_nested(spark):
     began = time.time()
     assert len(rows.select(nested).first()[0]) == 16
     assert time.time() - began < 20  # at 16 times the work a level, minutes
+
+
+def test_packed_colours(spark):
+    texts = ["#HV0001ffff8000", "hv000100010001", "CK7fff80000000ffff", "#HW00010001000", "#OBABCDabcd0010", None, "", "LC000000000000\n"]
+    rows = spark.sql("SELECT * FROM VALUES " + ", ".join("(cast(NULL AS string))" if t is None else f"('{t}')" for t in texts).replace("\n", "\\n") + " AS t(t)")
+    got = [r.p and (r.p.space, r.p.channels) for r in rows.select(K.parse_packed("t").alias("p")).collect()]
+    assert got == [("HV", [0.01, -0.01, -327.68]), None, ("CK", [327.67, -327.68, 0.0, -0.01]), None, ("OB", [-215.55, -215.55, 0.16]), None, None, ("LC", [0.0, 0.0, 0.0])]
+    assert one(spark, K.format_packed("HS", F.lit(0.1), F.lit(-0.01), F.lit(327.67))) == "#HS000affff7fff"
+    # No channel matches the pattern anew.
+    assert rows.select(K.parse_packed("t"))._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+    assert "lambda" not in rows.select(K.parse_packed("t"))._jdf.queryExecution().optimizedPlan().toString()
