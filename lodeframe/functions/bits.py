@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from enum import Enum
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -237,26 +240,72 @@ def write_bits(values: Sequence[int], widths: Sequence[int], order: BitOrder) ->
     return _turned(whole.to_bytes(size, "little" if low_first else "big"), order)
 
 
+def _overlaps(widths: Sequence[int], order: BitOrder) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(byte, field, mask, place in the byte, place in the field)`` of what each field has in each byte, before bits are turned."""
+    start, low_first = 0, order in (BitOrder.LSBYTE, BitOrder.LSBIT)
+    for field, width in enumerate(widths):
+        for byte in range(start // 8, -(-(start + _width(width)) // 8)):
+            low, high = max(start, 8 * byte), min(start + width, 8 * byte + 8)
+            yield byte, field, (1 << high - low) - 1, low - 8 * byte if low_first else 8 * byte + 8 - high, low - start if low_first else start + width - high
+        start += width
+
+
+def _turned_array(data: np.ndarray, order: BitOrder) -> np.ndarray:
+    return np.frombuffer(_REVERSED, np.uint8)[data] if order in (BitOrder.LSBIT, BitOrder.MSBIT) else data
+
+
+def unpack_array(data: pa.Array, widths: Sequence[int], order: BitOrder, strict: bool) -> pa.Array:
+    """``read_bits`` of all rows at once, byte by byte."""
+    data = data.cast(pa.large_binary())
+    _, ends, held = data.buffers()
+    ends = np.frombuffer(ends, np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    there, size = ~data.is_null().to_numpy(zero_copy_only=False), -(-sum(widths) // 8)
+    enough = there & (np.diff(ends) >= size)
+    if strict and (enough != there).any():
+        raise ValueError("the data ends before the last field")
+    flat = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
+    raw = _turned_array(flat[ends[:-1][enough][:, None] + np.arange(size)], order)
+    out = np.zeros((len(raw), len(widths)), np.uint64)
+    for byte, field, bits, place, within in _overlaps(widths, order):
+        out[:, field] |= (raw[:, byte].astype(np.uint64) >> np.uint64(place) & np.uint64(bits)) << np.uint64(within)
+    starts = np.concatenate([[0], np.cumsum(enough * len(widths))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(out.view(np.int64).ravel()), mask=pa.array(~enough))
+
+
+def pack_array(fields: pa.Array, widths: Sequence[int], order: BitOrder) -> pa.Array:
+    """``write_bits`` of all rows at once, byte by byte."""
+    there = ~fields.is_null().to_numpy(zero_copy_only=False)
+    given = fields.drop_null()
+    values = given.flatten()
+    if values.null_count or (pc.list_value_length(given).to_numpy(zero_copy_only=False) != len(widths)).any():
+        raise ValueError("not one value a field")
+    values = values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(given), len(widths))
+    raw = np.zeros((len(fields), -(-sum(widths) // 8)), np.uint8)
+    for byte, field, bits, place, within in _overlaps(widths, order):
+        raw[there, byte] |= ((values[:, field] >> np.uint64(within) & np.uint64(bits)) << np.uint64(place)).astype(np.uint8)
+    raw = _turned_array(raw, order)
+    kept = pa.py_buffer(np.packbits(there, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(raw.shape[1]), len(raw), [kept, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
 def unpack_bits(data: Column, widths: Sequence[int], order: BitOrder = BitOrder.LSBYTE, strict: bool = True) -> Column:
-    """Fields of a binary column as an array of LONG; too short data raises, or is NULL if not strict."""
-    widths = list(widths)
+    """Fields of a binary column, of up to 64 bits each, as an array of LONG; too short data raises, or is NULL if not strict."""
+    widths = [_width(w) for w in widths]
 
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda x: None if x is None or (not strict and 8 * len(x) < sum(widths)) else [v - (1 << 64) if v >> 63 else v for v in read_bits(x, widths, order)])
+    @F.arrow_udf("array<long>")
+    def run(batch: pa.Array) -> pa.Array:
+        return unpack_array(batch, widths, order, strict)
 
     return run(data)
 
 
 def pack_bits(fields: Column, widths: Sequence[int], order: BitOrder = BitOrder.LSBYTE) -> Column:
-    """An array of LONG fields as bytes."""
-    widths = list(widths)
+    """An array of LONG fields, of up to 64 bits each, as bytes."""
+    widths = [_width(w) for w in widths]
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda x: None if x is None else write_bits([int(v) for v in x], widths, order))
+    @F.arrow_udf("binary")
+    def run(batch: pa.Array) -> pa.Array:
+        return pack_array(batch, widths, order)
 
     return run(fields)
 

@@ -136,3 +136,24 @@ def test_packed_colours(spark):
     # No channel matches the pattern anew.
     assert rows.select(K.parse_packed("t"))._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
     assert "lambda" not in rows.select(K.parse_packed("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("order", list(B.BitOrder))
+def test_packed_columns_against_plain_versions(order):
+    import random
+
+    import pyarrow as pa
+
+    random.seed(3)
+    for widths in ([20, 3, 17], [1], [8], [64, 5, 63, 7], [33, 31, 9]):
+        rows = [[random.randrange(-(1 << 63), 1 << 63) for _ in widths] for _ in range(50)] + [None, [-1] * len(widths)]
+        packed = B.pack_array(pa.array([[9] * len(widths), *rows], pa.list_(pa.int64()))[1:], widths, order)
+        assert packed.to_pylist() == [None if r is None else B.write_bits(r, widths, order) for r in rows]
+        longer = pa.array([b"cut", *(x and x + b"more" for x in packed.to_pylist()), b""], pa.binary())[1:]
+        plain = [x and [v - (1 << 64) if v >> 63 else v for v in B.read_bits(x, widths, order)] for x in packed.to_pylist()]
+        assert B.unpack_array(longer, widths, order, False).to_pylist() == [*plain, None]
+        with pytest.raises(ValueError):
+            B.unpack_array(longer, widths, order, True)
+        with pytest.raises(ValueError):
+            B.pack_array(pa.array([[1] * (len(widths) + 1)]), widths, order)
+    assert len(B.pack_array(pa.array([], pa.list_(pa.int64())), [3], order)) == len(B.unpack_array(pa.array([], pa.binary()), [3], order, True)) == 0
