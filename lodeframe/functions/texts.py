@@ -9,7 +9,6 @@ from itertools import count
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def parse_version(text, strict: bool = True) -> Column:
@@ -26,25 +25,43 @@ def format_version(v: Column) -> Column:
 
 
 def ini_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, section, name, value)`` of INI texts: the last assignment counts; keys before any section are left out."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\r?\n")).alias("_n", "_line")).withColumn("_line", F.regexp_replace("_line", r"^[ \t]+|[ \t]+$", ""))
-    head = F.regexp_extract("_line", r"^\[(.*)\]$", 1)
-    marked = lines.where(~F.col("_line").rlike("^(?:[;#].*)?$")).withColumn("_head", F.when(F.col("_line").rlike(r"^\[.*\]$"), head))
-    # Lines of one document, in order.
-    section = F.last("_head", True).over(Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
-    parts = marked.withColumn("section", section).where("_head IS NULL AND section IS NOT NULL AND instr(_line, '=') > 0")
-    cut = F.instr("_line", "=")
+    """``(key, section, name, value)`` of INI texts, a row a document: the last assignment counts; keys before any section are left out.
+
+    A document is taken apart within its row, in time linear in its lines but for a sort of its assignments; nothing is shuffled."""
     blank = lambda c: F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
-    rows = parts.select(key, "section", "_n", blank(F.substring("_line", F.lit(1), cut - 1)).alias("name"), blank(F.substring("_line", cut + 1, F.length("_line"))).alias("value"))
-    return rows.groupBy(key, "section", "name").agg(F.max_by("value", "_n").alias("value"))
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), blank), lambda line: ~line.rlike("^(?:[;#].*)?$"))
+    marked = docs.select(key, lines.alias("_lines"))
+    at = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(r"^\[.*\]$"), i)), lambda i: i.isNotNull())
+    marked = marked.select(key, "_lines", at.alias("_heads"))
+    # A section is the lines between its head and the next one.
+    lines_of = lambda head, k: F.slice(F.col("_lines"), head + 2, F.coalesce(F.get("_heads", k + 1), F.size("_lines")) - head - 1)
+    section = lambda head: F.regexp_extract(F.get("_lines", head), r"^\[(.*)\]$", 1)
+
+    def pair(name: Column, line: Column, n: Column) -> Column:
+        cut = F.instr(line, "=")
+        return F.struct(name.alias("section"), blank(F.substring(line, F.lit(1), cut - 1)).alias("name"), n.alias("n"), blank(F.substring(line, cut + 1, F.length(line))).alias("value"))
+
+    parts = marked.select(key, F.transform("_heads", lambda head, k: F.struct(section(head).alias("section"), head.alias("n"), lines_of(head, k).alias("lines"))).alias("_parts"))
+    pairs = F.flatten(F.transform("_parts", lambda p: F.transform(F.filter(p["lines"], lambda line: F.instr(line, "=") > 0), lambda line, i: pair(p["section"], line, p["n"] + i))))
+    ordered = parts.select(key, F.sort_array(pairs).alias("_pairs"))
+    last = F.filter("_pairs", lambda x, i: F.coalesce((F.get("_pairs", i + 1)["section"] != x["section"]) | (F.get("_pairs", i + 1)["name"] != x["name"]), F.lit(True)))
+    return ordered.select(key, F.explode(last).alias("_pair")).select(key, "_pair.section", "_pair.name", "_pair.value")
 
 
 def ini_text(rows: DataFrame, key: str) -> DataFrame:
-    """One INI text a key, sections and names in order."""
-    lines = rows.groupBy(key, "section").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "value"))), "\n").alias("_body"))
-    sections = F.array_sort(F.collect_list(F.struct("section", "_body")))
-    text = F.array_join(F.transform(sections, lambda s: F.concat(F.lit("["), s["section"], F.lit("]\n"), s["_body"])), "\n")
-    return lines.groupBy(key).agg(text.alias("text"))
+    """One INI text a key, sections and names in order. The rows of a key meet in one shuffle."""
+    lines = rows.groupBy(key).agg(F.collect_list(F.struct("section", F.concat("name", F.lit("="), "value").alias("line"))).alias("_lines"))
+    lines = lines.select(key, F.sort_array("_lines").alias("_lines"))
+
+    def part(x: Column, i: Column) -> Column:
+        """A line, behind its section's head if it is the first one. Lines that are NULL stand first and give a head alone if there is no other."""
+        before, after = F.when(i > 0, F.get("_lines", i - 1)), F.get("_lines", i + 1)
+        head = F.concat(F.lit("["), x["section"], F.lit("]\n"))
+        alone = x["line"].isNull() & (after.isNull() | ~after["section"].eqNullSafe(x["section"]))
+        first = before.isNull() | ~before["section"].eqNullSafe(x["section"]) | before["line"].isNull()
+        return F.when(alone, head).when(x["section"].isNotNull(), F.when(first, F.concat(head, x["line"])).otherwise(x["line"]))
+
+    return lines.select(key, F.array_join(F.transform("_lines", part), "\n").alias("text"))
 
 
 def first_match(value: Column, cases: list[tuple[Callable[[Column], Column], Callable[[Column], Column]]], otherwise: Column | None = None) -> Column:

@@ -168,3 +168,14 @@ def test_tower_kernels_share_a_worker(spark):
     got = rows.select(N.unary("abs", "t").alias("a"), N.binary("add", "t", "t").alias("b"), N.formatted(F.col("t")).alias("c")).collect()
     assert got[0].c is None and got[0].a.sign is None and got[0].b.mag is None
     assert tuple(got[1].a) == (1, 0.0, 0.5) and tuple(got[1].b) == (-1, 0.0, 1.0) and got[2].c == "e20.0"
+
+
+def test_ini_texts_within_their_row(spark):
+    texts = ["k=0\r\n[a]\r\nk=1\r\n[b]\nk=2\n [a] \n k = 3=4\n\n;k=5\n[a\n=e", None, "", "[b]", "[]\nk=x"]
+    rows = X.ini_rows(spark.createDataFrame(enumerate(texts), "i int, t string"), "i", "t")
+    assert sorted(map(tuple, rows.collect())) == [(0, "a", "", "e"), (0, "a", "k", "3=4"), (0, "b", "k", "2"), (4, "", "k", "x")]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    parts = [(1, "b", "k", "1"), (1, "a", "z", "2"), (1, "a", "k", None), (1, "a", "y", "3"), (2, "c", "k", None), (2, None, "k", "4")]
+    text = X.ini_text(spark.createDataFrame(parts, "i int, section string, name string, value string"), "i")
+    assert sorted(map(tuple, text.collect())) == [(1, "[a]\ny=3\nz=2\n[b]\nk=1"), (2, "[c]\n")]
+    assert library.QUERIES["x13_ini"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
